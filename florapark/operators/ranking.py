@@ -79,20 +79,21 @@ def hash_slice(column: Column, slices: int = 256) -> Column:
     return F.conv(F.substring(column, 1, digits), 16, 10).cast("int")
 
 
-def rank_in_group(
-    df: DataFrame, keys: Sequence[str], slice_col: Column, order: Sequence[Column | str], name: str
+def running_sum_in_group(
+    df: DataFrame, keys: Sequence[str], slice_col: Column, order: Sequence[Column | str], value: Column, name: str
 ) -> DataFrame:
-    """1-based position inside each group, computed slice by slice.
+    """Sum of ``value`` over a row and the rows before it in its group, computed slice by slice.
 
-    ``slice_col`` must not decrease along ``order``. The rank of a row is its rank in
-    its slice plus the sizes of the earlier slices of its group.
+    ``slice_col`` must not decrease along ``order``. The sum is the running sum in the
+    slice plus the totals of the earlier slices of the group, so a large group is
+    worked on by as many tasks as it has slices.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    sliced = df.withColumn("_slice", slice_col)
+    sliced = df.withColumn("_slice", slice_col).withColumn("_value", value)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         sliced.groupBy(*keys, "_slice")
-        .agg(F.count("*").alias("_n"))
+        .agg(F.sum("_value").alias("_n"))
         .select(
             *[F.col(k).alias(f"_k_{k}") for k in keys],
             F.col("_slice").alias("_k_slice"),
@@ -103,15 +104,44 @@ def rank_in_group(
     same = F.col("_slice") == F.col("_k_slice")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    local = (
+        Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        sliced.withColumn("_local", F.row_number().over(local))
+        sliced.withColumn("_local", F.sum("_value").over(local))
         .join(starts, same)
-        .withColumn(name, (F.col("_start") + F.col("_local")).cast("bigint"))
-        .drop("_slice", "_k_slice", "_local", "_start", *[f"_k_{k}" for k in keys])
+        .withColumn(name, F.col("_start") + F.col("_local"))
+        .drop("_slice", "_k_slice", "_local", "_start", "_value", *[f"_k_{k}" for k in keys])
     )
 
 
+def rank_in_group(
+    df: DataFrame, keys: Sequence[str], slice_col: Column, order: Sequence[Column | str], name: str
+) -> DataFrame:
+    """1-based position of each row in its group."""
+    return running_sum_in_group(df, keys, slice_col, order, F.lit(1).cast("bigint"), name)
+
+
+def group_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, slice_col: Column, probs: Sequence[float], names: Sequence[str]
+) -> DataFrame:
+    """Exact linearly interpolated quantiles per group; see ``rank_in_group`` for ``slice_col``."""
+    merged = (
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    )
+    upto = running_sum_in_group(merged, keys, slice_col, [value], F.col("_c"), "_upto")
+    total = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_total"))
+    ranked = upto.join(total, list(keys))
+    picks = []
+    for p, name in zip(probs, names):
+        at = F.lit(p) * (F.col("_total") - 1)
+        first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1  # 0-based places this value fills
+        low = F.max(F.when(F.floor(at).between(first, last), F.col(value)))
+        high = F.max(F.when((F.floor(at) + 1).between(first, last), F.col(value)))
+        share = F.max(at - F.floor(at))
+        picks.append((low + share * (F.coalesce(high, low) - low)).alias(name))
+    return ranked.groupBy(*keys).agg(*picks)
+
+
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Exact linearly interpolated quantiles of one column as a single row.
 

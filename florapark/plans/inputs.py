@@ -143,3 +143,20 @@ def with_views(names: list[str], body: str) -> str:
     if text.upper().startswith("WITH "):
         return head + ",\n" + text[5:]
     return head + "\n" + text
+
+# a checklist with several rows per name, derived from the parts
+VIEWS["fx_name"] = """
+SELECT plant_name_id, taxon_name, taxon_authors,
+       CASE WHEN plant_name_id % 11 = 0 THEN 'Subspecies' WHEN plant_name_id % 13 = 0 THEN 'Variety'
+            WHEN plant_name_id % 17 = 0 THEN 'Genus' ELSE 'Species' END AS taxon_rank,
+       CASE WHEN plant_name_id % 5 = 0 THEN 'Synonym' WHEN plant_name_id % 19 = 0 THEN 'Orthographic' ELSE 'Accepted' END AS taxon_status,
+       plant_name_id % 2 = 0 AS homotypic,
+       CASE WHEN plant_name_id % 5 = 0 OR plant_name_id % 19 = 0 THEN plant_name_id - 1 ELSE plant_name_id END AS accepted_plant_name_id,
+       CASE WHEN plant_name_id % 3 = 0 THEN plant_name_id + 1 END AS parent_plant_name_id, genus, family,
+       CASE plant_name_id % 7 WHEN 0 THEN 'shrub or tree' WHEN 1 THEN 'perennial' WHEN 2 THEN 'climbing subshrub'
+            WHEN 3 THEN 'bamboo' WHEN 4 THEN 'liana' WHEN 5 THEN 'annual' END AS lifeform_description
+FROM (SELECT min(p_partkey) AS plant_name_id, p_name AS taxon_name, p_brand AS taxon_authors,
+             min(p_type) AS genus, p_brand AS family FROM {part} WHERE p_size > 3 GROUP BY p_name, p_brand
+      UNION ALL
+      SELECT min(p_partkey) + 1000000000, p_name || CASE min(p_partkey) % 4 WHEN 0 THEN ' subsp. ' WHEN 1 THEN ' subsp ' WHEN 2 THEN ' subsp: ' ELSE ' subsp.  ' END || lower(p_type),
+             min(p_brand), min(p_type), min(p_brand) FROM {part} GROUP BY p_name, p_type) n"""

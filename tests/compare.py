@@ -26,11 +26,11 @@ def connect(sf_dir):
 
 def _plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        return None if math.isnan(v) else round(v, 9) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(_plain(x) for x in v)
     if hasattr(v, "as_tuple"):  # Decimal
-        return round(float(v), 6) + 0.0
+        return round(float(v), 9) + 0.0
     return v
 
 
