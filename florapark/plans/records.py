@@ -159,7 +159,7 @@ def _(t):
     return homonyms(t)[1]
 
 
-@query("f15_quarantine", """WITH a AS (SELECT DISTINCT species_id FROM fx_occurrence WHERE species_id <> 3), b AS (SELECT DISTINCT o.species_id FROM fx_occurrence o JOIN fx_species s ON o.species_id = s.species_id WHERE home_area >= 2),
+@query("f15_quarantine", """WITH a AS (SELECT species_id FROM fx_occurrence WHERE basis_of_record = 'HUMAN_OBSERVATION' GROUP BY 1 HAVING count(*) >= 180), b AS (SELECT DISTINCT o.species_id FROM fx_occurrence o JOIN fx_species s ON o.species_id = s.species_id WHERE home_area >= 2),
  c AS (SELECT species_id FROM fx_occurrence WHERE basis_of_record = 'FOSSIL_SPECIMEN' GROUP BY 1 HAVING count(*) >= 200)
  SELECT species_id, CASE WHEN species_id NOT IN (SELECT * FROM a) THEN 'no records' WHEN species_id NOT IN (SELECT * FROM b) THEN 'no native range' ELSE 'no valid points' END AS reason FROM fx_species
  WHERE species_id NOT IN (SELECT * FROM a) OR species_id NOT IN (SELECT * FROM b) OR species_id NOT IN (SELECT * FROM c)""", "fx_occurrence fx_species")
@@ -167,7 +167,7 @@ def _(t):
     o = t.fx_occurrence
     native = o.join(t.fx_species.where("home_area >= 2"), "species_id", "left_semi")
     many = C.min_support(o.where("basis_of_record = 'FOSSIL_SPECIMEN'"), 200)
-    return C.quarantine(t.fx_species, [("no records", o.where("species_id <> 3")), ("no native range", native), ("no valid points", many)])
+    return C.quarantine(t.fx_species, [("no records", C.min_support(o.where("basis_of_record = 'HUMAN_OBSERVATION'"), 180)), ("no native range", native), ("no valid points", many)])
 
 
 @query("f16_skip_existing", "SELECT species_id, species_name FROM fx_species WHERE species_id NOT IN (SELECT species_id FROM fx_occurrence WHERE uncertainty_m > 2450 AND basis_of_record = 'FOSSIL_SPECIMEN')", "fx_species fx_occurrence")
@@ -249,7 +249,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY parsed_name ORDER BY lv, CASE
 resolved AS (SELECT parsed_name, plant_name_id, match_name, match_status, homotypic, CASE WHEN NOT lost THEN accepted_plant_name_id END AS accepted_plant_name_id,
   CASE WHEN lost THEN 'Could not resolve multiple matches' ELSE match_type END AS match_type, match_similarity FROM best WHERE k = 1)"""
 ACCEPTED = r"""acc AS (SELECT r.*, c.taxon_name AS accepted_taxon_name, c.taxon_authors AS accepted_taxon_authors, c.taxon_rank AS accepted_taxon_rank, c.parent_plant_name_id AS parent FROM resolved r
-  JOIN fx_name c ON r.accepted_plant_name_id = c.plant_name_id WHERE c.taxon_status = 'Accepted' AND c.taxon_rank IN ('Species', 'Subspecies', 'Variety') AND (match_status = 'Accepted' OR homotypic)),
+  JOIN fx_name c ON r.accepted_plant_name_id = c.plant_name_id WHERE c.taxon_status = 'Accepted' AND c.taxon_rank IN ('Species', 'Subspecies', 'Variety') AND (match_status = 'Accepted' OR r.homotypic)),
 rolled AS (SELECT a.*, CASE WHEN accepted_taxon_rank = 'Species' THEN accepted_taxon_name WHEN p.taxon_name IS NOT NULL THEN p.taxon_name
   ELSE regexp_replace(accepted_taxon_name, '\s+(var|subsp|f|subvar|forma)\.?\s+.*', '') END AS species_name FROM acc a LEFT JOIN fx_name p ON a.parent = p.plant_name_id AND p.taxon_rank = 'Species' AND p.taxon_status = 'Accepted'),
 mapped AS (SELECT original_name, r.* FROM parsed p JOIN rolled r ON p.parsed_name = r.parsed_name)"""
@@ -323,12 +323,12 @@ def _(t):
 
 
 @query("t10_apply_resolution", f"""{CHAIN} SELECT m.original_name, m.species_name AS species, l_orderkey AS location_id, count(*) AS n FROM lineitem JOIN fx_scientific_name s ON l_partkey = name_id
- JOIN (SELECT DISTINCT original_name, species_name FROM mapped) m ON m.original_name = s.scientific_name WHERE m.species_name NOT LIKE 'small%' GROUP BY ALL""", NAME_VIEWS)
+ JOIN (SELECT DISTINCT original_name, species_name FROM mapped) m ON m.original_name = s.scientific_name WHERE m.species_name IN (SELECT species_name FROM mapped WHERE match_status = 'Synonym') GROUP BY ALL""", NAME_VIEWS)
 def _(t):
     records = t.lineitem.join(t.fx_scientific_name, t.lineitem["l_partkey"] == F.col("name_id")).select(
         F.col("scientific_name").alias("species"), F.col("l_orderkey").alias("location_id"))
     mapped = chain(t)["mapped"]
-    plots = mapped.where("species_name not like 'small%'").select(F.col("species_name").alias("species"))
+    plots = mapped.where("match_status = 'Synonym'").select(F.col("species_name").alias("species"))
     return T.apply_resolution(records, mapped, plots).groupBy("original_name", "species", "location_id").agg(F.count("*").alias("n"))
 
 
@@ -359,6 +359,6 @@ def _(t):
     return T.taxonomy(part_species(t), t.fx_name, families)
 
 
-@query("t13_compare_name_sets", "SELECT DISTINCT p_name AS species_name FROM part WHERE p_name NOT IN (SELECT taxon_name FROM fx_name WHERE plant_name_id % 3 = 0)", "fx_name")
+@query("t13_compare_name_sets", "SELECT DISTINCT p_name AS species_name FROM part WHERE p_name NOT IN (SELECT taxon_name FROM fx_name WHERE taxon_status = 'Synonym' AND homotypic)", "fx_name")
 def _(t):
-    return T.compare_name_sets(part_species(t), t.fx_name.where("plant_name_id % 3 = 0").select(F.col("taxon_name").alias("species_name")))[0]
+    return T.compare_name_sets(part_species(t), t.fx_name.where("taxon_status = 'Synonym' and homotypic").select(F.col("taxon_name").alias("species_name")))[0]

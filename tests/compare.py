@@ -43,7 +43,9 @@ def _rows(columns, rows):
 def problem(spark, con, sf_dir, name):
     """None when both engines agree, else a short description."""
     df = QUERIES[name](spark, sf_dir)
+    problem.rows = -1
     got_cols, got = _rows(df.columns, [tuple(r) for r in df.collect()])
+    problem.rows = len(got)
     if name not in CHECKS:
         return None if got else "no rows"
     cur = con.execute(CHECKS[name])
@@ -73,6 +75,6 @@ if __name__ == "__main__":
         except Exception as e:  # noqa: BLE001
             text = f"{type(e).__name__}: {str(e)[:1200]}"
         failed += text is not None
-        print(f"{'ok  ' if text is None else 'FAIL'} {name:34s} {time.time() - t0:6.2f}s {text or ''}", flush=True)
+        print(f"{'ok  ' if text is None else 'FAIL'} {name:34s} {time.time() - t0:6.2f}s {problem.rows:7d} rows {text or ''}", flush=True)
     print("failed:", failed)
     sys.exit(1 if failed else 0)
