@@ -43,7 +43,6 @@ def _rows(columns, rows):
 def problem(spark, con, sf_dir, name):
     """None when both engines agree, else a short description."""
     df = QUERIES[name](spark, sf_dir)
-    problem.rows = -1
     got_cols, got = _rows(df.columns, [tuple(r) for r in df.collect()])
     problem.rows = len(got)
     if name not in CHECKS:
@@ -58,6 +57,9 @@ def problem(spark, con, sf_dir, name):
     return f"{len(bad)} of {len(got)} rows differ, e.g. {bad[:2]}" if bad else None
 
 
+problem.rows = -1
+
+
 if __name__ == "__main__":
     from florapark.session import local_session
 
@@ -70,6 +72,7 @@ if __name__ == "__main__":
         if parts and not any(name.startswith(p) for p in parts):
             continue
         t0 = time.time()
+        problem.rows = -1
         try:
             text = problem(spark, con, sf_dir, name)
         except Exception as e:  # noqa: BLE001
