@@ -23,7 +23,8 @@ def score_band(score: Column | str) -> Column:
     """
     edge = 1e-16
     p = F.greatest(F.lit(edge), F.least(F.lit(1 - edge), _col(score)))
-    return F.floor(F.log(p / (1 - p)) * 8).cast("int")
+    # never null, so that a join on it adds no filter of its own
+    return F.coalesce(F.floor(F.log(p / (1 - p)) * 8).cast("int"), F.lit(0))
 
 
 def digest(seed: int | Column, *parts: Column | str) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from florapark.functions.scores import finite_or_null, score_band
-from florapark.operators.ranking import group_quantiles, running_sum_in_group
+from florapark.operators.ranking import running_sum_in_group, weighted_quantiles
 
 LOG_FLOOR = 1e-12  # fixed value: smallest prediction told apart on the log scale
 MAX_GRID_DIM = 1500  # fixed value: widest occurrence grid
@@ -75,10 +75,17 @@ def mask_to_range(cells: DataFrame, species_area: DataFrame, value: str = "value
 # ---- rescaling for display ----
 
 
-def _source(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """In-range cells; all cells of a map that has none in range."""
-    some = cells.groupBy(*keys).agg(F.max(F.col("in_range").cast("int")).alias("_some"))
-    return cells.join(some, list(keys)).where(F.col("in_range") | (F.coalesce("_some", F.lit(0)) == 0)).drop("_some")
+def _ties(cells: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """(keys, _v, _c): each distinct value with how often it counts.
+
+    In-range cells count; on a map without any, all cells do. Everything after this
+    works on distinct values.
+    """
+    merged = cells.groupBy(*keys, value.alias("_v")).agg(
+        F.count_if("in_range").alias("_in"), F.count("*").alias("_all"))
+    some = merged.groupBy(*keys).agg((F.sum("_in") > 0).alias("_some"))
+    return merged.join(some, list(keys)).select(
+        *keys, "_v", F.when(F.col("_some"), F.col("_in")).otherwise(F.col("_all")).alias("_c"))
 
 
 def _log(value: Column) -> Column:
@@ -90,25 +97,30 @@ def _check_mode(mode: str) -> None:
         raise ValueError(f"unknown rescale mode {mode!r}; use 'none', 'linear', 'log' or 'rank'")
 
 
+def _stretch(ties: DataFrame, keys: Sequence[str], mode: str, low_q: float, high_q: float) -> DataFrame:
+    """(keys, lo, hi) from counted values; the extremes where the percentiles coincide."""
+    slices = score_band("_v") if mode == "linear" else F.floor(F.col("_v") * 64)
+    q = weighted_quantiles(ties, keys, "_v", "_c", slices, [low_q / 100, high_q / 100], ["lo", "hi"])
+    used = ties.where((F.col("_c") > 0) & F.col("_v").isNotNull())
+    ends = used.groupBy(*keys).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    flat = F.col("hi") <= F.col("lo")
+    return q.join(ends, list(keys)).select(
+        *keys, F.when(flat, F.col("_min")).otherwise(F.col("lo")).alias("lo"),
+        F.when(flat, F.col("_max")).otherwise(F.col("hi")).alias("hi"))
+
+
+def _on_scale(mode: str, value: str) -> Column:
+    v = finite_or_null(value)
+    return F.when(v.isNotNull(), _log(v)) if mode == "log" else v
+
+
 def rescale_reference(
     cells: DataFrame, keys: Sequence[str] = ("species_id",), mode: str = "linear",
     low_q: float = 10.0, high_q: float = 90.0, value: str = "value",
 ) -> DataFrame:
-    """(keys, lo, hi) of the percentile stretch taken from in-range cells."""
+    """(keys, lo, hi) of the percentile stretch taken from in-range cells (in log10 for mode ``log``)."""
     _check_mode(mode)
-    src = _source(cells, keys).select(*keys, finite_or_null(value).alias("_v"))
-    slices = score_band("_v")  # logit order is value order, before and after the logarithm
-    if mode == "log":
-        src = src.withColumn("_v", F.greatest(F.col("_v"), F.lit(LOG_FLOOR)))
-        # interpolate between logarithms, as the stretch works on them
-        src = src.withColumn("_v", F.log10("_v"))
-        slices = F.floor(F.col("_v") * 64).cast("int")
-    q = group_quantiles(src, keys, "_v", slices, [low_q / 100, high_q / 100], ["lo", "hi"])
-    ends = src.groupBy(*keys).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    flat = F.col("hi") <= F.col("lo")
-    return q.join(ends, list(keys)).select(
-        *keys, F.when(flat, F.col("_min")).otherwise(F.col("lo")).alias("lo"),
-        F.when(flat, F.col("_max")).otherwise(F.col("hi")).alias("hi"))
+    return _stretch(_ties(cells, keys, _on_scale(mode, value)), keys, mode, low_q, high_q)
 
 
 def apply_reference(
@@ -116,8 +128,7 @@ def apply_reference(
     gamma: float = 1.0, value: str = "value",
 ) -> DataFrame:
     """Adds ``scaled`` in [0, 1]; 0 where the reference has no width."""
-    v = finite_or_null(value)
-    v = _log(v) if mode == "log" else v
+    v = _on_scale(mode, value)
     width = F.col("hi") - F.col("lo")
     scaled = F.when(width > 0, (v - F.col("lo")) / width).otherwise(F.when(v.isNotNull(), 0.0))
     return cells.join(reference, list(keys)).withColumn("scaled", _finish(scaled, gamma)).drop("lo", "hi")
@@ -130,9 +141,7 @@ def _finish(scaled: Column, gamma: float) -> Column:
 
 def rank_rescale(cells: DataFrame, keys: Sequence[str] = ("species_id",), gamma: float = 1.0, value: str = "value") -> DataFrame:
     """Share of in-range values that are not larger, for every cell."""
-    some = cells.groupBy(*keys).agg(F.max(F.col("in_range").cast("int")).alias("_some"))
-    counted = F.when(F.col("in_range") | (F.coalesce("_some", F.lit(0)) == 0), 1).otherwise(0)
-    ties = cells.join(some, list(keys)).groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(counted).alias("_c"))
+    ties = _ties(cells, keys, F.col(value))
     upto = running_sum_in_group(ties, keys, score_band("_v"), ["_v"], F.col("_c"), "_upto")
     total = ties.groupBy(*keys).agg(F.sum("_c").alias("_total"))
     share = upto.join(total, list(keys)).select(
@@ -163,8 +172,10 @@ def shared_reference(
     keys: Sequence[str] = ("species_id",), value: str = "value",
 ) -> DataFrame:
     """One stretch per species from the pooled in-range predictions of several models."""
-    pool = reduce(DataFrame.unionByName, [_source(m, keys).select(*keys, value, "in_range") for m in maps])
-    return rescale_reference(pool, keys, mode, low_q, high_q, value)
+    _check_mode(mode)
+    pool = reduce(DataFrame.unionByName, [_ties(m, keys, _on_scale(mode, value)) for m in maps])
+    merged = pool.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
+    return _stretch(merged, keys, mode, low_q, high_q)
 
 
 # ---- occurrence grids and regions ----

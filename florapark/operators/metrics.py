@@ -209,20 +209,20 @@ def confusion(
         .groupBy(*keys, F.greatest(F.lit(0), passed).alias("passed"))
         .agg(F.sum(label).cast("bigint").alias("pos"), F.sum(1 - F.col(label)).cast("bigint").alias("neg"))
     )
-    counts = [
-        F.sum(F.when(F.col("passed") >= k, F.col(c)).otherwise(0)).alias(f"{c}_{k}")
-        for k in range(1, steps) for c in ("pos", "neg")
-    ]
-    wide = per_step.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), *counts)
-    rows = F.explode(F.array(*[
-        F.struct(
-            F.lit(k / steps).alias("threshold"),
-            F.col(f"pos_{k}").alias("tp"), F.col(f"neg_{k}").alias("fp"),
-            (F.col("n_neg") - F.col(f"neg_{k}")).alias("tn"), (F.col("n_pos") - F.col(f"pos_{k}")).alias("fn"),
-        )
-        for k in range(1, steps)
-    ]))
-    return wide.select(*keys, rows.alias("r")).select(*keys, "r.*")
+    # at most one entry per step and group
+    per_group = per_step.groupBy(*keys).agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
+        F.collect_list(F.struct("passed", "pos", "neg")).alias("parts"))
+
+    def at_least(k: Column, what: str) -> Column:
+        return F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, r: a + F.when(r["passed"] >= k, r[what]).otherwise(0))
+
+    rows = per_group.select(*keys, "n_pos", "n_neg", F.explode(F.transform(
+        F.sequence(F.lit(1), F.lit(steps - 1)),
+        lambda k: F.struct(k.alias("k"), at_least(k, "pos").alias("tp"), at_least(k, "neg").alias("fp")))).alias("r"))
+    return rows.select(
+        *keys, (F.col("r.k") / F.lit(float(steps))).alias("threshold"), F.col("r.tp").alias("tp"), F.col("r.fp").alias("fp"),
+        (F.col("n_neg") - F.col("r.fp")).alias("tn"), (F.col("n_pos") - F.col("r.tp")).alias("fn"))
 
 
 def point_class(score: str, label: str, threshold: float) -> Column:

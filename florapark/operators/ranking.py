@@ -79,17 +79,22 @@ def hash_slice(column: Column, slices: int = 256) -> Column:
     return F.conv(F.substring(column, 1, digits), 16, 10).cast("int")
 
 
+_NO_SLICE = -(1 << 62)
+
+
 def running_sum_in_group(
-    df: DataFrame, keys: Sequence[str], slice_col: Column, order: Sequence[Column | str], value: Column, name: str
+    df: DataFrame, keys: Sequence[str], slice_col: Column, order: Sequence[Column | str], value: Column, name: str,
+    nullable: Sequence[str] = (),
 ) -> DataFrame:
     """Sum of ``value`` over a row and the rows before it in its group, computed slice by slice.
 
     ``slice_col`` must not decrease along ``order``. The sum is the running sum in the
     slice plus the totals of the earlier slices of the group, so a large group is
-    worked on by as many tasks as it has slices.
+    worked on by as many tasks as it has slices. Keys that may be null are named in
+    ``nullable``.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    sliced = df.withColumn("_slice", slice_col).withColumn("_value", value)
+    sliced = df.withColumn("_slice", F.coalesce(slice_col.cast("bigint"), F.lit(_NO_SLICE))).withColumn("_value", value)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         sliced.groupBy(*keys, "_slice")
@@ -100,10 +105,10 @@ def running_sum_in_group(
             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
         )
     )
-    # null keys form a group of their own, so the join has to match them too
     same = F.col("_slice") == F.col("_k_slice")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        a, b = F.col(k), F.col(f"_k_{k}")
+        same = same & (a.eqNullSafe(b) if k in nullable else a == b)
     local = (
         Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
@@ -115,21 +120,24 @@ def running_sum_in_group(
 
 
 def rank_in_group(
-    df: DataFrame, keys: Sequence[str], slice_col: Column, order: Sequence[Column | str], name: str
+    df: DataFrame, keys: Sequence[str], slice_col: Column, order: Sequence[Column | str], name: str,
+    nullable: Sequence[str] = (),
 ) -> DataFrame:
     """1-based position of each row in its group."""
-    return running_sum_in_group(df, keys, slice_col, order, F.lit(1).cast("bigint"), name)
+    return running_sum_in_group(df, keys, slice_col, order, F.lit(1).cast("bigint"), name, nullable)
 
 
-def group_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, slice_col: Column, probs: Sequence[float], names: Sequence[str]
+def weighted_quantiles(
+    ties: DataFrame, keys: Sequence[str], value: str, count: str, slice_col: Column, probs: Sequence[float],
+    names: Sequence[str],
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group; see ``rank_in_group`` for ``slice_col``."""
-    merged = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    )
-    upto = running_sum_in_group(merged, keys, slice_col, [value], F.col("_c"), "_upto")
-    total = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_total"))
+    """Exact linearly interpolated quantiles per group of values that each occur ``count`` times.
+
+    See ``running_sum_in_group`` for ``slice_col``.
+    """
+    used = ties.where((F.col(count) > 0) & F.col(value).isNotNull()).select(*keys, value, F.col(count).alias("_c"))
+    upto = running_sum_in_group(used, keys, slice_col, [value], F.col("_c"), "_upto")
+    total = used.groupBy(*keys).agg(F.sum("_c").alias("_total"))
     ranked = upto.join(total, list(keys))
     picks = []
     for p, name in zip(probs, names):

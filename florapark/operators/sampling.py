@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from florapark.functions.scores import digest
 from florapark.operators.properties import in_range_presence
 from florapark.operators.ranking import global_index, hash_slice, rank_in_group, top_n_per_group
+from florapark.session import pin
 
 POOL_MODELS = ("maxent", "glm", "gam", "randomforest", "brt")  # fixed value: models that use the large background pool
 POOL_BACKGROUND = 10_000
@@ -132,11 +133,12 @@ def presence_background(
     drawn = presence.select("species_id", "location_id").distinct()
     if cap is not None:
         drawn = cap_per_species(drawn, cap, seed)
+    drawn = pin(drawn)  # counted, excluded and returned below
     n_pos = drawn.groupBy("species_id").agg(F.count("*").alias("n_pos"))
     limit = F.greatest(background_cap(model, "n_pos"), F.col("n_pos"))
     # enough slots for the limit and for every presence that may be met on the way
     demand = n_pos.select("species_id", (limit + F.col("n_pos")).alias("span"))
-    met = draw_background(demand, species_area, locations, seed).join(drawn, ["species_id", "location_id"], "left_anti")
+    met = pin(draw_background(demand, species_area, locations, seed).join(drawn, ["species_id", "location_id"], "left_anti"))
     free = met.groupBy("species_id").agg(F.count("*").alias("n_free")).join(n_pos, "species_id")
     take = F.when(F.col("n_free") < F.col("n_pos"), F.col("n_free")).otherwise(background_cap(model, "n_pos"))
     # place order is sliced so that no species is ranked by one task alone
@@ -177,7 +179,7 @@ def stratified_split(
     ranked = rank_in_group(hashed, ["owner"], hash_slice(F.col("_h")), ["_h", "location_id"], "_r")
     sizes = owner.groupBy("owner").agg(F.count("*").alias("_n"))
     to_test = F.greatest(F.lit(min_test).cast("double"), F.round(F.col("_n") * (1 - val_share)))
-    first = ranked.join(sizes, "owner").select("location_id", (F.col("_r") <= to_test).alias("_test"))
+    first = pin(ranked.join(sizes, "owner").select("location_id", (F.col("_r") <= to_test).alias("_test")))
     # species still short of test rows
     placed = pairs.join(first, "location_id")
     lack = placed.groupBy("species_id").agg(F.count_if("_test").alias("_t"), F.count("*").alias("_all")).select(
@@ -187,7 +189,7 @@ def stratified_split(
     filled = first.join(moved.withColumn("_moved", F.lit(True)), "location_id", "left").select(
         "location_id", (F.col("_test") | F.col("_moved").isNotNull()).alias("_test"))
     share = F.conv(F.substring(digest(seed, "location_id"), 1, 8), 16, 10).cast("double") / float(16**8)
-    empty = locations.select("location_id").distinct().join(owner, "location_id", "left_anti").select(
+    empty = locations.select("location_id").distinct().join(first, "location_id", "left_anti").select(
         "location_id", (share >= val_share).alias("_test"))
     return filled.unionByName(empty).select("location_id", F.when(F.col("_test"), "test").otherwise("val").alias("split"))
 
@@ -213,10 +215,12 @@ def stratified_holdout(rows: DataFrame, share: float = 0.2, seed: int = 0, key:
     """Adds ``holdout``: the first share of each (species, label) in digest order; only if both labels have two rows."""
     strata = ["species_id", "label"]
     hashed = rows.withColumn("_h", digest(seed, "species_id", key))
-    ranked = rank_in_group(hashed, strata, hash_slice(F.col("_h")), ["_h", key], "_r")
+    ranked = rank_in_group(hashed, strata, hash_slice(F.col("_h")), ["_h", key], "_r", nullable=["label"])
     sizes = rows.groupBy(*strata).agg(F.count("*").alias("_n"))
     both = sizes.groupBy("species_id").agg((F.count_if((F.col("_n") >= 2) & F.col("label").isin(0, 1)) == 2).alias("_both"))
-    out = ranked.join(sizes, strata).join(both, "species_id")
+    sizes = sizes.select("species_id", F.col("label").alias("_label"), "_n")
+    stratum = (ranked["species_id"] == sizes["species_id"]) & ranked["label"].eqNullSafe(F.col("_label"))
+    out = ranked.join(sizes, stratum).drop(sizes["species_id"]).drop("_label").join(both, "species_id")
     return out.withColumn("holdout", F.col("_both") & (F.col("_r") <= F.ceil(F.col("_n") * share))).drop("_h", "_r", "_n", "_both")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from florapark.functions.scores import finite_or_null
 from florapark.operators.ranking import global_index
+from florapark.session import pin
 
 DEFAULT_X = "sampling_effort"
 DEFAULT_Y = "relative_prevalence"
@@ -41,9 +42,11 @@ def ordinal_ranks(properties: DataFrame, x: str = DEFAULT_X, y: str = DEFAULT_Y,
         properties.select(key, finite_or_null(x).alias("_x"), finite_or_null(y).alias("_y"))
         .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
     )
+    # one small row per species, sorted twice below
+    usable = pin(usable)
     by_x = global_index(usable, ["_x", key], "_ix")
     both = global_index(by_x, ["_y", key], "_iy")
-    n = both.agg(F.count("*").alias("n")).scalar()
+    n = usable.agg(F.count("*").alias("n")).scalar()
     return both.select(
         key, (F.col("_ix") + 1).alias("x_rank"), (F.col("_iy") + 1).alias("y_rank"), n.alias("n_species")
     )
@@ -97,11 +100,13 @@ def stratified_report(
     y: str = DEFAULT_Y,
     reference: DataFrame | None = None,
     extreme_pct: float = 10.0,
+    names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Mean score, or mean paired delta, in percent per stratum and metric.
 
     ``metrics`` and ``reference`` are long (species_id, metric, value). Every stratum
     appears for every metric, with n = 0 when no species in it has a finite value.
+    Giving the metric ``names`` saves a pass over the metrics to find them.
     """
     spark = metrics.sparkSession
     missing = [c for c in (x, y) if c not in properties.columns]
@@ -119,7 +124,11 @@ def stratified_report(
     )
     titles = region_titles(x, y, extreme_pct)
     # eight fixed strata for each metric name
-    frame = value.select("metric").distinct().select(
+    if names is None:
+        found = value.select("metric").distinct()
+    else:
+        found = spark.createDataFrame([(n,) for n in names], "metric string")
+    frame = found.select(
         "metric",
         F.explode(F.array(*[
             F.struct(F.lit(i).alias("position"), F.lit(r).alias("region"), F.lit(titles[r]).alias("stratum"))

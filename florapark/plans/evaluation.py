@@ -96,7 +96,7 @@ names AS (SELECT * FROM (VALUES (0, 'bottom_left', 'sparse-infrequent'), (1, 'to
 
 def flagship(t: Inputs) -> DataFrame:
     """Mean AUROC and AUPRG per sampling stratum."""
-    report = K.stratified_report(long_metrics(t), properties(t))
+    report = K.stratified_report(long_metrics(t), properties(t), names=("auroc", "auprg"))
     return report.withColumns(r6("score"))
 
 
@@ -264,7 +264,7 @@ FROM names LEFT JOIN member ON member.region = names.region LEFT JOIN ma ON ma.s
 LEFT JOIN mb ON mb.species_id = ma.species_id GROUP BY ALL""", ALL_VIEWS)
 def _(t):
     a, b = (long_metrics(t, s, ("auroc",)) for s in ("probability_fine", "probability_ref"))
-    return K.stratified_report(a, properties(t), reference=b).withColumns(r6("score"))
+    return K.stratified_report(a, properties(t), reference=b, names=("auroc",)).withColumns(r6("score"))
 
 
 def region_delta_sql(expr: str) -> str:
