@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from florapark.functions.scores import finite_or_null
-from florapark.operators.ranking import first_per_group, rank_in_group, hash_slice
+from florapark.operators.ranking import first_per_group
 
 # fixed values of the record filters
 PLOT_RECORDING = ("Not specified", "All vascular plants")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from florapark.functions.scores import finite_or_null
+from florapark.operators.ranking import group_median
 
 
 def finite(df: DataFrame, value: str = "value") -> DataFrame:
@@ -29,8 +30,9 @@ def macro_over_seeds(runs: DataFrame, n_seeds: int) -> DataFrame:
     complete = good.groupBy("species_id").agg(F.count_distinct("seed").alias("k")).where(F.col("k") == n_seeds)
     sets = good.withColumn("species_set", F.lit("union")).unionByName(
         good.join(complete, "species_id", "left_semi").withColumn("species_set", F.lit("common")))
-    per_seed = sets.groupBy("species_set", "seed").agg(
-        F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"))
+    keys = ["species_set", "seed"]
+    per_seed = sets.groupBy(*keys).agg(F.avg("value").alias("mean")).join(
+        group_median(sets, keys, "value", "median"), keys)
     return per_seed.groupBy("species_set").agg(
         F.avg("mean").alias("mean"), F.when(F.count("*") >= 2, F.stddev_pop("mean")).alias("mean_std"),
         F.avg("median").alias("median"), F.when(F.count("*") >= 2, F.stddev_pop("median")).alias("median_std"),

@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from florapark.functions.scores import finite_or_null, score_band
+from florapark.operators.ranking import group_median, quantiles
+from florapark.session import pin
 
 SPECIES = ("species_id",)
 DEFAULT_METRICS = ("auroc", "auprg")
@@ -144,18 +146,13 @@ def to_long(metrics: DataFrame, names: Sequence[str], keys: Sequence[str] = SPEC
     return metrics.select(*keys, *names).unpivot(list(keys), list(names), "metric", "value")
 
 
-def _median(value: Column | str) -> Column:
-    return F.expr(f"percentile({value}, 0.5)") if isinstance(value, str) else F.percentile(value, F.lit(0.5))
-
-
 def macro_summary(long: DataFrame) -> DataFrame:
     """Per metric: mean over finite species times 100, median for auprg, count."""
-    v = long.withColumn("value", finite_or_null("value")).where(F.col("value").isNotNull())
-    return v.groupBy("metric").agg(
-        (F.avg("value") * 100).alias("macro"),
-        F.when(F.col("metric") == "auprg", _median("value") * 100).alias("median"),
-        F.count("*").alias("n"),
-    )
+    # one row per species and metric, used three times
+    v = pin(long.withColumn("value", finite_or_null("value")).where(F.col("value").isNotNull()))
+    middle = group_median(v.where(F.col("metric") == "auprg"), ["metric"], "value", "_median")
+    means = v.groupBy("metric").agg((F.avg("value") * 100).alias("macro"), F.count("*").alias("n"))
+    return means.join(middle, "metric", "left").select("metric", "macro", (F.col("_median") * 100).alias("median"), "n")
 
 
 def average(per_species: DataFrame, value: str, weight: str = "n_pos", mode: str = "macro") -> DataFrame:
@@ -163,13 +160,15 @@ def average(per_species: DataFrame, value: str, weight: str = "n_pos", mode: str
     defined = per_species.withColumn(value, finite_or_null(value)).where(F.col(value).isNotNull())
     if mode == "none":
         return defined
+    if mode == "median":
+        defined = pin(defined.select(value))
+        return quantiles(defined, value, [0.5], [value]).select(F.lit(mode).alias("mode"), value)
     reducers = {
         "macro": F.avg(value),
-        "median": _median(value),
         "weighted": F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight).cast("double")),
     }
     if mode not in reducers:
-        raise ValueError(f"mode must be one of {[*reducers, 'none']}")
+        raise ValueError(f"mode must be one of {[*reducers, 'median', 'none']}")
     return defined.agg(F.lit(mode).alias("mode"), reducers[mode].alias(value))
 
 
@@ -245,8 +244,9 @@ def best_so_far(epochs: DataFrame, order: str = "epoch") -> DataFrame:
     The window runs over one row per epoch.
     """
     v = epochs.withColumn("value", finite_or_null("value"))
-    reduced = v.groupBy("metric", order).agg(
-        F.when(F.col("metric") == "auprg", _median("value")).otherwise(F.avg("value")).alias("value")
-    )
+    keys = ["metric", order]
+    middle = group_median(v.where(F.col("metric") == "auprg"), keys, "value", "_median")
+    reduced = v.groupBy(*keys).agg(F.avg("value").alias("_mean")).join(middle, keys, "left").select(
+        *keys, F.when(F.col("metric") == "auprg", F.col("_median")).otherwise(F.col("_mean")).alias("value"))
     w = Window.partitionBy("metric").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return reduced.withColumn("best", F.max("value").over(w))

@@ -73,10 +73,20 @@ def top_n_per_group(
     )
 
 
-def hash_slice(column: Column, slices: int = 256) -> Column:
-    """Slice number of a hex digest, in digest order (first two hex digits for 256)."""
-    digits = {16: 1, 256: 2, 4096: 3}[slices]
-    return F.conv(F.substring(column, 1, digits), 16, 10).cast("int")
+ROWS_PER_SLICE = 65_536
+
+
+def digest_slice(hex_digest: Column, group_rows: Column) -> Column:
+    """Slice number in digest order; a group gets as many slices as its size calls for, most get one."""
+    share = F.conv(F.substring(hex_digest, 1, 8), 16, 10).cast("double") / float(16**8)
+    return F.floor(share * F.ceil(group_rows / ROWS_PER_SLICE))
+
+
+def value_band(value: Column | str) -> Column:
+    """Coarse band of any real number, never decreasing with it, even on a signed log scale."""
+    v = F.col(value) if isinstance(value, str) else value
+    size = F.floor(F.log1p(F.abs(v) * 1000) * 16)
+    return F.when(v < 0, -size).otherwise(size)
 
 
 _NO_SLICE = -(1 << 62)
@@ -150,6 +160,12 @@ def weighted_quantiles(
     return ranked.groupBy(*keys).agg(*picks)
 
 
+def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """(keys, median) over the non-null values, without holding a group in one place."""
+    ties = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    return weighted_quantiles(ties, keys, value, "_n", value_band(value), [0.5], [name])
+
+
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Exact linearly interpolated quantiles of one column as a single row.
 

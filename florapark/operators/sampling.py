@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from florapark.functions.scores import digest
 from florapark.operators.properties import in_range_presence
-from florapark.operators.ranking import global_index, hash_slice, rank_in_group, top_n_per_group
+from florapark.operators.ranking import digest_slice, global_index, rank_in_group, top_n_per_group
 from florapark.session import pin
 
 POOL_MODELS = ("maxent", "glm", "gam", "randomforest", "brt")  # fixed value: models that use the large background pool
 POOL_BACKGROUND = 10_000
+SLOT_CHUNK = 8192
 
 
 def build_targets(records: DataFrame, dictionary: DataFrame, name: str = "species_name") -> DataFrame:
@@ -73,8 +74,9 @@ def background_cap(model: Column | str, n_presences: Column | str) -> Column:
 
 def area_slots(locations: DataFrame, seed: int) -> DataFrame:
     """Each location with its 0-based place in the shuffled list of its area."""
-    shuffled = locations.select("location_id", "area_code").withColumn("_h", digest(seed, "location_id"))
-    placed = rank_in_group(shuffled, ["area_code"], hash_slice(F.col("_h"), 4096), ["_h", "location_id"], "_r")
+    sizes = locations.groupBy("area_code").agg(F.count("*").alias("_n"))
+    shuffled = locations.select("location_id", "area_code").join(sizes, "area_code").withColumn("_h", digest(seed, "location_id"))
+    placed = rank_in_group(shuffled, ["area_code"], digest_slice(F.col("_h"), F.col("_n")), ["_h", "location_id"], "_r")
     return placed.select("location_id", "area_code", (F.col("_r") - 1).alias("slot"))
 
 
@@ -113,9 +115,18 @@ def draw_background(
     )))
     lo = F.greatest(F.col("_p.lo"), F.col("_first"))
     hi = F.least(F.col("_p.hi"), F.col("_last"))
-    wanted = pieces.where(lo < hi).select(
-        "species_id", "area_code", "_first", "_start", F.col("_p.shift").alias("_shift"),
-        F.explode(F.sequence(lo, hi - 1)).alias("_at"))
+    # a common species asks for many slots: runs are opened chunk by chunk, in different tasks
+    chunk = F.floor(F.col("_lo") / SLOT_CHUNK)
+    wanted = (
+        pieces.where(lo < hi)
+        .select("species_id", "area_code", "_first", "_start", F.col("_p.shift").alias("_shift"), lo.alias("_lo"), (hi - 1).alias("_hi"))
+        .withColumn("_chunk", F.explode(F.sequence(chunk, F.floor(F.col("_hi") / SLOT_CHUNK))))
+        .repartition("species_id", "_chunk")
+        .withColumn("_at", F.explode(F.sequence(
+            F.greatest(F.col("_lo"), F.col("_chunk") * SLOT_CHUNK),
+            F.least(F.col("_hi"), F.col("_chunk") * SLOT_CHUNK + (SLOT_CHUNK - 1)))))
+        .select("species_id", "area_code", "_first", "_start", "_shift", "_at")
+    )
     return wanted.withColumn("slot", F.col("_at") - F.col("_first")).join(slots, ["area_code", "slot"]).select(
         "species_id", "location_id", (F.col("_at") + F.col("_shift") - F.col("_start")).alias("place"))
 
@@ -175,11 +186,11 @@ def stratified_split(
     counts = pairs.groupBy("species_id").agg(F.count("*").alias("n"))
     owner = pairs.join(counts, "species_id").groupBy("location_id").agg(
         F.min(F.struct("n", "species_id")).alias("o")).select("location_id", F.col("o.species_id").alias("owner"))
-    hashed = owner.withColumn("_h", digest(seed, "location_id"))
-    ranked = rank_in_group(hashed, ["owner"], hash_slice(F.col("_h")), ["_h", "location_id"], "_r")
     sizes = owner.groupBy("owner").agg(F.count("*").alias("_n"))
+    hashed = owner.join(sizes, "owner").withColumn("_h", digest(seed, "location_id"))
+    ranked = rank_in_group(hashed, ["owner"], digest_slice(F.col("_h"), F.col("_n")), ["_h", "location_id"], "_r")
     to_test = F.greatest(F.lit(min_test).cast("double"), F.round(F.col("_n") * (1 - val_share)))
-    first = pin(ranked.join(sizes, "owner").select("location_id", (F.col("_r") <= to_test).alias("_test")))
+    first = pin(ranked.select("location_id", (F.col("_r") <= to_test).alias("_test")))
     # species still short of test rows
     placed = pairs.join(first, "location_id")
     lack = placed.groupBy("species_id").agg(F.count_if("_test").alias("_t"), F.count("*").alias("_all")).select(
@@ -214,13 +225,12 @@ def shuffle(rows: DataFrame, keys: Sequence[str], seed: int = 0) -> DataFrame:
 def stratified_holdout(rows: DataFrame, share: float = 0.2, seed: int = 0, key: str = "location_id") -> DataFrame:
     """Adds ``holdout``: the first share of each (species, label) in digest order; only if both labels have two rows."""
     strata = ["species_id", "label"]
-    hashed = rows.withColumn("_h", digest(seed, "species_id", key))
-    ranked = rank_in_group(hashed, strata, hash_slice(F.col("_h")), ["_h", key], "_r", nullable=["label"])
     sizes = rows.groupBy(*strata).agg(F.count("*").alias("_n"))
     both = sizes.groupBy("species_id").agg((F.count_if((F.col("_n") >= 2) & F.col("label").isin(0, 1)) == 2).alias("_both"))
-    sizes = sizes.select("species_id", F.col("label").alias("_label"), "_n")
-    stratum = (ranked["species_id"] == sizes["species_id"]) & ranked["label"].eqNullSafe(F.col("_label"))
-    out = ranked.join(sizes, stratum).drop(sizes["species_id"]).drop("_label").join(both, "species_id")
+    sizes = sizes.join(both, "species_id").select(F.col("species_id").alias("_species"), F.col("label").alias("_label"), "_n", "_both")
+    stratum = (rows["species_id"] == F.col("_species")) & rows["label"].eqNullSafe(F.col("_label"))
+    hashed = rows.join(sizes, stratum).drop("_species", "_label").withColumn("_h", digest(seed, "species_id", key))
+    out = rank_in_group(hashed, strata, digest_slice(F.col("_h"), F.col("_n")), ["_h", key], "_r", nullable=["label"])
     return out.withColumn("holdout", F.col("_both") & (F.col("_r") <= F.ceil(F.col("_n") * share))).drop("_h", "_r", "_n", "_both")
 
 

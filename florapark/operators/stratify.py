@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from florapark.functions.scores import finite_or_null
-from florapark.operators.ranking import global_index
+from florapark.operators.ranking import global_index, group_median
 from florapark.session import pin
 
 DEFAULT_X = "sampling_effort"
@@ -161,16 +161,25 @@ def paired(m1: DataFrame, m2: DataFrame, keys: Sequence[str] = ("species_id",))
     return a.join(b, list(keys))
 
 
-def reduce_delta(agg: str) -> Column:
-    """Delta of a set of pairs: mean, difference of medians, or median of differences."""
-    options = {
-        "mean": F.avg("v2") - F.avg("v1"),
-        "median": F.percentile("v2", F.lit(0.5)) - F.percentile("v1", F.lit(0.5)),
-        "paired_median": F.percentile(F.col("v2") - F.col("v1"), F.lit(0.5)),
-    }
-    if agg not in options:
-        raise ValueError(f"agg must be one of {sorted(options)}")
-    return options[agg]
+AGGREGATES = ("mean", "median", "paired_median")
+
+
+def grouped_deltas(pairs: DataFrame, keys: Sequence[str], agg: str) -> DataFrame:
+    """(keys, n, delta): mean, difference of medians, or median of differences of the pairs in each group."""
+    if agg not in AGGREGATES:
+        raise ValueError(f"agg must be one of {AGGREGATES}")
+    keys = list(keys)
+    if agg != "mean":
+        pairs = pin(pairs.select(*keys, "v1", "v2"))  # one row per species, used several times
+    means = pairs.groupBy(*keys).agg(F.count("*").alias("n"), (F.avg("v2") - F.avg("v1")).alias("delta"))
+    if agg == "mean":
+        return means
+    if agg == "paired_median":
+        middle = group_median(pairs.withColumn("_d", F.col("v2") - F.col("v1")), keys, "_d", "delta")
+    else:
+        middle = group_median(pairs, keys, "v1", "_m1").join(group_median(pairs, keys, "v2", "_m2"), keys).select(
+            *keys, (F.col("_m2") - F.col("_m1")).alias("delta"))
+    return means.drop("delta").join(middle, keys)
 
 
 def _all_regions(df: DataFrame) -> DataFrame:
@@ -183,17 +192,14 @@ def _all_regions(df: DataFrame) -> DataFrame:
 
 def region_deltas(member: DataFrame, pairs: DataFrame, agg: str = "mean") -> DataFrame:
     """Per stratum: number of paired species and delta in points; 0 when empty."""
-    got = member.join(pairs, "species_id").groupBy("region").agg(F.count("*").alias("n"), reduce_delta(agg).alias("delta"))
-    return _all_regions(got)
+    return _all_regions(grouped_deltas(member.join(pairs, "species_id"), ["region"], agg))
 
 
 def seed_stacked_deltas(member: DataFrame, pairs: DataFrame, n_seeds: int, agg: str = "median") -> DataFrame:
     """As ``region_deltas`` with seeds: species finite in every seed, reduced per seed, then averaged."""
     complete = pairs.groupBy("species_id").agg(F.count_distinct("seed").alias("k")).where(F.col("k") == n_seeds)
-    per_seed = (
-        member.join(pairs.join(complete, "species_id", "left_semi"), "species_id")
-        .groupBy("region", "seed").agg(F.count("*").alias("n"), reduce_delta(agg).alias("delta"))
-    )
+    inside = member.join(pairs.join(complete, "species_id", "left_semi"), "species_id")
+    per_seed = grouped_deltas(inside, ["region", "seed"], agg)
     return _all_regions(per_seed.groupBy("region").agg(F.max("n").alias("n"), F.avg("delta").alias("delta")))
 
 
@@ -215,6 +221,5 @@ def moving_window_grid(ranks: DataFrame, pairs: DataFrame, window: int, shift: i
         .withColumn("i", F.explode(steps(F.col("x_rank"))))
         .withColumn("j", F.explode(steps(F.col("y_rank"))))
     )
-    return spread.groupBy((F.col("i") * shift).alias("x_step"), (F.col("j") * shift).alias("y_step")).agg(
-        F.count("*").alias("n"), reduce_delta(agg).alias("delta")
-    )
+    steps_of = spread.withColumns({"x_step": F.col("i") * shift, "y_step": F.col("j") * shift})
+    return grouped_deltas(steps_of, ["x_step", "y_step"], agg)

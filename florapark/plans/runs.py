@@ -228,7 +228,7 @@ def _(t):
 @query("s2_write_by_species", """SELECT species_id AS species, count(*) AS n, CAST(sum(location_id) AS BIGINT) AS checksum FROM fx_occurrence GROUP BY 1""", "fx_occurrence")
 def _(t):
     path = out_dir(t) + "/by_species"
-    S.write_by_species(t.fx_occurrence.withColumn("species", F.col("species_id").cast("string")).drop("species_id"), path, 2)
+    S.write_by_species(t.fx_occurrence.withColumn("species", F.col("species_id").cast("string")).drop("species_id"), path)
     back = t.spark.read.parquet(path)
     return back.groupBy(F.col("species").cast("bigint").alias("species")).agg(F.count("*").alias("n"), F.sum("location_id").alias("checksum"))
 
@@ -254,7 +254,7 @@ def _(t):
 @query("s5_concat_species_files", "SELECT location_id, basis_of_record, species_id FROM fx_occurrence", "fx_occurrence")
 def _(t):
     path = out_dir(t) + "/cleaned"
-    S.write_by_species(t.fx_occurrence.drop("uncertainty_m"), path, 2, key="species_id")
+    S.write_by_species(t.fx_occurrence.drop("uncertainty_m"), path, key="species_id")
     return S.concat_species_files(t.spark, path).select("location_id", "basis_of_record", F.col("species_id").cast("bigint").alias("species_id"))
 
 

@@ -35,13 +35,16 @@ def read_occurrences(spark: SparkSession, path: str, schema: T.StructType = OCCU
     )
 
 
-def write_by_species(occ: DataFrame, path: str, files_per_species: int = 8, key: str = "species") -> None:
-    """Parquet folder per species; empty names dropped. A large species is written by several tasks."""
-    named = occ.where(F.col(key).isNotNull() & (F.trim(key) != ""))
-    salt = (F.rand(seed=0) * files_per_species).cast("int")
-    rows = [c for c in named.columns if c != key]
-    salt = F.pmod(F.hash(*rows), F.lit(files_per_species)) if rows else salt
-    named.repartition(F.col(key), salt).write.mode("append").partitionBy(key).parquet(path)
+def write_by_species(occ: DataFrame, path: str, rows_per_file: int = 1_000_000, key: str = "species") -> None:
+    """Parquet folder per species; empty names dropped.
+
+    A species is written by as many tasks as its number of rows calls for.
+    """
+    named = occ.where(F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != ""))
+    files = named.groupBy(key).agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
+    rest = [c for c in named.columns if c != key]
+    salted = named.join(files, key).withColumn("_part", F.pmod(F.xxhash64(*rest), F.col("_files")))
+    salted.repartition(key, "_part").drop("_files", "_part").write.mode("append").partitionBy(key).parquet(path)
 
 
 def read_plots(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "\t") -> DataFrame:
