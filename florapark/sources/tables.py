@@ -116,3 +116,9 @@ def species_metrics_table(long: DataFrame, species: DataFrame, metrics: Sequence
     """One row per species with its name and one column per metric."""
     wide = long.groupBy("species_id").pivot("metric", list(metrics)).agg(F.first("value", ignorenulls=True))
     return species.select("species_id", "species_name").join(wide, "species_id", "left")
+
+
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str | None = None) -> None:
+    """Store a table hashed and sorted by its join keys, so that joins and groupings on them need no shuffle of it."""
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(table)

@@ -128,3 +128,18 @@ def test_property_blocks_are_added_once(spark):
     assert (added, skipped) == (["b"], ["a"]) and out.first()["a"] == 5
     out, added, _ = R.property_table(base, blocks, force=["a"])
     assert out.first()["a"] == 6
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, rows in (("bucket_a", 100), ("bucket_b", 50)):
+            S.write_bucketed(spark.range(rows).selectExpr("id AS location_id", f"id AS {name}"), name, ["location_id"], 4, str(tmp_path / name))
+        joined = spark.table("bucket_a").join(spark.table("bucket_b"), "location_id")
+        assert joined.count() == 50
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for name in ("bucket_a", "bucket_b"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
