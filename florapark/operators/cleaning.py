@@ -69,7 +69,7 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
 
 
 def flag_duplicates(occ: DataFrame, keys: Sequence[str], order: str, name: str = "ok_duplicates") -> DataFrame:
-    """False for every record after the first with the same species and coordinates.
+    """False for every record after the first with the same species and coordinates (``order``: a record id).
 
     The first record is found by an aggregate, so copies merge before the shuffle.
     """

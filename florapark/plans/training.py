@@ -89,7 +89,7 @@ def _(t):
     return training_rows(t, "maxent")
 
 
-@query("p5_background_cap", "SELECT species_id, count(*) AS n_pos, 10000 AS cap_maxent, count(*) AS cap_lightgbm FROM fx_presence GROUP BY 1", "fx_presence")
+@query("p5_background_cap", "SELECT species_id, count(*) AS n_pos, CAST(10000 AS BIGINT) AS cap_maxent, count(*) AS cap_lightgbm FROM fx_presence GROUP BY 1", "fx_presence")
 def _(t):
     n = R.observed(t.fx_presence, "n_pos")
     return n.select("species_id", "n_pos", S.background_cap("maxent", "n_pos").alias("cap_maxent"), S.background_cap("lightgbm", "n_pos").alias("cap_lightgbm"))
@@ -288,7 +288,7 @@ def checksum(x) -> dict:
     return {"n_features": F.size(x), "checksum": F.round(weighted, 4)}
 
 
-CHECKSUM = "len(f) AS n_features, round(list_sum(list_transform(f, lambda v, i: v * i)), 4) AS checksum"
+CHECKSUM = "CAST(len(f) AS INTEGER) AS n_features, round(list_sum(list_transform(f, lambda v, i: v * i)), 4) AS checksum"
 
 
 @query("f24_select_predictors", """SELECT vec_id AS location_id, CAST(embedding[4] AS DOUBLE) AS a, CAST(embedding[1] AS DOUBLE) AS b, CAST(embedding[33] AS DOUBLE) AS c FROM embeddings""")
