@@ -95,7 +95,7 @@ def lattice_size(spacing_km: float = 5.0) -> int:
 
 
 def background_points(spark, n: int) -> DataFrame:
-    """``n`` points evenly spread over the sphere along a golden-angle spiral."""
+    """``n`` points evenly spread over the sphere along a golden-angle spiral; a pole has longitude 0."""
     import math
 
     i = F.col("id").cast("double")

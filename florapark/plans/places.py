@@ -222,7 +222,7 @@ GOLDEN = "(pi() * (3 - sqrt(5.0E0)))"
 
 
 @query("g19_background_points", f"""WITH n AS (SELECT count(*) AS n FROM orders), i AS (SELECT unnest(range(0, (SELECT n FROM n))) AS i), s AS (SELECT i, 1 - CAST(i AS DOUBLE) * 2 / ((SELECT n FROM n) - 1) AS y FROM i)
- SELECT i AS point_id, round(degrees(atan2(sin({GOLDEN} * i) * sqrt(1 - y * y), cos({GOLDEN} * i) * sqrt(1 - y * y))), 6) AS lon, round(degrees(asin(y)), 6) AS lat FROM s""")
+ SELECT i AS point_id, CASE WHEN abs(y) >= 1 THEN 0.0E0 ELSE round(degrees(atan2(sin({GOLDEN} * i) * sqrt(1 - y * y), cos({GOLDEN} * i) * sqrt(1 - y * y))), 6) END AS lon, round(degrees(asin(y)), 6) AS lat FROM s""")
 def _(t):
     return G.background_points(t.spark, t.orders.count()).withColumns(r6("lon", "lat"))
 
