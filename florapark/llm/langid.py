@@ -314,7 +314,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 
         # one row of fixed size per shard
         parts = [np.frombuffer(x["w"], np.float32) for x in
-                 sample.repartition(shards, F.xxhash64("key", "text")).mapInPandas(train, "w binary").collect()]
+                 sample.coalesce(shards).mapInPandas(train, "w binary").collect()]
         if parts:
             flat = np.mean(parts, axis=0)
     return Crf.of(langs, flat)
