@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from florapark.llm import langid, neardup
+from florapark.llm import langid, mixing, neardup, packing, quality, secrets
 
 QUERIES = {
+    "op1_quality_rules": quality.query,
+    "op2_packing": packing.query,
+    "op4_secret_scan": secrets.query,
+    "op5_mixing": mixing.query,
     "op7_minhash_dedup": neardup.query,
     "op9_language_id": langid.query,
 }
