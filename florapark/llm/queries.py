@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from florapark.llm import langid, mixing, neardup, packing, quality, secrets
+from florapark.llm import langid, mixing, neardup, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_packing": packing.query,
+    "op3_toxicity": toxicity.query,
     "op4_secret_scan": secrets.query,
     "op5_mixing": mixing.query,
     "op7_minhash_dedup": neardup.query,
