@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from florapark.llm import langid, mixing, neardup, packing, quality, secrets, toxicity
+from florapark.llm import fingerprints, langid, mixing, neardup, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.query,
     "op7_minhash_dedup": neardup.query,
     "op9_language_id": langid.query,
+    "op10_document_fingerprints": fingerprints.query,
 }
 
 CHECKS: dict[str, str] = {}
