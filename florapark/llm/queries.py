@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from florapark.llm import fingerprints, langid, mixing, neardup, packing, quality, secrets, toxicity
+from florapark.llm import fingerprints, fixity, langid, mixing, neardup, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -10,9 +10,10 @@ QUERIES = {
     "op3_toxicity": toxicity.query,
     "op4_secret_scan": secrets.query,
     "op5_mixing": mixing.query,
+    "op6_warc_fixity": fixity.query,
     "op7_minhash_dedup": neardup.query,
     "op9_language_id": langid.query,
     "op10_document_fingerprints": fingerprints.query,
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op6_warc_fixity": fixity.QUERY_SQL}
