@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from florapark.llm import fingerprints, fixity, langid, mixing, neardup, packing, quality, secrets, toxicity
+from florapark.llm import fingerprints, fixity, langid, licenses, mixing, neardup, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.query,
     "op6_warc_fixity": fixity.query,
     "op7_minhash_dedup": neardup.query,
+    "op8_license_scan": licenses.query,
     "op9_language_id": langid.query,
     "op10_document_fingerprints": fingerprints.query,
 }
