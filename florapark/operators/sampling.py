@@ -83,52 +83,47 @@ def area_slots(locations: DataFrame, seed: int) -> DataFrame:
 def draw_background(
     demand: DataFrame, species_area: DataFrame, locations: DataFrame, seed: int = 0
 ) -> DataFrame:
-    """``span`` in-range locations per species in a pseudo-random cyclic order (demand: species_id, span).
+    """``span`` in-range locations per species, spread over its areas by their sizes (demand: species_id, span).
 
-    The in-range list of a species is its areas one after the other, each shuffled
-    once. A draw is a run of slots from a pseudo-random start, so only the drawn rows
-    are touched; the (location, species) pairs of the mask are never listed.
-    Columns: species_id, location_id, place (0 = first drawn).
+    Every area of a range gets its part of the draw by largest remainder, and gives a
+    run of its shuffled list from a start that depends on species and area. Only the
+    drawn rows are touched; the (location, species) pairs of the mask are never listed.
+    Columns: species_id, location_id, area_code, turn (0 = first drawn in its area) and
+    share, which orders the draw so that any first part of it is spread in the same way.
     """
     slots = area_slots(locations, seed)
     sizes = slots.groupBy("area_code").agg(F.count("*").alias("_n"))
     # a few hundred areas at most per species
-    w = Window.partitionBy("species_id").orderBy("area_code")
-    ranges = (
-        species_area.select("species_id", "area_code").distinct().join(sizes, "area_code")
-        .withColumn("_last", F.sum("_n").over(w))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy("species_id")))
-        .withColumn("_first", F.col("_last") - F.col("_n"))
+    whole = Window.partitionBy("species_id")
+    by_rest = whole.orderBy(F.col("_rest").desc(), "area_code")
+    quotas = (
+        species_area.select("species_id", "area_code").distinct().join(sizes, "area_code").join(demand, "species_id")
+        .withColumn("_total", F.sum("_n").over(whole))
+        .withColumn("_want", F.least("span", "_total"))
+        .withColumn("_base", F.expr("_want * _n div _total")).withColumn("_rest", F.col("_want") * F.col("_n") % F.col("_total"))
+        .withColumn("_over", F.col("_want") - F.sum("_base").over(whole))
+        .withColumn("_q", F.col("_base") + F.when(F.row_number().over(by_rest) <= F.col("_over"), 1).otherwise(0))
+        .where("_q > 0")
+        .withColumn("_start", F.pmod(F.conv(F.substring(digest(seed, "species_id", "area_code"), 1, 15), 16, 10).cast("bigint"), F.col("_n")))
     )
-    start = F.pmod(F.conv(F.substring(digest(seed, "species_id"), 1, 15), 16, 10).cast("bigint"), F.col("_total"))
-    runs = (
-        ranges.join(demand, "species_id")
-        .withColumn("_start", start)
-        .withColumn("_take", F.least(F.col("span"), F.col("_total")))
-    )
-    # the run may wrap round the end of the list: two pieces, each cut to the area
-    end = F.col("_start") + F.col("_take")
-    pieces = runs.withColumn("_p", F.explode(F.array(
-        F.struct(F.col("_start").alias("lo"), F.least(end, F.col("_total")).alias("hi"), F.lit(0).cast("bigint").alias("shift")),
-        F.struct(F.lit(0).cast("bigint").alias("lo"), F.greatest(end - F.col("_total"), F.lit(0).cast("bigint")).alias("hi"),
-                 F.col("_total").alias("shift")),
-    )))
-    lo = F.greatest(F.col("_p.lo"), F.col("_first"))
-    hi = F.least(F.col("_p.hi"), F.col("_last"))
+    # the run may wrap round the end of the area's list
+    end = F.col("_start") + F.col("_q")
+    zero = F.lit(0).cast("bigint")
+    pieces = quotas.withColumn("_p", F.explode(F.array(
+        F.struct(F.col("_start").alias("lo"), F.least(end, F.col("_n")).alias("hi"), (-F.col("_start")).alias("shift")),
+        F.struct(zero.alias("lo"), F.greatest(end - F.col("_n"), zero).alias("hi"), (F.col("_n") - F.col("_start")).alias("shift")),
+    ))).select("species_id", "area_code", "_q", "_p.lo", "_p.hi", "_p.shift").where("lo < hi")
     # a common species asks for many slots: runs are opened chunk by chunk, in different tasks
-    chunk = F.floor(F.col("_lo") / SLOT_CHUNK)
     wanted = (
-        pieces.where(lo < hi)
-        .select("species_id", "area_code", "_first", "_start", F.col("_p.shift").alias("_shift"), lo.alias("_lo"), (hi - 1).alias("_hi"))
-        .withColumn("_chunk", F.explode(F.sequence(chunk, F.floor(F.col("_hi") / SLOT_CHUNK))))
-        .repartition("species_id", "_chunk")
-        .withColumn("_at", F.explode(F.sequence(
-            F.greatest(F.col("_lo"), F.col("_chunk") * SLOT_CHUNK),
-            F.least(F.col("_hi"), F.col("_chunk") * SLOT_CHUNK + (SLOT_CHUNK - 1)))))
-        .select("species_id", "area_code", "_first", "_start", "_shift", "_at")
+        pieces.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("lo") / SLOT_CHUNK), F.floor((F.col("hi") - 1) / SLOT_CHUNK))))
+        .repartition("species_id", "area_code", "_chunk")
+        .withColumn("slot", F.explode(F.sequence(
+            F.greatest(F.col("lo"), F.col("_chunk") * SLOT_CHUNK),
+            F.least(F.col("hi") - 1, F.col("_chunk") * SLOT_CHUNK + (SLOT_CHUNK - 1)))))
+        .select("species_id", "area_code", "_q", "slot", (F.col("slot") + F.col("shift")).alias("turn"))
     )
-    return wanted.withColumn("slot", F.col("_at") - F.col("_first")).join(slots, ["area_code", "slot"]).select(
-        "species_id", "location_id", (F.col("_at") + F.col("_shift") - F.col("_start")).alias("place"))
+    return wanted.join(slots, ["area_code", "slot"]).select(
+        "species_id", "location_id", "area_code", "turn", ((2 * F.col("turn") + 1) / (2 * F.col("_q"))).alias("share"))
 
 
 def presence_background(
@@ -152,10 +147,11 @@ def presence_background(
     met = pin(draw_background(demand, species_area, locations, seed).join(drawn, ["species_id", "location_id"], "left_anti"))
     free = met.groupBy("species_id").agg(F.count("*").alias("n_free")).join(n_pos, "species_id")
     take = F.when(F.col("n_free") < F.col("n_pos"), F.col("n_free")).otherwise(background_cap(model, "n_pos"))
-    # place order is sliced so that no species is ranked by one task alone
-    quota = free.select("species_id", take.alias("_take"))
-    ranked = rank_in_group(met, ["species_id"], F.floor(F.col("place") / 65536), ["place"], "_r")
-    background = ranked.join(quota, "species_id").where(F.col("_r") <= F.col("_take"))
+    # the order is sliced so that no species is ranked by one task alone
+    quota = free.select("species_id", take.alias("_take"), F.ceil(F.col("n_free") / 65536).alias("_slices"))
+    sliced = met.join(quota, "species_id")
+    ranked = rank_in_group(sliced, ["species_id"], F.floor(F.col("share") * F.col("_slices")), ["share", "area_code", "turn"], "_r")
+    background = ranked.where(F.col("_r") <= F.col("_take"))
     return drawn.select("species_id", "location_id", F.lit(1).alias("label")).unionByName(
         background.select("species_id", "location_id", F.lit(0).alias("label")))
 

@@ -65,12 +65,15 @@ def _(t):
 BACKGROUND = """vis AS (SELECT * FROM fx_location WHERE location_id IN (SELECT location_id FROM fx_presence)),
 slots AS (SELECT location_id, area_code, row_number() OVER (PARTITION BY area_code ORDER BY md5(concat_ws(':', '3', location_id)), location_id) - 1 AS slot FROM vis),
 sizes AS (SELECT area_code, count(*) AS n FROM slots GROUP BY 1),
-rng AS (SELECT species_id, a.area_code, sum(n) OVER (PARTITION BY species_id ORDER BY a.area_code) - n AS f, sum(n) OVER (PARTITION BY species_id) AS total FROM fx_species_area a JOIN sizes s ON a.area_code = s.area_code),
 npos AS (SELECT species_id, count(*) AS np FROM drawn GROUP BY 1),
-cand AS (SELECT r.species_id, s.location_id, ((f + slot) - CAST(('0x' || substr(md5(concat_ws(':', '3', r.species_id)), 1, 15)) AS BIGINT) % total + total) % total AS place,
-   least(total, {limit} + np) AS span, np FROM rng r JOIN slots s ON r.area_code = s.area_code JOIN npos ON npos.species_id = r.species_id),
-met AS (SELECT c.* FROM cand c WHERE place < span AND NOT EXISTS (SELECT 1 FROM drawn d WHERE d.species_id = c.species_id AND d.location_id = c.location_id)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY species_id ORDER BY place) AS k, count(*) OVER (PARTITION BY species_id) AS free FROM met),
+quota AS (SELECT *, base + CASE WHEN row_number() OVER (PARTITION BY species_id ORDER BY rest DESC, area_code) <= want - sum(base) OVER (PARTITION BY species_id) THEN 1 ELSE 0 END AS q FROM
+  (SELECT *, want * n // total AS base, want * n % total AS rest FROM
+    (SELECT *, least({limit} + np, total) AS want FROM
+      (SELECT a.species_id, a.area_code, n, np, CAST(sum(n) OVER (PARTITION BY a.species_id) AS BIGINT) AS total FROM fx_species_area a JOIN sizes s ON a.area_code = s.area_code JOIN npos ON npos.species_id = a.species_id)))),
+cand AS (SELECT u.species_id, s.location_id, u.area_code, np, q, ((slot - CAST(('0x' || substr(md5(concat_ws(':', '3', u.species_id, u.area_code)), 1, 15)) AS BIGINT) % n) + n) % n AS turn
+   FROM quota u JOIN slots s ON u.area_code = s.area_code),
+met AS (SELECT c.* FROM cand c WHERE turn < q AND NOT EXISTS (SELECT 1 FROM drawn d WHERE d.species_id = c.species_id AND d.location_id = c.location_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY species_id ORDER BY (2 * turn + 1) / (2 * q), area_code, turn) AS k, count(*) OVER (PARTITION BY species_id) AS free FROM met),
 pb AS (SELECT species_id, location_id, 1 AS label FROM drawn UNION ALL SELECT species_id, location_id, 0 FROM ranked WHERE k <= CASE WHEN free < np THEN free ELSE {limit} END)"""
 
 
@@ -89,6 +92,21 @@ def _(t):
     return training_rows(t, "maxent")
 
 
+# no draw in the check: every area of a range must hold its share of the draw, to within one row
+@query("p4_background_by_area", """WITH vis AS (SELECT * FROM fx_location WHERE location_id IN (SELECT location_id FROM fx_presence)), s AS (SELECT area_code, count(*) AS n FROM vis GROUP BY 1)
+SELECT species_id, a.area_code, n AS in_area, true AS fair, true AS different FROM fx_species_area a JOIN s ON a.area_code = s.area_code""", PLA)
+def _(t):
+    seen = R.visited(t.fx_location, t.fx_presence)
+    sizes = seen.groupBy("area_code").agg(F.count("*").alias("in_area"))
+    ranges = t.fx_species_area.select("species_id", "area_code").distinct().join(sizes, "area_code")
+    demand = ranges.groupBy("species_id").agg(F.ceil(F.sum("in_area") / 3).cast("bigint").alias("span"), F.sum("in_area").alias("total"))
+    drawn = S.draw_background(demand.select("species_id", "span"), t.fx_species_area, seen, 3)
+    got = drawn.groupBy("species_id", "area_code").agg(F.count("*").alias("n"), F.count_distinct("location_id").alias("d"))
+    both = ranges.join(demand, "species_id").join(got, ["species_id", "area_code"], "left").na.fill(0, ["n", "d"])
+    return both.select("species_id", "area_code", "in_area", (F.abs(F.col("n") - F.col("span") * F.col("in_area") / F.col("total")) < 1).alias("fair"),
+                       (F.col("n") == F.col("d")).alias("different"))
+
+
 @query("p5_background_cap", "SELECT species_id, count(*) AS n_pos, CAST(10000 AS BIGINT) AS cap_maxent, count(*) AS cap_lightgbm FROM fx_presence GROUP BY 1", "fx_presence")
 def _(t):
     n = R.observed(t.fx_presence, "n_pos")
