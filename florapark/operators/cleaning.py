@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -82,19 +83,25 @@ def near_reference(
 ) -> DataFrame:
     """Distinct coordinates within ``radius_m`` of a reference point (with lon, lat, radius_m).
 
-    Each reference point is copied to the degree cells its radius can reach, each
-    coordinate sits in one cell, and the distance is tested inside cells only.
+    Each reference point is copied to the degree cells its radius can reach, also across
+    the 180th meridian; each coordinate sits in one cell, and the distance is tested
+    inside cells only.
     """
     reach_lat = F.col("radius_m") / 111_000.0
-    reach_lon = reach_lat / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("p_lat")) + reach_lat))), F.lit(0.01))
+    wide = reach_lat / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("p_lat")) + reach_lat))), F.lit(0.01))
+    # a radius that takes in a pole reaches every longitude
+    reach_lon = F.when(F.abs(F.col("p_lat")) + reach_lat >= 89, F.lit(180.0)).otherwise(F.least(wide, F.lit(180.0)))
+    east = lambda c: F.pmod(c.cast("double") + 180.0, F.lit(360.0))
+    last = math.ceil(360.0 / cell_deg) - 1
     p = points.select(F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"), "radius_m")
 
     def cells(c: Column, reach: Column) -> Column:
-        return F.explode(F.sequence(F.floor((c - reach) / cell_deg), F.floor((c + reach) / cell_deg)))
+        return F.sequence(F.floor((c - reach) / cell_deg), F.floor((c + reach) / cell_deg))
 
-    spread = p.withColumn("_cx", cells(F.col("p_lon"), reach_lon)).withColumn("_cy", cells(F.col("p_lat"), reach_lat))
+    turns = [F.filter(cells(east(F.col("p_lon")) + turn, reach_lon), lambda x: x.between(0, last)) for turn in (-360.0, 0.0, 360.0)]
+    spread = p.withColumn("_cx", F.explode(F.array_distinct(F.concat(*turns)))).withColumn("_cy", F.explode(cells(F.col("p_lat"), reach_lat)))
     places = locations.select(lon, lat).distinct().withColumns({
-        "_cx": F.floor(F.col(lon) / cell_deg), "_cy": F.floor(F.col(lat) / cell_deg)})
+        "_cx": F.floor(east(F.col(lon)) / cell_deg), "_cy": F.floor(F.col(lat) / cell_deg)})
     hit = haversine_m(F.col(lon), F.col(lat), F.col("p_lon"), F.col("p_lat")) <= F.col("radius_m")
     return places.join(spread, ["_cx", "_cy"]).where(hit).select(lon, lat).distinct()
 

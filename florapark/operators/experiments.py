@@ -85,8 +85,8 @@ def training_time_summary(times: DataFrame, seconds: str = "train_time_seconds")
 def model_score(results: DataFrame, species: DataFrame, metric: str, species_name: str | None = None) -> DataFrame:
     """Scores of one metric with species names; an absent metric names those there are."""
     got = results.where(F.col("metric") == metric)
-    if got.limit(1).count() == 0:
-        there = [r["metric"] for r in results.select("metric").distinct().orderBy("metric").limit(100).collect()]
+    if got.isEmpty():
+        there = sorted(r["metric"] or "" for r in results.select("metric").distinct().collect())
         raise ValueError(f"metric {metric!r} not in results; available: {there}")
     named = got.join(species.select("species_id", "species_name"), "species_id")
     return named if species_name is None else named.where(F.col("species_name") == species_name)

@@ -11,7 +11,6 @@ from florapark.functions.scores import finite_or_null, score_band
 from florapark.operators.ranking import running_sum_in_group, weighted_quantiles
 
 LOG_FLOOR = 1e-12  # fixed value: smallest prediction told apart on the log scale
-MAX_GRID_DIM = 1500  # fixed value: widest occurrence grid
 LAND_STEPS = 1.5  # fixed value: cells farther than this many steps from any background point are sea
 
 # fixed values: named boxes (lon_min, lon_max, lat_min, lat_max)
@@ -188,8 +187,11 @@ def _median_gap(places: DataFrame, axis: str, keys: Sequence[str]) -> DataFrame:
     return gaps.groupBy(*keys).agg(F.coalesce(F.percentile("_gap", F.lit(0.5)), F.lit(0.008333)).alias(f"_step_{axis}"))
 
 
-def occurrence_grid(in_range: DataFrame, presence: DataFrame, keys: Sequence[str] = ("species_id",)) -> DataFrame:
-    """(keys, row, col, category): 0 visited, 1 present. The step is the data's own spacing, coarsened if too wide.
+def occurrence_grid(in_range: DataFrame, presence: DataFrame, keys: Sequence[str] = ("species_id",),
+                    max_dim: int | None = None) -> DataFrame:
+    """(keys, row, col, category, step): 0 visited, 1 present. The step is the data's own spacing.
+
+    With ``max_dim`` the step grows until the grid has at most so many rows or columns.
 
     ``in_range`` and ``presence`` have keys, lon, lat of grid cells.
     """
@@ -201,7 +203,7 @@ def occurrence_grid(in_range: DataFrame, presence: DataFrame, keys: Sequence[str
     step = F.greatest("_step_lon", "_step_lat", F.lit(1e-6))
     frame = (
         extent.join(_median_gap(places, "lon", keys), keys).join(_median_gap(places, "lat", keys), keys)
-        .withColumn("_step", F.greatest(step, F.greatest("_span", step) / MAX_GRID_DIM))
+        .withColumn("_step", step if max_dim is None else F.greatest(step, F.greatest("_span", step) / max_dim))
         .select(*keys, "_x0", "_y0", "_step")
     )
 
@@ -217,7 +219,8 @@ def occurrence_grid(in_range: DataFrame, presence: DataFrame, keys: Sequence[str
         .where(F.col("row").between(0, F.col("_rows")) & F.col("col").between(0, F.col("_cols")))
         .drop("_rows", "_cols")
     )
-    return visited.unionByName(present).groupBy(*keys, "row", "col").agg(F.max("category").alias("category"))
+    cells_of = visited.unionByName(present).groupBy(*keys, "row", "col").agg(F.max("category").alias("category"))
+    return cells_of.join(frame.select(*keys, F.col("_step").alias("step")), keys)
 
 
 def pick_region(points: DataFrame, keys: Sequence[str] = ("species_id",)) -> DataFrame:

@@ -149,6 +149,8 @@ class Linear:
 
 
 RIDGE_FLOOR = 1e-6
+# a fit that ran out of rounds is still scored; its status says so
+FITTED = "status not in ('no presences', 'no background')"
 LARGEST_STEP = 4.0
 
 
@@ -203,9 +205,9 @@ def penalised_solve(spec: Linear) -> Solve:
         a = h + quad + RIDGE_FLOOR * np.eye(q)
         b = a @ beta - (g + quad @ beta)
         if not lam.any():
-            new = np.linalg.solve(a, b)
+            new, settled = np.linalg.solve(a, b), True
         else:
-            new = beta.copy()
+            new, settled = beta.copy(), False
             for _ in range(200):
                 biggest = 0.0
                 for j in range(q):
@@ -214,6 +216,7 @@ def penalised_solve(spec: Linear) -> Solve:
                     biggest = max(biggest, abs(v - new[j]))
                     new[j] = v
                 if biggest < spec.tolerance / 10:
+                    settled = True
                     break
         move = new - beta
         size = np.abs(move).max()
@@ -221,7 +224,7 @@ def penalised_solve(spec: Linear) -> Solve:
             move *= LARGEST_STEP / size
         state = state.copy()
         state[:q] = beta + move
-        return state, bool(size < spec.tolerance)
+        return state, bool(settled and size < spec.tolerance)
 
     return solve
 
@@ -384,13 +387,14 @@ def fit_boosted(train: DataFrame, spec: Boosted, features: str = "features", hol
     return counted.join(begin.select("species_id", "n", "k"), "species_id").select(
         "species_id", "state", "n_trees", F.col("n").cast("bigint").alias("n_samples"), F.col("k").cast("bigint").alias("n_presences"),
         F.col("_p").cast("int").alias("n_features"),
-        F.when(F.col("k") == 0, "no presences").when(F.col("k") == F.col("n"), "no background").otherwise("ok").alias("status"))
+        F.when(F.col("k") == 0, "no presences").when(F.col("k") == F.col("n"), "no background")
+        .when(F.get("state", F.col("_p") * 2 + 3) >= spec.trees, "all trees used").otherwise("ok").alias("status"))
 
 
 def score_boosted(model: DataFrame, rows: DataFrame, spec: Boosted, features: str = "features") -> DataFrame:
     """Probability of every (species, row) pair in ``rows`` (species_id, location_id, features, ...)."""
     keep = [c for c in rows.columns if c != features]
-    joined = rows.join(model.where("status = 'ok'").select("species_id", "state", "n_trees"), "species_id")
+    joined = rows.join(model.where(FITTED).select("species_id", "state", "n_trees"), "species_id")
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", probability double"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -466,26 +470,32 @@ def grow_tree(x: np.ndarray, y: np.ndarray, spec: Forest, rng: np.random.Generat
 
 
 def fit_forest(train: DataFrame, spec: Forest, features: str = "features") -> DataFrame:
-    """One row per (species_id, tree) with the tree as an array of (feature, cut, left, right, value) rows, flattened."""
+    """One row per (species_id, tree): nodes, an array of (feature, cut, left, right, value) rows, flattened, and depth."""
 
     def fit(sample: pd.DataFrame) -> pd.DataFrame:
         s, t = int(sample["species_id"].iloc[0]), int(sample["tree"].iloc[0])
         rng = np.random.default_rng([spec.seed, s, t])
         nodes = grow_tree(np.vstack(sample[features].to_list()), sample["label"].to_numpy(float), spec, rng)
-        return pd.DataFrame({"species_id": [s], "tree": [t], "nodes": [np.asarray(nodes, dtype=float).ravel().tolist()]})
+        depth = [0] * len(nodes)
+        for i, (f, _, left, right, _) in enumerate(nodes):
+            if f >= 0:
+                depth[left] = depth[right] = depth[i] + 1
+        flat = np.asarray(nodes, dtype=float).ravel().tolist()
+        return pd.DataFrame({"species_id": [s], "tree": [t], "nodes": [flat], "depth": [max(depth)]})
 
     return balanced_samples(train, spec, features).groupBy("species_id", "tree").applyInPandas(
-        fit, "species_id bigint, tree int, nodes array<double>")
+        fit, "species_id bigint, tree int, nodes array<double>, depth int")
 
 
 def score_forest(model: DataFrame, rows: DataFrame, features: str = "features") -> DataFrame:
     """Mean leaf value over the trees; a tree is followed by column expressions, so scoring needs no Python."""
     # at most a few dozen trees per species
-    trees = model.groupBy("species_id").agg(F.collect_list("nodes").alias("_trees"))
+    trees = model.groupBy("species_id").agg(F.collect_list(F.struct("nodes", "depth")).alias("_trees"))
     x = F.col(features)
 
-    def follow(nodes: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.lit(32))
+    def follow(tree: Column) -> Column:
+        nodes = tree["nodes"]
+        steps = F.sequence(F.lit(0), tree["depth"])  # one more than there are levels
 
         def move(at: Column, _: Column) -> Column:
             f = F.get(nodes, at).cast("int")
@@ -510,7 +520,7 @@ def score_linear(model: DataFrame, rows: DataFrame, features: str = "features",
     """
     cols = ["species_id", "intercept", "coefficients"] + [c for c in ("alpha", "entropy") if c in model.columns]
     keep = [c for c in rows.columns if c != features]
-    joined = rows.join(model.where("status = 'ok'").select(*cols), "species_id")
+    joined = rows.join(model.where(FITTED).select(*cols), "species_id")
     eta = X.dot(features, "coefficients")
     if link == "logit":
         prob = X.sigmoid(F.col("intercept") + eta)

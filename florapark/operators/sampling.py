@@ -16,7 +16,7 @@ from florapark.operators.ranking import digest_slice, global_index, rank_in_grou
 from florapark.session import pin
 
 POOL_MODELS = ("maxent", "glm", "gam", "randomforest", "brt")  # fixed value: models that use the large background pool
-POOL_BACKGROUND = 10_000
+POOL_BACKGROUND = 10_000  # fixed value: size of that pool, the default of ``pool``
 SLOT_CHUNK = 8192
 
 
@@ -65,11 +65,11 @@ def intersect_sorted(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFra
     return a.join(b.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def background_cap(model: Column | str, n_presences: Column | str) -> Column:
-    """10,000 for pool models, else as many as presences."""
+def background_cap(model: Column | str, n_presences: Column | str, pool: int = POOL_BACKGROUND) -> Column:
+    """``pool`` rows for pool models, else as many as presences."""
     model = F.lit(model) if isinstance(model, str) else model
     n = F.col(n_presences) if isinstance(n_presences, str) else n_presences
-    return F.when(model.isin(*POOL_MODELS), F.lit(POOL_BACKGROUND).cast("bigint")).otherwise(n.cast("bigint"))
+    return F.when(model.isin(*POOL_MODELS), F.lit(pool).cast("bigint")).otherwise(n.cast("bigint"))
 
 
 def area_slots(locations: DataFrame, seed: int) -> DataFrame:
@@ -128,7 +128,7 @@ def draw_background(
 
 def presence_background(
     presence: DataFrame, locations: DataFrame, species_area: DataFrame, model: str = "maxent", cap: int | None = None,
-    seed: int = 0,
+    seed: int = 0, pool: int = POOL_BACKGROUND,
 ) -> DataFrame:
     """Training rows of all species at once: (species_id, location_id, label).
 
@@ -141,12 +141,12 @@ def presence_background(
         drawn = cap_per_species(drawn, cap, seed)
     drawn = pin(drawn)  # counted, excluded and returned below
     n_pos = drawn.groupBy("species_id").agg(F.count("*").alias("n_pos"))
-    limit = F.greatest(background_cap(model, "n_pos"), F.col("n_pos"))
+    limit = F.greatest(background_cap(model, "n_pos", pool), F.col("n_pos"))
     # enough slots for the limit and for every presence that may be met on the way
     demand = n_pos.select("species_id", (limit + F.col("n_pos")).alias("span"))
     met = pin(draw_background(demand, species_area, locations, seed).join(drawn, ["species_id", "location_id"], "left_anti"))
     free = met.groupBy("species_id").agg(F.count("*").alias("n_free")).join(n_pos, "species_id")
-    take = F.when(F.col("n_free") < F.col("n_pos"), F.col("n_free")).otherwise(background_cap(model, "n_pos"))
+    take = F.when(F.col("n_free") < F.col("n_pos"), F.col("n_free")).otherwise(background_cap(model, "n_pos", pool))
     # the order is sliced so that no species is ranked by one task alone
     quota = free.select("species_id", take.alias("_take"), F.ceil(F.col("n_free") / 65536).alias("_slices"))
     sliced = met.join(quota, "species_id")

@@ -221,10 +221,16 @@ def _(t):
 GOLDEN = "(pi() * (3 - sqrt(5.0E0)))"
 
 
-@query("g19_background_points", f"""WITH n AS (SELECT count(*) AS n FROM orders), i AS (SELECT unnest(range(0, (SELECT n FROM n))) AS i), s AS (SELECT i, 1 - CAST(i AS DOUBLE) * 2 / ((SELECT n FROM n) - 1) AS y FROM i)
- SELECT i AS point_id, CASE WHEN abs(y) >= 1 THEN 0.0E0 ELSE round(degrees(atan2(sin({GOLDEN} * i) * sqrt(1 - y * y), cos({GOLDEN} * i) * sqrt(1 - y * y))), 6) END AS lon, round(degrees(asin(y)), 6) AS lat FROM s""")
+@query("g19_background_points", f"""WITH i AS (SELECT unnest(range(0, {G.lattice_size(50.0)})) AS i), s AS (SELECT i, 1 - CAST(i AS DOUBLE) * 2 / ({G.lattice_size(50.0)} - 1) AS y FROM i),
+ p AS (SELECT i AS point_id, CASE WHEN abs(y) >= 1 THEN 0.0E0 ELSE round(degrees(atan2(sin({GOLDEN} * i) * sqrt(1 - y * y), cos({GOLDEN} * i) * sqrt(1 - y * y))), 6) END AS lon, round(degrees(asin(y)), 6) AS lat FROM s),
+ c AS (SELECT floor(lon) AS cx, floor(lat) AS cy, count(*) AS n_locations FROM fx_location GROUP BY 1, 2)
+ SELECT point_id, lon, lat, n_locations FROM p JOIN c ON floor(p.lon) = cx AND floor(p.lat) = cy""", "fx_location")
 def _(t):
-    return G.background_points(t.spark, t.orders.count()).withColumns(r6("lon", "lat"))
+    """Lattice points 50 km apart, kept where the same degree cell holds a location."""
+    degree = lambda c: F.floor(c).cast("long")
+    cells = t.fx_location.groupBy(degree("lon").alias("cx"), degree("lat").alias("cy")).agg(F.count("*").alias("n_locations"))
+    lattice = G.background_points(t.spark, G.lattice_size(50.0)).withColumns(r6("lon", "lat"))
+    return lattice.join(cells, (degree(lattice["lon"]) == F.col("cx")) & (degree(lattice["lat"]) == F.col("cy"))).drop("cx", "cy")
 
 
 # ---- rasters ----
@@ -348,7 +354,7 @@ SELECT p.species_id, CAST(round_even((lat - y0) / step, 0) AS BIGINT) AS "row",
 def _(t):
     vis = SP.range_mask_by_location(t.fx_location, t.fx_species_area).join(t.fx_location.select("location_id", "lon", "lat"), "location_id")
     pres = R.in_range_presence(t.fx_presence, t.fx_location, t.fx_species_area).join(t.fx_location.select("location_id", "lon", "lat"), "location_id")
-    return MP.occurrence_grid(vis, pres)
+    return MP.occurrence_grid(vis, pres, max_dim=1500).drop("step")
 
 
 def rescale_sql(v: str) -> str:

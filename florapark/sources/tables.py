@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from florapark.operators.ranking import global_index
 
@@ -27,12 +27,26 @@ OCCURRENCE_SCHEMA = T.StructType([
 
 
 def read_occurrences(spark: SparkSession, path: str, schema: T.StructType = OCCURRENCE_SCHEMA) -> DataFrame:
-    """Tab-separated occurrence download; malformed rows are skipped; species = scientificName."""
-    return (
-        spark.read.option("sep", "\t").option("header", True).option("mode", "DROPMALFORMED")
-        .schema(schema).csv(path)
-        .withColumn("species", F.col("scientificName"))
-    )
+    """Tab-separated, unquoted occurrence download; species = scientificName.
+
+    A row with another number of fields than the header is skipped, whatever columns are
+    read later; a value that does not fit its type is null. Columns the header lacks are null.
+    """
+    lines = spark.read.text(path)
+    top = lines.first()
+    names = [] if top is None else top["value"].split("\t")
+    fields = lines.where(F.col("value") != F.lit(top["value"] if top else "")).select(F.split("value", "\t", -1).alias("f")).where(
+        F.size("f") == len(names))
+
+    def value(f: T.StructField) -> Column:
+        if f.name not in names:
+            return F.lit(None).cast(f.dataType)
+        raw = F.nullif(F.get("f", F.lit(names.index(f.name))), F.lit(""))
+        # whole numbers may be written with a fraction
+        number = raw.try_cast("double").try_cast(f.dataType) if isinstance(f.dataType, T.IntegralType) else None
+        return raw.try_cast(f.dataType) if number is None else F.coalesce(raw.try_cast(f.dataType), number)
+
+    return fields.select(*[value(f).alias(f.name) for f in schema.fields]).withColumn("species", F.col("scientificName"))
 
 
 def write_by_species(occ: DataFrame, path: str, rows_per_file: int = 1_000_000, key: str = "species") -> None:

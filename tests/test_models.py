@@ -85,6 +85,22 @@ def test_forest_scoring_follows_the_trees(spark, data):
         assert abs(np.mean(votes) - scored[(r["species_id"], r["location_id"])]) < 1e-12
 
 
+def test_fits_that_ran_out_of_rounds_are_scored(spark, data):
+    model = L.fit_linear(data, L.Linear(l2=1.0, rounds=1))
+    status = {r["species_id"]: r["status"] for r in model.collect()}
+    assert status == {1: "not converged", 2: "not converged", 3: "no presences"}
+    assert {r["species_id"] for r in L.score_linear(model, data).select("species_id").distinct().collect()} == {1, 2}
+
+
+def test_deep_trees_are_followed_to_their_leaves(spark):
+    rows = [(1, i, i % 2, 1.0, [float(i)]) for i in range(120)]
+    data = spark.createDataFrame(rows, "species_id bigint, location_id bigint, label int, weight double, features array<double>")
+    model = L.fit_forest(data, L.Forest(trees=1, max_features=1, depth=200, min_leaf=1)).cache()
+    assert model.first()["depth"] > 32
+    scored = L.score_forest(model, data)
+    assert scored.where((F.col("probability") - F.col("label")) != 0).count() == 0
+
+
 def test_unknown_model(spark):
     with pytest.raises(ValueError, match="maxent"):
         L.get_model("perceptron", 3)

@@ -11,10 +11,34 @@ from pyspark.sql import functions as F
 def test_malformed_rows_are_skipped(spark, tmp_path):
     head = "\t".join(f.name for f in S.OCCURRENCE_SCHEMA.fields)
     good = "Abies alba\t8.1\t46.2\tCH\t1\t77\tPinaceae\tSPECIES\t10\t2001\tHUMAN_OBSERVATION\tX\tY"
-    bad = "Abies alba\tnorth\t46.2\tCH\t1\t78\tPinaceae\tSPECIES\t10\t2001\tHUMAN_OBSERVATION\tX\tY"
-    (tmp_path / "occ.csv").write_text("\n".join([head, good, bad]) + "\n")
-    rows = S.read_occurrences(spark, str(tmp_path / "occ.csv")).collect()
-    assert [r["gbifID"] for r in rows] == [77] and rows[0]["species"] == "Abies alba"
+    odd = "Abies alba\tnorth\t46.2\tCH\tmany\t78\tPinaceae\tSPECIES\t10\t2000.0\tHUMAN_OBSERVATION\tX\tY"
+    (tmp_path / "occ.csv").write_text("\n".join([head, good, odd, good + "\tZ", "Abies alba\t8.1"]) + "\n")
+    df = S.read_occurrences(spark, str(tmp_path / "occ.csv"))
+    rows = {r["gbifID"]: r for r in df.collect()}
+    assert set(rows) == {77, 78} and rows[77]["species"] == "Abies alba"
+    # a value of the wrong kind is null and keeps its row
+    assert rows[78]["decimalLongitude"] is None and rows[78]["individualCount"] is None and rows[78]["year"] == 2000
+    # the same rows whatever is read
+    assert df.count() == df.select("species").count() == len(df.select("year", "individualCount").collect()) == 2
+
+
+def test_reference_points_across_the_meridian(spark):
+    import math
+
+    spots = [(179.98, 0.0), (-179.99, 0.0), (179.5, 0.0), (-179.95, 60.0), (10.0, 89.97), (-170.0, 89.97), (0.0, 0.0)]
+    occ = spark.createDataFrame(spots, "lon double, lat double")
+    points = [(179.99, 0.0, 10_000.0), (179.97, 60.0, 10_000.0), (0.0, 89.95, 20_000.0)]
+    ref = spark.createDataFrame(points, "lon double, lat double, radius_m double")
+
+    def away(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        h = math.sin((d - b) / 2) ** 2 + math.cos(b) * math.cos(d) * math.sin((c - a) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(math.sqrt(h))
+
+    expected = {s for s in spots if any(away(*s, x, y) <= r for x, y, r in points)}
+    for cell in (0.25, 0.7):
+        assert {tuple(r) for r in C.near_reference(occ, ref, cell).collect()} == expected
+    assert (-179.99, 0.0) in expected and (-170.0, 89.97) in expected
 
 
 def test_latin1_plots(spark, tmp_path):
