@@ -23,10 +23,10 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject where ``value`` exceeds a cutoff; ``cutoffs`` from lax to strict."""
+    """Reject where ``value`` (an SQL expression) exceeds a cutoff; ``cutoffs`` from lax to strict."""
 
     name: str
-    value: Column
+    value: str
     cutoffs: tuple[float, ...]
 
 
@@ -36,14 +36,12 @@ def _falling(high: float, low: float, n: int = 40) -> tuple[float, ...]:
 
 def rules() -> list[Rule]:
     """The rules of the query, on the columns of ``with_statistics``."""
-    per_char = F.greatest(F.col("word_chars"), F.lit(1))
-    per_word = F.greatest(F.col("n_words"), F.lit(1))
     return [
-        Rule("symbols", F.col("n_symbols") / per_char, _falling(1.0, 0.005)),
-        Rule("upper", F.col("n_upper") / per_char, _falling(1.0, 0.02)),
-        Rule("exclaims", F.col("n_exclaims") / per_word, _falling(1.0, 0.01)),
-        Rule("dup_lines", F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), _falling(1.0, 0.02)),
-        Rule("repeats", F.col("n_repeat_words") / per_word, _falling(1.0, 0.02)),
+        Rule("symbols", "n_symbols / greatest(word_chars, 1)", _falling(1.0, 0.005)),
+        Rule("upper", "n_upper / greatest(word_chars, 1)", _falling(1.0, 0.02)),
+        Rule("exclaims", "n_exclaims / greatest(n_words, 1)", _falling(1.0, 0.01)),
+        Rule("dup_lines", "n_dup_lines / greatest(n_lines, 1)", _falling(1.0, 0.02)),
+        Rule("repeats", "n_repeat_words / greatest(n_words, 1)", _falling(1.0, 0.02)),
     ]
 
 
@@ -147,7 +145,7 @@ def certify(holdout: DataFrame, risk: float = 0.03, delta: float = 0.05, cost: f
     once = holdout.where(F.col("good").isNotNull()).dropDuplicates(["stratum", "text_hash", "good"])
 
     def first_cutoff(rule: Rule) -> Column:
-        hit = F.array_position(F.transform(F.array(*[F.lit(c) for c in rule.cutoffs]), lambda c: rule.value > c), F.lit(True))
+        hit = F.array_position(F.transform(F.array(*[F.lit(c) for c in rule.cutoffs]), lambda c: F.expr(rule.value) > c), F.lit(True))
         return F.when(hit == 0, F.lit(len(rule.cutoffs) + 1)).otherwise(hit).cast("int")
 
     long = once.select("stratum", "good", F.explode(F.array(*[
@@ -178,7 +176,7 @@ def judge(stats: DataFrame, cutoffs: DataFrame, rule_list: Sequence[Rule] | None
     """``stats`` with ``rejected_by``: names of the rules whose cutoff in the row's stratum is exceeded."""
     used = list(rule_list) if rule_list is not None else rules()
     found = F.filter(F.array(*[
-        F.when(r.value > F.try_element_at("cutoffs", F.lit(r.name)), F.lit(r.name)) for r in used]), lambda x: x.isNotNull())
+        F.when(F.expr(r.value) > F.try_element_at("cutoffs", F.lit(r.name)), F.lit(r.name)) for r in used]), lambda x: x.isNotNull())
     of = cutoffs.select(F.col("stratum").alias("_stratum"), "cutoffs")
     return stats.join(of, F.col("stratum") == F.col("_stratum"), "left").withColumn("rejected_by", found).drop("_stratum", "cutoffs")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from florapark.llm import fingerprints, fixity, langid, licenses, mixing, neardup, packing, quality, secrets, toxicity
+from florapark.llm import checks, fingerprints, fixity, langid, licenses, mixing, neardup, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -17,4 +17,9 @@ QUERIES = {
     "op10_document_fingerprints": fingerprints.query,
 }
 
-CHECKS: dict[str, str] = {"op6_warc_fixity": fixity.QUERY_SQL}
+# the others need a trained model, a tokenizer or a particular hash, which SQL has not; see tests/llm
+CHECKS: dict[str, str] = {
+    "op1_quality_rules": checks.quality_rules(),
+    "op6_warc_fixity": fixity.QUERY_SQL,
+    "op7_minhash_dedup": checks.NEAR_DUPLICATES,
+}
