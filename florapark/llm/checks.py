@@ -12,10 +12,10 @@ WITH RECURSIVE w AS (
 ), s AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 2, 2))) t(i) WHERE len(w) > 0
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
-), both AS (
+), pair AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
 ), link AS (
-  SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+  SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
 ), edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
 ), reach AS (
   SELECT doc_id, doc_id AS root FROM documents UNION SELECT edge.b, root FROM reach JOIN edge ON edge.a = reach.doc_id
