@@ -22,7 +22,7 @@ from florapark.functions.scores import digest
 from florapark.operators.metrics import compute_metrics
 from florapark.operators.sampling import stratified_holdout
 from florapark.operators.weights import presence_background_weights
-from florapark.session import pin
+from florapark.session import pin, ship
 
 BLOCK_ROWS = 2048
 # partial sums held per task before they are sent on
@@ -86,6 +86,7 @@ def one_round(packed: DataFrame, state: DataFrame, step: Step, solve: Solve) ->
         return pd.DataFrame({
             "species_id": [parts["species_id"].iloc[0]], "state": [list(new)], "done": [bool(done)], "rounds": [rounds]})
 
+    ship(packed.sparkSession)
     active = state.where(~F.col("done")).select("species_id", "state", "rounds")
     summed = packed.join(active, "species_id").mapInPandas(partial, PARTIAL_SCHEMA)
     moved = summed.groupBy("species_id").applyInPandas(combine, STATE_SCHEMA)
@@ -406,6 +407,7 @@ def score_boosted(model: DataFrame, rows: DataFrame, spec: Boosted, features: st
                 prob[at] = 1 / (1 + np.exp(-boosted_score(np.asarray(first["state"], dtype=float), x, spec.depth, int(first["n_trees"]))))
             yield b[keep].assign(probability=prob)
 
+    ship(rows.sparkSession)
     return joined.mapInPandas(score, schema)
 
 
@@ -483,6 +485,7 @@ def fit_forest(train: DataFrame, spec: Forest, features: str = "features") -> Da
         flat = np.asarray(nodes, dtype=float).ravel().tolist()
         return pd.DataFrame({"species_id": [s], "tree": [t], "nodes": [flat], "depth": [max(depth)]})
 
+    ship(train.sparkSession)
     return balanced_samples(train, spec, features).groupBy("species_id", "tree").applyInPandas(
         fit, "species_id bigint, tree int, nodes array<double>, depth int")
 

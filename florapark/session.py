@@ -1,9 +1,11 @@
-"""Session defaults and the reliable-checkpoint helper."""
+"""Session defaults, tables in the shared folder, and sending the package to the workers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,28 +26,64 @@ def local_session(cpus: int | str = "*", app: str = "florapark", memory: str = "
     )
 
 
-def _has_checkpoint_dir(spark: SparkSession) -> bool:
-    return spark.sparkContext.getCheckpointDir() is not None
+_OWN: dict[str, str] = {}
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; make one up only in local mode."""
-    if _has_checkpoint_dir(spark):
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        spark.sparkContext.setCheckpointDir(shared)
-    elif spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    else:
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a local one only where none is set and all tasks run in this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN[app]
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back.
+    """Write ``df`` as Parquet to the shared folder and read it back; the files go when the application ends.
 
-    Needed where later steps must see exactly the same rows in exactly the same
-    partitions, also after an executor is lost.
+    Needed where later steps must see exactly the same rows, also after an executor is
+    lost; readers fetch only the columns they use.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/florapark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._florapark_path = path
+    return out
+
+
+def drop(*pinned: DataFrame) -> None:
+    """Delete pinned tables that nothing reads any more."""
+    for df in pinned:
+        if path := getattr(df, "_florapark_path", None):
+            fs, p = _fs(df.sparkSession, path)
+            fs.delete(p, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; they need not start in its folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_florapark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "florapark.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._florapark_shipped = True

@@ -101,6 +101,27 @@ def test_deep_trees_are_followed_to_their_leaves(spark):
     assert scored.where((F.col("probability") - F.col("label")) != 0).count() == 0
 
 
+def test_workers_need_not_start_in_the_package_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (tmp_path / "job.py").write_text(f"""
+import sys
+sys.path.insert(0, {root!r})
+from florapark.operators import models as L
+from florapark.session import local_session
+spark = local_session(2)
+rows = [(1, i, i % 2, 1.0, [float(i % 7)]) for i in range(60)]
+data = spark.createDataFrame(rows, "species_id bigint, location_id bigint, label int, weight double, features array<double>")
+print("FITTED", L.fit_linear(data, L.Linear(l2=1.0)).count(), L.fit_forest(data, L.Forest(trees=2)).count())
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "job.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "FITTED 1 2" in done.stdout, done.stderr[-2000:]
+
+
 def test_unknown_model(spark):
     with pytest.raises(ValueError, match="maxent"):
         L.get_model("perceptron", 3)
