@@ -1,75 +1,14 @@
-"""Shared-folder tables, code shipping and distributed sampling used by the corpus operators."""
+"""Draws and samples used by the corpus operators; tables and code go through ``florapark.session``."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-_OWN: dict[str, str] = {}
+from florapark.session import drop, pin, ship
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set and all tasks run in this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _OWN[app]
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back; the files go when the application ends.
-
-    Later steps see the same rows in the same files, with column pruning, also after
-    an executor is lost.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/florapark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, p = _fs(spark, path)
-    fs.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._florapark_path = path
-    return out
-
-
-def drop(*pinned: DataFrame) -> None:
-    """Delete pinned tables that nothing reads any more."""
-    for df in pinned:
-        if path := getattr(df, "_florapark_path", None):
-            fs, p = _fs(df.sparkSession, path)
-            fs.delete(p, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_florapark_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "florapark.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(target)
-    sc._florapark_shipped = True
+__all__ = ["drop", "held_back", "pin", "sample_per_class", "ship", "unit_hash"]
 
 
 def unit_hash(*cols: Column, seed: int = 0) -> Column:
