@@ -24,29 +24,37 @@ def seed_summary(runs: DataFrame, keys: Sequence[str] = ("species_id",)) -> Data
     )
 
 
-def macro_over_seeds(runs: DataFrame, n_seeds: int) -> DataFrame:
-    """Per-seed mean and median, over all and over common species, then mean and deviation over seeds."""
+def macro_over_seeds(runs: DataFrame, n_seeds: int, by: Sequence[str] = ()) -> DataFrame:
+    """Per-seed mean and median, over all and over common species, then mean and deviation over seeds.
+
+    ``by`` may name the metric; species are then common per metric.
+    """
     good = finite(runs)
-    complete = good.groupBy("species_id").agg(F.count_distinct("seed").alias("k")).where(F.col("k") == n_seeds)
+    complete = good.groupBy(*by, "species_id").agg(F.count_distinct("seed").alias("k")).where(F.col("k") == n_seeds)
     sets = good.withColumn("species_set", F.lit("union")).unionByName(
-        good.join(complete, "species_id", "left_semi").withColumn("species_set", F.lit("common")))
-    keys = ["species_set", "seed"]
+        good.join(complete, [*by, "species_id"], "left_semi").withColumn("species_set", F.lit("common")))
+    keys = [*by, "species_set", "seed"]
     per_seed = sets.groupBy(*keys).agg(F.avg("value").alias("mean")).join(
         group_median(sets, keys, "value", "median"), keys)
-    return per_seed.groupBy("species_set").agg(
+    return per_seed.groupBy(*by, "species_set").agg(
         F.avg("mean").alias("mean"), F.when(F.count("*") >= 2, F.stddev_pop("mean")).alias("mean_std"),
         F.avg("median").alias("median"), F.when(F.count("*") >= 2, F.stddev_pop("median")).alias("median_std"),
         F.count("*").alias("n_seeds"),
     )
 
 
-def seed_coverage(runs: DataFrame, species: DataFrame) -> DataFrame:
-    """How many species are finite in exactly n seeds, n = 0 included."""
-    n = finite(runs).groupBy("species_id").agg(F.count_distinct("seed").alias("n_seeds"))
-    return (
-        species.select("species_id").distinct().join(n, "species_id", "left")
-        .groupBy(F.coalesce("n_seeds", F.lit(0)).alias("n_seeds")).agg(F.count("*").alias("n_species"))
-    )
+def seed_coverage(runs: DataFrame, species: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """How many species are finite in exactly n seeds, n = 0 included; ``by`` may name the metric."""
+    known = species.select("species_id").distinct()
+    per_species = finite(runs).join(known, "species_id", "left_semi").groupBy(*by, "species_id").agg(
+        F.count_distinct("seed").alias("n_seeds"))
+    seen = per_species.groupBy(*by, "n_seeds").agg(F.count("*").alias("n_species"))
+    # species without a finite score are those that are left over
+    held = seen.groupBy(*by).agg(F.sum("n_species").alias("_held"))
+    groups = runs.select(*by).distinct().join(held, list(by), "left") if by else held
+    total = known.agg(F.count("*").alias("n")).scalar()
+    unseen = groups.select(*by, F.lit(0).cast("bigint").alias("n_seeds"), (total - F.coalesce("_held", F.lit(0))).alias("n_species"))
+    return seen.unionByName(unseen.where("n_species > 0"))
 
 
 def select_hyperparameter(runs: DataFrame, grid: Sequence[float], param: str = "param") -> DataFrame:

@@ -51,11 +51,12 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def top_n_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int | Column, salts: int = 32
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int | Column, salts: int | None = None
 ) -> DataFrame:
     """At most ``n`` rows per group in the given order, exactly.
 
-    Stage one ranks inside ``salts`` slices of each group, so that a group holding
+    Stage one ranks inside ``salts`` slices of each group (by default as many as there are
+    shuffle partitions, so that slices follow the cluster), so that a group holding
     a third of the table is sorted by many tasks; stage two ranks the survivors.
     ``n`` may be a column that is constant inside a group.
     """
@@ -63,6 +64,7 @@ def top_n_per_group(
     limit = F.lit(n) if isinstance(n, int) else n
     slices = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = df.withColumn("_salt", F.pmod(F.hash(*order), F.lit(salts)))
     return (
         salted.withColumn("_rank", F.row_number().over(slices))

@@ -47,6 +47,33 @@ def _(t):
     return E.seed_coverage(t.fx_seed_metric, t.fx_species)
 
 
+# two metrics that are defined for different seeds
+TWO_METRICS = "tm AS (SELECT species_id, seed, 'plain' AS metric, value FROM fx_seed_metric UNION ALL SELECT species_id, seed, 'even', CASE WHEN (seed + species_id) % 2 = 0 THEN value * 2 END FROM fx_seed_metric)"
+
+
+def two_metrics(t):
+    rows = t.fx_seed_metric.select("species_id", "seed", "value")
+    even = F.when((F.col("seed") + F.col("species_id")) % 2 == 0, F.col("value") * 2)
+    return rows.withColumn("metric", F.lit("plain")).unionByName(rows.withColumn("value", even).withColumn("metric", F.lit("even")))
+
+
+@query("e2_macro_per_metric", f"""WITH {TWO_METRICS}, good AS (SELECT * FROM tm WHERE value IS NOT NULL),
+c AS (SELECT metric, species_id FROM good GROUP BY ALL HAVING count(DISTINCT seed) = 5),
+s AS (SELECT 'union' AS species_set, * FROM good UNION ALL SELECT 'common', good.* FROM good JOIN c ON c.metric = good.metric AND c.species_id = good.species_id),
+p AS (SELECT metric, species_set, seed, avg(value) AS m, median(value) AS md FROM s GROUP BY ALL)
+SELECT metric, species_set, round(avg(m), 6) AS mean, round(CASE WHEN count(*) >= 2 THEN stddev_pop(m) END, 6) AS mean_std, round(avg(md), 6) AS median,
+ round(CASE WHEN count(*) >= 2 THEN stddev_pop(md) END, 6) AS median_std, count(*) AS n_seeds FROM p GROUP BY ALL""", "fx_seed_metric")
+def _(t):
+    return E.macro_over_seeds(two_metrics(t), 5, ["metric"]).withColumns(r6("mean", "mean_std", "median", "median_std"))
+
+
+@query("e3_coverage_per_metric", f"""WITH {TWO_METRICS}, m AS (SELECT DISTINCT metric FROM tm)
+SELECT metric, n_seeds, count(*) AS n_species FROM (SELECT m.metric, s.species_id, count(DISTINCT CASE WHEN value IS NOT NULL THEN seed END) AS n_seeds
+ FROM fx_species s CROSS JOIN m LEFT JOIN tm ON s.species_id = tm.species_id AND tm.metric = m.metric GROUP BY ALL) GROUP BY ALL""", "fx_species fx_seed_metric")
+def _(t):
+    return E.seed_coverage(two_metrics(t), t.fx_species, ["metric"])
+
+
 GRID = (0.5, 1.0, 2.0, 4.0, 8.0)
 # the five seeds stand for five grid values
 PARAM_RUNS = """runs AS (SELECT species_id, [0.5E0, 1, 2, 4, 8][seed + 1] AS param, seed, round(value, 3) AS value FROM fx_seed_metric)"""

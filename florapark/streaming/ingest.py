@@ -14,13 +14,15 @@ def read_increments(spark: SparkSession, path: str, schema: T.StructType, fmt: s
 
 
 def ingest(
-    stream: DataFrame, target: str, checkpoint: str, key: str = "species", files_per_key: int = 8,
+    stream: DataFrame, target: str, checkpoint: str, key: str = "species", files_per_key: int | None = None,
 ) -> StreamingQuery:
     """Append named rows to a table partitioned by ``key``.
 
     The parquet file sink keeps its own commit log, so a batch that is run again after
-    a failure is not written twice. Rows of one key go to several tasks.
+    a failure is not written twice. Rows of one key go to up to ``files_per_key`` tasks, by
+    default as many as there are shuffle partitions.
     """
+    files_per_key = files_per_key or int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = stream.where(F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != ""))
     rest = [c for c in named.columns if c != key]
     salt = F.pmod(F.hash(*rest), F.lit(files_per_key))
