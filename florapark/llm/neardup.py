@@ -4,15 +4,17 @@
    sets form a class, and one member stands for it from there on.
 2. ``BANDS`` bands of ``ROWS`` MinHash values propose candidates. At a similarity of
    0.8 a pair meets in no band with probability (1 - 0.8^4)^32 = 5e-8.
-3. Candidates of a bucket are compared with its smallest member, and the linked ones
-   merged into components. Members of a bucket that then are still in different
-   components are compared too: the ones outside the bucket's main component with all
-   members of other components. A large group of copies thus costs a number of pairs in
-   proportion to its size, and no link between different texts that a bucket can show
-   is left out. There is no cap on buckets or partners.
-4. A candidate is compared on batches of further MinHash values, which had no part in
-   the banding. After each batch it is dropped once the posterior probability of a
-   similarity of at least the threshold (uniform prior) is below ``miss``.
+3. Candidates of a bucket are compared with a member drawn at random, and the linked
+   ones merged into components; so in a few rounds with new draws, each looking only at
+   pairs of different components. Members that then are still outside the largest
+   component of a bucket are compared with all members of other components, block
+   against block inside tasks; each pair is looked at in the first band it shares, and
+   only survivors leave the task. A large group of copies costs rows in proportion to its
+   size, and no link between different texts that a bucket can show is left out. There is
+   no cap on buckets or partners.
+4. A candidate is compared on batches of further MinHash values (eight bits each),
+   which had no part in the banding. After each batch it is dropped once the posterior
+   probability of a similarity of at least the threshold (uniform prior) is below ``miss``.
 5. Survivors are confirmed on their full sets, read again from the texts.
 """
 
@@ -30,7 +32,10 @@ from florapark.llm._store import drop, pin, ship
 from florapark.llm.components import connected
 
 BANDS, ROWS = 32, 4
-BATCHES, BATCH = 4, 16
+BATCHES, BATCH = 4, 64
+_HUB_ROUNDS = 3
+_SIDE = 512  # members of a bucket in one block
+_BROADCAST_IDS = 1_000_000  # ids sent to all executors at most (16 MB); beyond, a shuffle join
 _N_HASH = BANDS * ROWS + BATCHES * BATCH
 _rng = np.random.Generator(np.random.PCG64(99))
 _XOR = _rng.integers(1 << 32, size=_N_HASH, dtype=np.uint32)
@@ -96,7 +101,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 for k in range(ROWS):
                     key = mix(key ^ rows[:, k])
                 bands.append(key.view(np.int64))
-                proof.append(sig[BANDS * ROWS:].tobytes())
+                proof.append((sig[BANDS * ROWS:] >> np.uint32(24)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(proof, pa.binary())],
@@ -130,74 +135,152 @@ def _set_batch(ids, sets: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def least_matches(threshold: float, miss: float) -> list[int]:
-    """After each batch, the fewest equal MinHash values that keep P(similarity >= threshold) at ``miss`` or more.
+    """After each batch, the fewest equal values that keep P(similarity >= threshold) at ``miss`` or more.
 
-    With a uniform prior the posterior after m of n matches is Beta(m + 1, n - m + 1).
+    With a uniform prior the posterior of the rate of equal values after m of n is
+    Beta(m + 1, n - m + 1); different values still agree in eight bits once in 256.
     """
-    out = []
+    rate, out = threshold + (1 - threshold) / 256, []
     for k in range(1, BATCHES + 1):
         n, m = k * BATCH, 0
-        while sum(comb(n + 1, j) * threshold**j * (1 - threshold) ** (n + 1 - j) for j in range(m + 1)) < miss:
+        while sum(comb(n + 1, j) * rate**j * (1 - rate) ** (n + 1 - j) for j in range(m + 1)) < miss:
             m += 1
         out.append(m)
     return out
 
 
+def _not_ruled_out(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, floor: list[int]) -> np.ndarray:
+    """Which pairs of rows (i of x, j of y) keep enough equal values after every batch."""
+    alive, matches = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for k in range(BATCHES):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        matches[alive] += (x[i[alive], part] == y[j[alive], part]).sum(1)
+        alive = alive[matches[alive] >= floor[k]]
+    return alive
+
+
+def _proofs(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BATCHES * BATCH)
+
+
 def survivors(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Pairs (a, b, proof_a, proof_b, n_a, n_b) that the batches of MinHash values do not rule out, as (a, b, n_a, n_b)."""
+    """Pairs (a, b, proof_a, proof_b, n_a, n_b) that the batches do not rule out, as (a, b, n_a, n_b)."""
     floor = least_matches(threshold, miss)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(n, -1)
-                    for c in ("proof_a", "proof_b"))
-            alive, matches = np.arange(n), np.zeros(n, np.int64)
-            for k in range(BATCHES):
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                matches[alive] += (x[alive, part] == y[alive, part]).sum(1)
-                alive = alive[matches[alive] >= floor[k]]
-            keep = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b", "n_a", "n_b")],
-                                             ["a", "b", "n_a", "n_b"])
+            if batch.num_rows:
+                rows = np.arange(batch.num_rows)
+                keep = pa.array(_not_ruled_out(_proofs(batch.column("proof_a")), _proofs(batch.column("proof_b")), rows, rows, floor))
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b", "n_a", "n_b")],
+                                                 ["a", "b", "n_a", "n_b"])
 
     return pairs.select("a", "b", "n_a", "n_b", "proof_a", "proof_b").mapInArrow(
         compare, "a long, b long, n_a long, n_b long")
 
 
-def _confirmed(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets overlap by at least ``percent``."""
-    side = sketch.select("doc_id", "n_shingles", "proof")
-    sized = (
-        pairs.join(side.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"),
-                               F.col("proof").alias("proof_a")), "a")
-        .join(side.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"),
-                          F.col("proof").alias("proof_b")), "b")
-        # sets of very different size cannot overlap enough
-        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    )
-    open_pairs = pin(survivors(sized, percent / 100, miss))
-    named = open_pairs.select(F.col("a").alias("doc_id")).unionByName(open_pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = pin(full_sets(docs.join(named, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+def _compare_block(g: dict, percent: int, floor: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (outside member, other member) of the surviving pairs of one block of one bucket."""
+    left, right = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
+    root, n, ids = g["root"], g["n"], g["id"]
+    small, large = np.minimum(n[left, None], n[right]), np.maximum(n[left, None], n[right])
+    fit = (root[left, None] != root[right]) & (100 * small >= percent * large)
+    # two outside members meet twice; keep one of the two
+    fit &= ~g["outside"][right] | (ids[left, None] < ids[right])
+    i, j = np.nonzero(fit)
+    i, j = left[i], right[j]
+    keep = []
+    for k in range(0, len(i), 1 << 16):
+        a, b = i[k:k + (1 << 16)], j[k:k + (1 << 16)]
+        first = (g["bands"][a] == g["bands"][b]).argmax(1)
+        here = np.flatnonzero(g["bands"][a, first] == g["bucket"])
+        keep.append(k + here[_not_ruled_out(g["proof"], g["proof"], a[here], b[here], floor)])
+    kept = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+    return i[kept], j[kept]
+
+
+def _across(outside: DataFrame, rest: DataFrame, sizes: DataFrame, sketch: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Surviving pairs (a, b, n_a, n_b) between ``outside`` and ``rest`` members (bucket, id, root) of the same bucket.
+
+    Both sides are cut into blocks of about ``_SIDE`` members; each pair of blocks is one group.
+    """
+    floor = least_matches(percent / 100, miss)
+    blocks = sizes.select("bucket", F.ceil(F.col("n_out") / _SIDE).cast("int").alias("out_blocks"),
+                          F.ceil(F.col("n_rest") / _SIDE).cast("int").alias("rest_blocks"))
+    spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = outside.join(blocks, "bucket").select(
+        "bucket", spread(F.col("out_blocks")).alias("ob"), every(F.col("rest_blocks")).alias("rb"),
+        F.lit(0).alias("side"), "id", "root", F.lit(True).alias("outside"))
+    right = rest.join(blocks, "bucket").select(
+        "bucket", every(F.col("out_blocks")).alias("ob"), spread(F.col("rest_blocks")).alias("rb"),
+        F.lit(1).alias("side"), "id", "root", "outside")
+    rows = left.unionByName(right).join(
+        sketch.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "proof"), "id")
+    parts = int(outside.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "bucket", "ob", "rb").sortWithinPartitions("bucket", "ob", "rb", "side", "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            done, held = _whole_groups(held)
+            if done is not None:
+                yield from _pairs_of(done)
+        if held is not None and held.num_rows:
+            yield from _pairs_of(held)
+
+    def _pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        cols = {c: t.column(c).to_numpy() for c in ("bucket", "ob", "rb", "side", "id", "root", "n", "outside")}
+        proof = _proofs(t.column("proof"))
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, BANDS)
+        cuts = _group_starts(cols)
+        for a, b in zip(cuts, [*cuts[1:], t.num_rows]):
+            g = {c: v[a:b] for c, v in cols.items()} | {"proof": proof[a:b], "bands": bands[a:b], "bucket": cols["bucket"][a]}
+            i, j = _compare_block(g, percent, floor)
+            if len(i):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (g["id"][i], g["id"][j], g["n"][i], g["n"][j])], ["a", "b", "n_a", "n_b"])
+
+    return dealt.select("bucket", "ob", "rb", "side", "id", "root", "n", "outside", "bands", "proof").mapInArrow(
+        compare, "a long, b long, n_a long, n_b long")
+
+
+def _group_starts(cols: dict) -> np.ndarray:
+    key = np.stack([cols["bucket"], cols["ob"].astype(np.int64), cols["rb"].astype(np.int64)], 1)
+    return np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]) if len(key) else np.zeros(0, np.int64)
+
+
+def _whole_groups(t: pa.Table) -> tuple[pa.Table | None, pa.Table]:
+    """The rows of all groups but the last, which may go on in the next batch, and the rest."""
+    cuts = _group_starts({c: t.column(c).to_numpy() for c in ("bucket", "ob", "rb")})
+    if len(cuts) < 2:
+        return None, t
+    return t.slice(0, cuts[-1]), t.slice(cuts[-1])
+
+
+def _exact(open_pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pinned ``open_pairs`` (a, b, n_a, n_b) whose full sets overlap by at least ``percent``, as (a, b)."""
+    named = pin(open_pairs.select(F.col("a").alias("doc_id")).unionByName(open_pairs.select(F.col("b").alias("doc_id"))).distinct())
+    few = named.count() <= _BROADCAST_IDS
+    sets = pin(full_sets(docs.join(F.broadcast(named) if few else named, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
     both = (
         open_pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b")), "b")
     )
     shared = F.size(F.array_intersect("s_a", "s_b"))
     links = pin(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"))
-    drop(open_pairs, sets)
+    drop(open_pairs, sets, named)
     return links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_links) for each row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
     Two texts are linked when 100 * |A and B| >= ``percent`` * |A or B| over their
     word-shingle sets. ``component_id`` is the smallest doc_id of those reachable over
-    links; ``n_links`` counts the confirmed links of the row's class, 0 where only equal
-    sets were found. Null and empty texts are linked with nothing. A row without doc_id
+    links. Null and empty texts are linked with nothing. A row without doc_id
     stands alone, with component_id null and kept true; several rows with one doc_id
     form one group. Other columns of ``docs`` are not read.
     """
@@ -212,46 +295,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
                         ["set_a", "set_b", "n_shingles", "doc_id"], "left_semi")
     rep = pin(heads.select("doc_id", "n_shingles", "bands", "proof").dropDuplicates(["doc_id"]))
     member = rep.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    buckets = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
-    hubs = pin(buckets.select("bucket", "hub"))
-    members = pin(member.join(hubs, "bucket"))
-    near_hub = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = pin(member.join(shared.select("bucket"), "bucket", "left_semi"))
     texts = key.where(F.col("doc_id").isNotNull())
-    links = _confirmed(near_hub, rep, texts, width, percent, miss)
-    roots = pin(connected(links))
-
-    # buckets that still hold members of different components
-    of = roots.select("id", "root")
-    placed = members.join(of, "id", "left").select("bucket", "id", "hub", F.coalesce("root", "id").alias("root"))
-    placed = pin(placed)
-    main = of.select(F.col("id").alias("hub"), F.col("root").alias("main"))
-    outside = pin(placed.join(main, "hub", "left").withColumn("main", F.coalesce("main", "hub")).where("root != main"))
-    mixed = outside.select("bucket").distinct()
-    rest = placed.join(mixed, "bucket", "left_semi").select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    more = (
-        outside.select("bucket", "hub", F.col("id").alias("a"), F.col("root").alias("root_a"))
-        .join(rest, "bucket").where("root_a != root_b and b != hub")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    extra = _confirmed(more, rep, texts, width, percent, miss)
-    drop(members, placed, outside)
-    all_links = pin(links.unionByName(extra))
-    final = pin(connected(all_links))
-    ends = all_links.select(F.col("a").alias("rep")).unionByName(all_links.select(F.col("b").alias("rep")))
-    degree = ends.groupBy("rep").agg(F.count("*").alias("n_links"))
+    side = rep.select("doc_id", "n_shingles", "proof")
+
+    roots = pin(rep.sparkSession.createDataFrame([], "id long, root long"))
+    placed = None
+    for turn in range(_HUB_ROUNDS):
+        placed = pin(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")))
+        # a hub drawn anew for each bucket and round; buckets of one component have nothing left to compare
+        hubs = placed.groupBy("bucket").agg(
+            F.min_by(F.struct("id", "root"), F.xxhash64("id", "bucket", F.lit(turn))).alias("hub"),
+            (F.min("root") != F.max("root")).alias("mixed")).where("mixed")
+        near_hub = placed.join(hubs, "bucket").where("root != hub.root").select(
+            F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        sized = (
+            near_hub.join(side.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"),
+                                      F.col("proof").alias("proof_a")), "a")
+            .join(side.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"),
+                              F.col("proof").alias("proof_b")), "b")
+            # sets of very different size cannot overlap enough
+            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        )
+        links = _exact(pin(survivors(sized, percent / 100, miss)), texts, width, percent)
+        before, roots = roots, pin(connected(links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))))
+        drop(before, links, placed)
+
+    # members that still are outside the largest component of a bucket
+    placed = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    largest = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n_rest"), F.max("n").alias("n_main"))
+    sizes = pin(largest.select("bucket", "main", "n_rest", (F.col("n_rest") - F.col("n_main")).alias("n_out")).where("n_out > 0"))
+    rest = pin(placed.join(sizes.select("bucket", "main"), "bucket").select("bucket", "id", "root", (F.col("root") != F.col("main")).alias("outside")))
+    extra = _exact(pin(_across(rest.where("outside"), rest, sizes, rep, percent, miss)), texts, width, percent)
+    drop(members, rest, sizes)
+    final = pin(connected(extra.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))))
 
     # a doc_id of several rows joins the classes of its rows into one group
-    small = classes.join(final.select(F.col("id").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left").select(
-        "set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("root", "rep").alias("root"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(
-        small.select("set_a", "set_b", F.col("n").alias("n_shingles"), "root", "n_links"),
-        ["set_a", "set_b", "n_shingles"], "left")
+    small = classes.join(final.select(F.col("id").alias("rep"), "root"), "rep", "left").select(
+        "set_a", "set_b", "n_shingles", F.coalesce("root", "rep").alias("root"))
+    out = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(small, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
