@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from florapark.session import drop, pin, ship
 
-__all__ = ["drop", "held_back", "pin", "sample_per_class", "ship", "unit_hash"]
+__all__ = ["drop", "few", "held_back", "pin", "sample_per_class", "ship", "unit_hash"]
 
 
 def unit_hash(*cols: Column, seed: int = 0) -> Column:
@@ -16,6 +16,12 @@ def unit_hash(*cols: Column, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11).cast("double") / float(1 << 53)
 
 
+def few(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``ids`` written down, and sent to all executors if they are at most ``most`` narrow rows; else they are joined by a shuffle."""
+    kept = pin(ids)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def held_back(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether the CRC-32 of the id as text leaves this remainder."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from florapark.llm._bytes import NOT_WORD, chunks, mix, row_of, word_hashes, word_spans
-from florapark.llm._store import held_back, pin, sample_per_class, ship
+from florapark.llm._store import few, held_back, pin, sample_per_class, ship
 
 BITS = 18
 STEMS = (4, 5, 6)  # bytes of a word's beginning that also count as features, for inflected forms
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True  # line feed ! . ?
 THRESHOLD = 0.3
-START_SQUARE = 1.0  # of the adaptive step sizes; larger values favour words seen often
-STEP = 0.5
+START_SQUARE = 0.01  # of the adaptive step sizes; larger values favour words seen often
+STEP = 0.2
+SPARSE = 0.06  # pull of each step towards 0
 
 
 @dataclass
@@ -74,10 +75,16 @@ def _document_scores(model: BagModel, log_not: np.ndarray, rows: np.ndarray, n:
     return 1 / (1 + np.exp(-(model.slope * odds + model.shift)))
 
 
+_UPDATES = 400  # steps of 32 documents that a shard takes in a round, whatever its size
+
+
 def _fit_shard(start: BagModel | None, weight: dict, seed: int, frames, least_docs: int, passes: int, decay: float):
     rows = sorted((int(i), t, int(y)) for f in frames for i, t, y in zip(f["key"], f["text"], f["label"]))
     if not rows:
         return None
+    # a small shard is read more often, and asks less of a feature
+    passes = max(passes, min(40, -(-_UPDATES * 32 // len(rows))))
+    least_docs = max(2, min(least_docs, len(rows) // 200))
     y = np.array([r[2] for r in rows])
     w = np.array([weight[int(v)] for v in y])
     s_doc, s_cut, all_slots, words_of = [], [0], [], []
@@ -85,7 +92,7 @@ def _fit_shard(start: BagModel | None, weight: dict, seed: int, frames, least_do
         sentence, slots, row, _, _ = _sentences(part, offsets)
         s_doc.append(row + first)
         words_of.append(np.bincount(sentence, minlength=len(row)))
-        all_slots.append(slots)
+        all_slots.append(slots.astype(np.int32))
     s_doc, words_of, slots = np.concatenate(s_doc), np.concatenate(words_of), np.concatenate(all_slots)
     s_first = np.cumsum(words_of) - words_of
     doc_of_word = np.repeat(s_doc, words_of)
@@ -119,7 +126,10 @@ def _fit_shard(start: BagModel | None, weight: dict, seed: int, frames, least_do
             used, where = np.unique(slot, return_inverse=True)
             g = (np.bincount(where, weights=g_s[word_owner], minlength=len(used)) - decay * model.word[used]).astype(np.float32)
             square[used] += g * g
-            model.word[used] += STEP * g / np.sqrt(square[used])
+            rate = STEP / np.sqrt(square[used])
+            moved = model.word[used] + rate * g
+            # the pull towards 0 keeps the few words that carry the label and drops the rest
+            model.word[used] = np.sign(moved) * np.maximum(np.abs(moved) - rate * SPARSE, 0)
             b = float(g_s.sum())
             bias_square += b * b
             model.bias += 0.2 * b / np.sqrt(bias_square)
@@ -128,7 +138,7 @@ def _fit_shard(start: BagModel | None, weight: dict, seed: int, frames, least_do
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic",
-        per_class: int = 6000, rounds: int = 2, shards: int = 4, least_docs: int = 8, seed: int = 11) -> BagModel:
+        per_class: int = 4000, rounds: int = 2, shards: int = 4, least_docs: int = 8, seed: int = 11) -> BagModel:
     """Learn from document labels (key, label 0/1); reads about ``per_class`` documents of each label.
 
     Equal texts count once, so copies carry no extra weight. Shards learn apart, the
@@ -146,9 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if len(counts) < 2:
         share = float(next(iter(counts), 0))
         return BagModel(np.zeros(1 << BITS, np.float32), -5.0, 0.0, 20.0 * (share - 0.5))
-    sample = pin(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(drawn.select("key", "label"), "key")
+    sample = pin(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(few(drawn.select("key", "label")), "key")
                  .repartition(shards, F.xxhash64("key")))
     seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    shards = max(1, min(shards, sum(seen.values()) // 1500))
     weight = {k: (counts[k] / total) / max(seen.get(k, 0), 1) * sum(seen.values()) for k in counts}
     model = None
     for r in range(rounds):
