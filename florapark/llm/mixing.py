@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from florapark.llm._bytes import NOT_WORD, SPACE, chunks, row_of, word_hashes, word_spans
-from florapark.llm._store import pin, sample_per_class, ship, unit_hash
+from florapark.llm._store import few, pin, sample_per_class, ship, unit_hash
 
 BITS = 16
 _CLASS = np.zeros(256, np.uint8)  # shape of a text: shares of these kinds of bytes
@@ -124,7 +124,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     if not domains:
         return DomainModel(["all"], np.zeros((1 << BITS, 1), np.float32), np.zeros((_DENSE, 1), np.float32), np.zeros(1))
     sample = pin(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-                 .join(drawn, "key").repartition(shards, F.xxhash64("key")))
+                 .join(few(drawn), "key").repartition(shards, F.xxhash64("key")))
     start = None
     for r in range(rounds):
 
@@ -182,7 +182,7 @@ def _rates(p: np.ndarray, steps: list[np.ndarray], momentum: list[float], most:
     return rate, point
 
 
-def fit_rates(weighed: DataFrame, targets: list[float], most: float | None = None, rounds: int = 60,
+def fit_rates(weighed: DataFrame, targets: list[float], most: float | None = None, rounds: int = 120,
               close: float = 1e-3) -> tuple[list[np.ndarray], list[float], list[float]]:
     """(steps, momenta, reached totals) over ``weighed`` (tokens, posterior) for target tokens per domain.
 
