@@ -121,7 +121,8 @@ def compare_with_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Dat
     edited = at.select("key", "text").join(first, "key").select(
         "key", "text", n.cast("long").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("head", F.lit(1), half)).alias("edited"))
-    both = edited.withColumn("_row", F.monotonically_increasing_id()) if known.count() > _INLINE else edited
+    # the join names rows by number, so they are written first
+    both = pin(edited.withColumn("_row", F.monotonically_increasing_id())) if known.count() > _INLINE else edited
     both = with_lexicon_terms(both, "text", known, "t_own", "_row")
     both = with_lexicon_terms(both, "edited", known, "t_edited", "_row")
     done = pin(

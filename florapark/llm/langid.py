@@ -367,7 +367,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def stage(spark, docs: DataFrame, sf_dir: str, least_share: float = 0.5) -> DataFrame:
+def stage(spark, docs: DataFrame, sf_dir: str, least_share: float = 0.4) -> DataFrame:
     """Drop documents in no language (no letter, or no language holding ``least_share`` of the words)."""
     model = fit(docs.where(~held_back(F.col("doc_id"), 5, 0)))
     judged = predict(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, "in_text")
