@@ -5,11 +5,11 @@
 2. ``BANDS`` bands of ``ROWS`` MinHash values propose candidates. At a similarity of
    0.8 a pair meets in no band with probability (1 - 0.8^4)^32 = 5e-8.
 3. Candidates of a bucket are compared with a member drawn at random, and the linked
-   ones merged into components; so in a few rounds with new draws, each looking only at
-   pairs of different components. Members that then are still outside the largest
+   ones merged into components. Members that then are still outside the largest
    component of a bucket are compared with all members of other components, block
    against block inside tasks; each pair is looked at in the first band it shares, and
-   only survivors leave the task. A large group of copies costs rows in proportion to its
+   only survivors leave the task. Pairs of large buckets are first counted on sets of
+   shortened hashes, an upper bound, so that hardly any but linked pairs leave. A large group of copies costs rows in proportion to its
    size, and no link between different texts that a bucket can show is left out. There is
    no cap on buckets or partners.
 4. A candidate is compared on batches of further MinHash values (eight bits each),
@@ -33,7 +33,8 @@ from florapark.llm.components import connected
 
 BANDS, ROWS = 32, 4
 BATCHES, BATCH = 4, 64
-_HUB_ROUNDS = 3
+_HUB_ROUNDS = 1
+_DENSE = 4096  # pairs of a bucket from which they are also counted on shortened sets inside the task
 _SIDE = 512  # members of a bucket in one block
 _BROADCAST_IDS = 1_000_000  # ids sent to all executors at most (16 MB); beyond, a shuffle join
 _N_HASH = BANDS * ROWS + BATCHES * BATCH
@@ -130,6 +131,18 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(expand, "doc_id long, shingles array<long>")
 
 
+def short_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, short) per row of ``docs``: the sorted high halves of the shingle hashes, as bytes."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # sorted hashes have sorted high halves
+            rows = [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in _sets(batch.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "short"])
+
+    return docs.select("doc_id", "text").mapInArrow(expand, "doc_id long, short binary")
+
+
 def _set_batch(ids, sets: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
@@ -179,6 +192,21 @@ def survivors(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
         compare, "a long, b long, n_a long, n_b long")
 
 
+def _shared_upper(short: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Overlap of the shortened sets (sorted 32-bit values) of each pair of rows; never below that of the full sets."""
+    out = np.zeros(len(i), np.int64)
+    order = np.argsort(i, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(i[order]) != 0])
+    for a, b in zip(cuts, [*cuts[1:], len(i)]):
+        at = order[a:b]
+        own = np.frombuffer(short[i[at[0]]], np.uint32)
+        parts = [np.frombuffer(short[k], np.uint32) for k in j[at]]
+        flat = np.concatenate(parts)
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        out[at] = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, parts[:-1])]))
+    return out
+
+
 def _compare_block(g: dict, percent: int, floor: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (outside member, other member) of the surviving pairs of one block of one bucket."""
     left, right = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
@@ -194,15 +222,21 @@ def _compare_block(g: dict, percent: int, floor: list[int]) -> tuple[np.ndarray,
         a, b = i[k:k + (1 << 16)], j[k:k + (1 << 16)]
         first = (g["bands"][a] == g["bands"][b]).argmax(1)
         here = np.flatnonzero(g["bands"][a, first] == g["bucket"])
-        keep.append(k + here[_not_ruled_out(g["proof"], g["proof"], a[here], b[here], floor)])
+        here = here[_not_ruled_out(g["proof"], g["proof"], a[here], b[here], floor)]
+        if "short" in g and len(here):
+            shared = _shared_upper(g["short"], a[here], b[here])
+            here = here[100 * shared >= percent * (n[a[here]] + n[b[here]] - shared)]
+        keep.append(k + here)
     kept = np.concatenate(keep) if keep else np.zeros(0, np.int64)
     return i[kept], j[kept]
 
 
-def _across(outside: DataFrame, rest: DataFrame, sizes: DataFrame, sketch: DataFrame, percent: int, miss: float) -> DataFrame:
+def _across(outside: DataFrame, rest: DataFrame, sizes: DataFrame, sketch: DataFrame, percent: int, miss: float,
+            short: DataFrame | None = None) -> DataFrame:
     """Surviving pairs (a, b, n_a, n_b) between ``outside`` and ``rest`` members (bucket, id, root) of the same bucket.
 
     Both sides are cut into blocks of about ``_SIDE`` members; each pair of blocks is one group.
+    With ``short`` (doc_id, short) pairs must also pass on their shortened sets.
     """
     floor = least_matches(percent / 100, miss)
     blocks = sizes.select("bucket", F.ceil(F.col("n_out") / _SIDE).cast("int").alias("out_blocks"),
@@ -217,6 +251,9 @@ def _across(outside: DataFrame, rest: DataFrame, sizes: DataFrame, sketch: DataF
         F.lit(1).alias("side"), "id", "root", "outside")
     rows = left.unionByName(right).join(
         sketch.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "proof"), "id")
+    fields = ["bucket", "ob", "rb", "side", "id", "root", "n", "outside", "bands", "proof"]
+    if short is not None:
+        rows, fields = rows.join(short.withColumnRenamed("doc_id", "id"), "id"), [*fields, "short"]
     parts = int(outside.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "bucket", "ob", "rb").sortWithinPartitions("bucket", "ob", "rb", "side", "id")
 
@@ -234,16 +271,19 @@ def _across(outside: DataFrame, rest: DataFrame, sizes: DataFrame, sketch: DataF
     def _pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
         cols = {c: t.column(c).to_numpy() for c in ("bucket", "ob", "rb", "side", "id", "root", "n", "outside")}
         proof = _proofs(t.column("proof"))
+        short_of = t.column("short").to_pylist() if "short" in t.schema.names else None
         bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, BANDS)
         cuts = _group_starts(cols)
         for a, b in zip(cuts, [*cuts[1:], t.num_rows]):
             g = {c: v[a:b] for c, v in cols.items()} | {"proof": proof[a:b], "bands": bands[a:b], "bucket": cols["bucket"][a]}
+            if short_of is not None:
+                g["short"] = short_of[a:b]
             i, j = _compare_block(g, percent, floor)
             if len(i):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (g["id"][i], g["id"][j], g["n"][i], g["n"][j])], ["a", "b", "n_a", "n_b"])
 
-    return dealt.select("bucket", "ob", "rb", "side", "id", "root", "n", "outside", "bands", "proof").mapInArrow(
+    return dealt.select(*fields).mapInArrow(
         compare, "a long, b long, n_a long, n_b long")
 
 
@@ -328,7 +368,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
         F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n_rest"), F.max("n").alias("n_main"))
     sizes = pin(largest.select("bucket", "main", "n_rest", (F.col("n_rest") - F.col("n_main")).alias("n_out")).where("n_out > 0"))
     rest = pin(placed.join(sizes.select("bucket", "main"), "bucket").select("bucket", "id", "root", (F.col("root") != F.col("main")).alias("outside")))
-    extra = _exact(pin(_across(rest.where("outside"), rest, sizes, rep, percent, miss)), texts, width, percent)
+    dense = pin(sizes.where(F.col("n_out") * F.col("n_rest") > _DENSE))
+    thin = sizes.where(F.col("n_out") * F.col("n_rest") <= _DENSE)
+    found = _across(rest.where("outside"), rest, thin, rep, percent, miss)
+    if not dense.isEmpty():
+        # large buckets are also counted on shortened sets inside the tasks, so that hardly any but linked pairs leave them
+        named = pin(rest.join(dense.select("bucket"), "bucket", "left_semi").select(F.col("id").alias("doc_id")).distinct())
+        few = named.count() <= _BROADCAST_IDS
+        short = pin(short_sets(texts.join(F.broadcast(named) if few else named, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+        found = found.unionByName(_across(rest.where("outside"), rest, dense, rep, percent, miss, short))
+    extra = _exact(pin(found), texts, width, percent)
     drop(members, rest, sizes)
     final = pin(connected(extra.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))))
 
