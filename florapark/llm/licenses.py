@@ -1,11 +1,11 @@
 """Licences of files: notices found by TF-IDF cosine to templates, then inherited from the nearest ancestor directory.
 
-A line, or a whole short file, is matched when the cosine of its TF-IDF vector to a
-template reaches a threshold. Document frequencies of the templates' terms are counted
-over all documents. Lines that cannot reach the threshold are left out exactly: by
-Cauchy-Schwarz a line that shares only a template's commonest terms has at most the
-share of the template's norm that lies on them, so every match holds a term of a short
-list of cues. A file without a notice takes the licence of the deepest directory above
+A line, a whole file, or a run of as many words as a template has, wherever lines break,
+is matched when the cosine of its TF-IDF vector to the template reaches a threshold.
+Templates are notices and full licence texts. Document frequencies of their terms are
+counted over all documents. What cannot reach the threshold is left out exactly: by
+Cauchy-Schwarz a text without a template's cues has at most the share of the template's
+norm that lies on its other terms, so every match holds a cue. A file without a notice takes the licence of the deepest directory above
 it that holds a licence file.
 """
 
@@ -16,9 +16,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from florapark.llm import licence_texts
 from florapark.llm._store import pin, ship
 
 # fixed values: notices by which licences are known; one licence may have several
@@ -27,10 +29,12 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
         "compliance with the License.",
+        licence_texts.APACHE_2,
     ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met",
+        licence_texts.BSD_3,
     ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International License"),
@@ -38,16 +42,22 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU General Public License for more details.",
+        licence_texts.GPL_3,
     ),
     "MIT": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files",
+        licence_texts.MIT,
     ),
     "Proprietary": ("All rights reserved.",),
 }
 THRESHOLD = 0.7
-_WHOLE = 2_000  # words up to which a file with a cue is also matched as a whole
 
 
 def _words(text: str) -> list[str]:
@@ -66,19 +76,32 @@ class Matcher:
         self.rare = math.log(n + 1) + 1
         self.threshold = threshold
         self.vectors = []
-        cues = set()
+        self.sizes: list[int] = []
+        self.cues_of: list[frozenset[str]] = []
         for name, texts in sorted(templates.items()):
             for text in texts:
-                v = self.vector(_words(text))
+                words = _words(text)
+                v = self.vector(words)
                 self.vectors.append((name, v))
-                # without these, the remaining terms hold less than threshold^2 of the squared norm
-                left = 1.0
-                for w in sorted(v, key=lambda w: (-v[w], w)):
+                self.sizes.append(len(words))
+                # without these, the remaining terms hold less than threshold^2 of the squared norm; rare ones first
+                left, cues = 1.0, set()
+                for w in sorted(v, key=lambda w: (-v[w] ** 2 / (df.get(w, 0) + 1), w)):
                     if left < threshold**2:
                         break
                     cues.add(w)
                     left -= v[w] ** 2
-        self.cues = sorted(cues)
+                self.cues_of.append(frozenset(cues))
+        self.number = {w: i for i, w in enumerate(sorted({w for _, v in self.vectors for w in v}))}
+        # the last place is that of all other words
+        self.weight = np.array([*(self.idf.get(w, self.rare) for w in self.number), self.rare])
+        self.dense = []
+        for _, v in self.vectors:
+            d = np.zeros(len(self.weight))
+            for w, x in v.items():
+                d[self.number[w]] = x
+            self.dense.append(d * self.weight)
+        self.cues = sorted(frozenset().union(*self.cues_of))
 
     def vector(self, words: list[str]) -> dict[str, float]:
         v = {w: c * self.idf.get(w, self.rare) for w, c in Counter(words).items()}
@@ -90,10 +113,52 @@ class Matcher:
         if not words:
             return 0.0, None
         v = self.vector(words)
-        scored = [(sum(x * v.get(w, 0.0) for w, x in t.items()), name) for name, t in self.vectors]
+        scored = [(sum(x * b.get(w, 0.0) for w, x in a.items()), name)
+                  for name, t in self.vectors for a, b in ((t, v) if len(t) < len(v) else (v, t),)]
         top = max(s for s, _ in scored)
         return top, min(name for s, name in scored if s == top)
 
+    def windows(self, words: list[str]) -> list[tuple[float, str, int, int]]:
+        """(cosine, licence, first word, end) of runs as long as a template that reach the threshold; per template the best of those that overlap.
+
+        A window's norm is at least the root of its words' summed squared idf, so most
+        windows are ruled out by running sums; the others are scored exactly.
+        """
+        out: list[tuple[float, str, int, int]] = []
+        here = set(words)
+        ids = square = None
+        for (name, _), size, cues, dense in zip(self.vectors, self.sizes, self.cues_of, self.dense):
+            if size >= len(words) or here.isdisjoint(cues):
+                continue
+            if ids is None:
+                ids = np.array([self.number.get(w, len(self.number)) for w in words])
+                square = np.r_[0.0, np.cumsum(self.weight[ids] ** 2)]
+            dot = np.r_[0.0, np.cumsum(dense[ids])]
+            dot = dot[size:] - dot[:-size]
+            open_ = np.flatnonzero(dot >= self.threshold * np.sqrt(square[size:] - square[:-size]) * (1 - 1e-9))
+            found = []
+            counts: Counter = Counter()
+            norm, at = 0.0, -size
+            for s in open_.tolist():
+                if s >= at + size:
+                    counts, norm, at = Counter(), 0.0, s
+                    coming, leaving = words[s:s + size], []
+                else:
+                    coming, leaving, at = words[at + size:s + size], words[at:s], s
+                for some, step in ((coming, 1), (leaving, -1)):
+                    for w in some:
+                        c = counts[w]
+                        counts[w] = c + step
+                        norm += self.idf.get(w, self.rare) ** 2 * (2 * c * step + 1)
+                if (score := dot[s] / math.sqrt(norm)) >= self.threshold:
+                    found.append((float(score), s))
+            taken: list[int] = []
+            for score, s in sorted(found, key=lambda x: (-x[0], x[1])):
+                if all(abs(s - o) >= size for o in taken):
+                    taken.append(s)
+                    out.append((score, name, s, s + size))
+        return out
+
 
 def fit(docs: DataFrame, text: str = "text", templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
         threshold: float = THRESHOLD) -> Matcher:
@@ -109,35 +174,42 @@ def fit(docs: DataFrame, text: str = "text", templates: Mapping[str, tuple[str,
 def notices(docs: DataFrame, matcher: Matcher, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, license, score, covered) of each row with a notice: the best one, and the share of the text's words in notices.
 
-    Lines are split at line feeds. Null and empty texts have no notice. Of equal scores
-    the first licence by name is taken.
+    Lines are split at line feeds; runs of words as long as a template go over them. Null
+    and empty texts have no notice. Of equal scores the first licence by name is taken.
     """
     ship(docs.sparkSession)
-    cue = r"(?i)(?<![0-9A-Za-z\x{80}-\x{10ffff}])(?:" + "|".join(map(re.escape, matcher.cues)) + r")(?![0-9A-Za-z\x{80}-\x{10ffff}])"
     t = F.coalesce(F.col(text), F.lit(""))
-    words = F.size(F.filter(_tokens(t), lambda w: w != ""))
-    some = docs.where(t.rlike(cue)).select(
-        F.col(key).alias("_key"), F.filter(F.split(t, "\n", -1), lambda x: x.rlike(cue)).alias("_lines"),
-        words.alias("_n"), F.when(words <= _WHOLE, t).alias("_whole"))
+    cues = F.split(F.lit(" ".join(matcher.cues)), " ")
+    some = docs.where(F.arrays_overlap(_tokens(t), cues)).select(F.col(key).alias("_key"), t.alias("_text"))
+    known = docs.sparkSession.sparkContext.broadcast(matcher)  # the templates' vectors, whatever the corpus
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = known.value
+        cue = frozenset(m.cues)
         for batch in batches:
             rows = []
-            for lines, n, whole in zip(*(batch.column(c).to_pylist() for c in ("_lines", "_n", "_whole"))):
-                found, inside = [], 0
-                for line in lines:
+            for whole in batch.column("_text").to_pylist():
+                found, words, inside = [], [], []
+                for line in whole.split("\n"):
                     w = _words(line)
-                    score, name = matcher.best(w)
-                    if score >= matcher.threshold:
-                        found.append((-score, name))
-                        inside += len(w)
-                if whole:
-                    score, name = matcher.best(_words(whole))
-                    if score >= matcher.threshold:
-                        found.append((-score, name))
-                        inside = n
+                    if not cue.isdisjoint(w):
+                        score, name = m.best(w)
+                        if score >= m.threshold:
+                            found.append((-score, name))
+                            inside.append((len(words), len(words) + len(w)))
+                    words += w
+                score, name = m.best(words)
+                if score >= m.threshold:
+                    found.append((-score, name))
+                    inside.append((0, len(words)))
+                for score, name, start, end in m.windows(words):
+                    found.append((-score, name))
+                    inside.append((start, end))
+                mark = np.zeros(len(words), bool)
+                for start, end in inside:
+                    mark[start:end] = True
                 score, name = min(found, default=(0.0, None))
-                rows.append((name, min(1.0, -score), min(1.0, inside / max(n, 1))))
+                rows.append((name, min(1.0, -score), float(mark.sum()) / max(len(words), 1)))
             keep = pa.array([r[0] is not None for r in rows], pa.bool_())
             out = [batch.column("_key"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()),
                    pa.array([r[2] for r in rows], pa.float64())]

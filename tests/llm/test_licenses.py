@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from florapark.llm import licenses as m
+from florapark.llm import licence_texts, licenses as m
 from texts import SCHEMA, corpus, empty, odd
 
 NOTICE = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "Proprietary": "All rights reserved."}
@@ -52,6 +52,47 @@ def test_notices_equal_a_plain_search(spark):
     assert got == by_hand(rows) and {100, 101, 102, 110, 111, 112, 201} <= set(got) and 200 not in got
 
 
+def test_wrapped_headers_and_long_licence_files(spark):
+    import textwrap
+
+    gpl, bsd, mit = m.TEMPLATES["GPL-3.0"][2], m.TEMPLATES["BSD-3-Clause"][1], m.TEMPLATES["MIT"][2]
+    prose = "\n".join(t for _, t, *_ in corpus(40, seed=5))
+    rows, expected = [], {}
+    for k, (name, text) in enumerate((("GPL-3.0", gpl), ("BSD-3-Clause", " ".join(bsd.split())), ("MIT", " ".join(mit.split())))):
+        for width in (30, 60, 72, 100_000):
+            header = "\n".join("# " + x for x in textwrap.wrap(text, width))
+            rows += [(len(rows), f"{prose}\n{header}\n{prose}", "en", "s", 0)]
+            expected[len(rows) - 1] = name
+    paragraph = " ".join(mit.split())[:400]
+    rows += [(len(rows), f"{prose}\n{paragraph}", "en", "s", 0)]
+    expected[len(rows) - 1] = "MIT"
+    for name, text in (("GPL-3.0", licence_texts.GPL_3), ("Apache-2.0", licence_texts.APACHE_2)):
+        rows += [(len(rows), text, "en", "s", 0), (len(rows) + 1, f"{prose}\n{prose}\n{text}", "en", "s", 0)]
+        expected |= {len(rows) - 2: name, len(rows) - 1: name}
+    assert len(words(licence_texts.GPL_3)) > 2_000
+    rows += [(1000 + i, t, *r) for i, t, *r in corpus(60, seed=6)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in m.notices(docs, m.fit(docs)).collect()}
+    assert {i: r["license"] for i, r in got.items()} == expected
+    assert got[13]["covered"] == got[15]["covered"] == 1.0 and got[14]["covered"] > 0.4
+
+
+def test_windows_equal_a_plain_search(spark):
+    rows, docs = documents(spark)
+    matcher = m.fit(docs)
+    text = words(" ".join(rows[k][1] for k in range(60, len(rows))))
+    best = {}
+    for score, name, start, end in matcher.windows(text):
+        assert abs(score - max(sum(x * v.get(w, 0.0) for w, x in t.items()) for n, t in matcher.vectors if n == name
+                               for v in [matcher.vector(text[start:end])])) < 1e-9
+        best[name] = max(best.get(name, 0), score)
+    for (name, t), size in zip(matcher.vectors, matcher.sizes):
+        for s in range(len(text) - size):
+            v = matcher.vector(text[s:s + size])
+            score = sum(x * v.get(w, 0.0) for w, x in t.items())
+            assert score < matcher.threshold or best[name] >= score - 1e-9
+
+
 def test_nearest_ancestor(spark):
     files = spark.createDataFrame([(1, "LICENSE"), (2, "a/COPYING.txt"), (3, "a/b/x.c"), (4, "c/y.c"), (5, "a/b/own.c"), (6, None), (7, "ab/z"), (8, "a/b/c/d/e.c")],
                                   "doc_id long, path string")
