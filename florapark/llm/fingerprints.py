@@ -4,7 +4,10 @@ The lexicon holds the terms that occur in a share of the documents inside a band
 is a band of inverse document frequency. Its size cannot exceed (mean distinct terms of
 a document) / (low end of the band), whatever the corpus. Every subset keeps each
 lexicon term by a draw of its own; the sorted distinct terms of a text that lie in a
-subset are hashed, one hash per subset. Only column expressions are used.
+subset are hashed, one hash per subset. A text with fewer than ``FEW`` lexicon terms
+(short, or of rarer terms than the band holds) draws its subsets from all its distinct
+terms, and where a subset misses them all the hash is of all its terms; only a text
+without any term has empty subsets throughout. Only column expressions are used.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from florapark.llm._store import pin
 
 BAND = (0.01, 0.3)  # shares of documents: idf between ln(1 / 0.3) and ln(1 / 0.01)
 SUBSETS = 48
+FEW = 8  # lexicon terms below which a text is known by all its terms
 _PER_RATE = 16  # subsets keep 1/16, then 1/64, then 1/256 of the lexicon
 _INLINE = 50_000  # lexicon terms written into the plan; a larger lexicon is joined
 _NO_ID = -(1 << 63)
@@ -37,32 +41,46 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAN
 
 
 def with_lexicon_terms(rows: DataFrame, text: str, lexicon_rows: DataFrame, out: str, key: str) -> DataFrame:
-    """``rows`` with ``out``: the sorted distinct lexicon terms of ``text``. ``key`` must be unique per row."""
+    """``rows`` with ``out`` (terms, few): the sorted distinct lexicon terms of ``text``, or all its terms where those are few.
+
+    ``key`` must be unique per row.
+    """
     n = lexicon_rows.count()
+    every = terms(F.coalesce(F.col(text), F.lit("")))
+
+    def chosen(mine: Column, all_terms: Column) -> Column:
+        few = F.size(mine) < FEW
+        return F.struct(F.when(few, all_terms).otherwise(mine).alias("terms"), few.alias("few"))
+
+    def bound(x: Column, use) -> Column:
+        # bound to a name first, so that it is worked out once
+        return F.get(F.transform(F.array(x), use), F.lit(0))
+
     if n <= _INLINE:
         listed = ",".join(str(r["term"]) for r in lexicon_rows.select("term").collect())
         known = F.split(F.lit(listed), ",").cast("array<long>") if listed else F.array().cast("array<long>")
-        return rows.withColumn(out, F.array_intersect(terms(F.coalesce(F.col(text), F.lit(""))), known))
+        return rows.withColumn(out, bound(every, lambda t: bound(F.array_intersect(t, known), lambda mine: chosen(mine, t))))
     found = (
-        rows.select(key, F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
-        .join(lexicon_rows.select("term"), "term").groupBy(key).agg(F.sort_array(F.collect_list("term")).alias(out))
+        rows.select(key, F.explode(every).alias("term"))
+        .join(lexicon_rows.select("term"), "term").groupBy(key).agg(F.sort_array(F.collect_list("term")).alias("_mine"))
     )
     empty = F.array().cast("array<long>")
-    return rows.join(found, key, "left").withColumn(out, F.coalesce(out, empty))
+    return rows.join(found, key, "left").withColumn(out, chosen(F.coalesce("_mine", empty), every)).drop("_mine")
 
 
-def fingerprint(lexicon_terms: Column) -> Column:
-    """One hash (int) per subset, null where the text has no term of it."""
+def fingerprint(chosen: Column) -> Column:
+    """One hash (int) per subset of ``chosen`` (terms, few); null where the text has no term of it and its terms are not few."""
 
-    def of(mine: Column, k: Column) -> Column:
+    def of(mine: Column, few: Column, k: Column) -> Column:
         # the first 4, 6 or 8 bits of a hash of (term, subset) must be 0
         limit = F.when(k < _PER_RATE, 16).when(k < 2 * _PER_RATE, 4).otherwise(1)
         kept = F.filter(mine, lambda t: F.shiftrightunsigned(F.xxhash64(t, k), 56) < limit)
-        return F.get(F.transform(F.array(kept), lambda m: F.when(F.size(m) > 0, F.shiftright(F.xxhash64(m), 32).cast("int"))), F.lit(0))
+        short = lambda m: F.shiftright(F.xxhash64(m), 32).cast("int")
+        return F.get(F.transform(F.array(kept), lambda m: F.when(F.size(m) > 0, short(m)).when(few & (F.size(mine) > 0), short(mine))), F.lit(0))
 
     # bound to a name first, so that the terms are worked out once and not per subset
-    return F.get(F.transform(F.array(lexicon_terms), lambda mine: F.transform(
-        F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: of(mine, k))), F.lit(0))
+    return F.get(F.transform(F.array(chosen), lambda c: F.transform(
+        F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: of(c["terms"], c["few"], k))), F.lit(0))
 
 
 def as_text(hashes: Column) -> Column:
@@ -71,7 +89,7 @@ def as_text(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets in which either text has a term; 1 for equal fingerprints."""
+    """Share of equal hashes among the subsets in which either text has a hash; 1 for equal fingerprints, so also for two texts without any term."""
     both = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x == y, F.lit(False))))
     seen = F.filter(both, lambda x: x.isNotNull())
     return F.when(F.size(seen) == 0, F.lit(1.0)).otherwise(F.size(F.filter(seen, lambda x: x)) / F.size(seen))

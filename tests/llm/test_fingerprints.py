@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
 from florapark.llm import fingerprints as m
 from pyspark.sql import functions as F
 from texts import SCHEMA, corpus, empty, odd
@@ -57,6 +58,22 @@ def test_likeness(spark):
         assert row[0] == expected
 
 
+@pytest.mark.parametrize("inline", [50_000, 0])
+def test_texts_without_lexicon_terms(spark, monkeypatch, inline):
+    monkeypatch.setattr(m, "_INLINE", inline)
+    common = [(i, t) for i, t, *_ in corpus(300, seed=4)]
+    rare = [(1000 + i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate((1, 2, 5, 12, 40, 400))]
+    same = [(1100, "odd words here"), (1101, "here odd words"), (1102, "..."), (1103, "")]
+    out = run(spark, common + rare + same)
+    known = {r["term"] for r in m.lexicon(spark.createDataFrame(common + rare + same, "doc_id long, text string")).collect()}
+    hashed = spark.createDataFrame(rare, "doc_id long, text string").select(F.explode(m.terms(F.col("text"))).alias("t"))
+    assert known and not known & {r["t"] for r in hashed.collect()}
+    assert all(out[i]["near_next"] == 0 and "-" not in out[i]["fingerprint"] for i, _ in rare)
+    assert all(out[i]["near_edited"] < 1 for i, t in rare)
+    assert out[1100]["near_next"] == 1 and out[1101]["near_next"] == 0 and out[1102]["near_next"] == 1
+    assert set(out[1102]["fingerprint"]) == set(out[1103]["fingerprint"]) == {"-"}
+
+
 def test_odd_rows_and_empty_tables(spark):
     out = m.compare_with_edits(odd(spark)).collect()
     assert len(out) == 11 and {r["n_chars"] for r in out if r["doc_id"] == 900} == {0}
