@@ -24,6 +24,7 @@ STEMS = (4, 5, 6)  # bytes of a word's beginning that also count as features, fo
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True  # line feed ! . ?
 THRESHOLD = 0.3
+OFFENDING = 0.1  # probability above which a sentence is reported
 START_SQUARE = 0.01  # of the adaptive step sizes; larger values favour words seen often
 STEP = 0.2
 SPARSE = 0.06  # pull of each step towards 0
@@ -75,6 +76,22 @@ def _document_scores(model: BagModel, log_not: np.ndarray, rows: np.ndarray, n:
     return 1 / (1 + np.exp(-(model.slope * odds + model.shift)))
 
 
+def _offending(model: BagModel, p: np.ndarray, logits: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Whether each sentence is over the cutoff, or needed among the best for its document to reach the threshold."""
+    out = p > OFFENDING
+    reached = _document_scores(model, np.where(out, _log_not(logits), 0.0), rows, len(scores))
+    short = (scores >= THRESHOLD) & (reached < THRESHOLD)
+    some = np.flatnonzero(short[rows])
+    some = some[np.lexsort((-p[some], rows[some]))]
+    cuts = np.flatnonzero(np.diff(rows[some])) + 1
+    for mine in np.split(some, cuts) if len(some) else []:
+        # of the best one, the best two and so on
+        upto = np.cumsum(_log_not(logits[mine]))
+        enough = _document_scores(model, upto, np.arange(len(mine)), len(mine)) >= THRESHOLD
+        out[mine[:int(enough.argmax()) + 1 if enough.any() else len(mine)]] = True
+    return out
+
+
 _UPDATES = 400  # steps of 32 documents that a shard takes in a round, whatever its size
 
 
@@ -177,12 +194,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return model
 
 
-def score(docs: DataFrame, model: BagModel, text: str = "text", most_spans: int = 3) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``offending``: array of (start, end, score), the worst sentences.
+def score(docs: DataFrame, model: BagModel, text: str = "text", most_spans: int | None = None) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``offending``: array of (start, end, score), the offending sentences.
 
-    Offsets are code points of the first word's start and the last word's end; at most
-    ``most_spans`` sentences above probability 0.1 are reported, worst first (a top-k
-    report; all sentences count in the score). Texts without words, also null, have the
+    Offsets are code points of the first word's start and the last word's end. Every
+    sentence above probability ``OFFENDING`` is reported, worst first; where these alone
+    do not bring a document of ``THRESHOLD`` or more there, the next best follow until
+    they do. ``most_spans`` keeps only so many of the worst. Texts without words, also null, have the
     score of no sentence, near 0. Other columns stay; columns of these names are replaced.
     """
     spark = docs.sparkSession
@@ -202,12 +220,11 @@ def score(docs: DataFrame, model: BagModel, text: str = "text", most_spans: int
                 scores.append(_document_scores(m, _log_not(logits), rows, n))
                 found: list[list] = [[] for _ in range(n)]
                 p = 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
-                bad = np.flatnonzero(p > 0.1)
-                for i in bad[np.lexsort((a[bad], -p[bad]))]:
-                    if len(found[rows[i]]) < most_spans:
-                        base = offsets[rows[i]]
-                        start = len(part[base:a[i]].decode("utf-8"))
-                        found[rows[i]].append((start, start + len(part[a[i]:b[i]].decode("utf-8")), float(p[i])))
+                chars = np.r_[0, np.cumsum((np.frombuffer(part, np.uint8) & 0xC0) != 0x80)]  # code points before each byte
+                for i in np.flatnonzero(_offending(m, p, logits, rows, scores[-1])):
+                    base = chars[offsets[rows[i]]]
+                    found[rows[i]].append((int(chars[a[i]] - base), int(chars[b[i]] - base), float(p[i])))
+                found = [sorted(x, key=lambda s: (-s[2], s[0]))[:most_spans] for x in found]
                 spans.extend([dict(zip(("start", "end", "score"), s)) for s in x] for x in found)
             names = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays(

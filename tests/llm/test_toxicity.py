@@ -42,6 +42,27 @@ def test_held_out_accuracy_and_sentences(spark, model):
     assert hits / 200 > 0.95 and caught > 30 and located / caught > 0.95
 
 
+def test_all_offending_sentences_are_reported(spark, model):
+    clean = [s for _, t, *_ in corpus(40, seed=8) for s in t.split("\n")][:20]
+    lines = [f"é {INSULTS[k % 3]} {s}" if k % 2 else s for k, s in enumerate(clean)]
+    docs = spark.createDataFrame([(1, "\n".join(lines), "en", "s", 0)], SCHEMA)
+    row = t.score(docs, model).first()
+    bad = [s for s in row["offending"] if any(x in row["text"][s["start"]:s["end"]] for x in INSULTS)]
+    assert len(bad) == 10 and [s["score"] for s in row["offending"]] == sorted((s["score"] for s in row["offending"]), reverse=True)
+    assert {row["text"][s["start"]:s["end"]] for s in bad} == {x.removesuffix(".") for x in lines if x.startswith("é")}
+    assert t.score(docs, model, most_spans=3).first()["offending"] == row["offending"][:3]
+
+
+def test_many_mild_sentences_are_reported(spark):
+    mild = t.BagModel(np.zeros(1 << t.BITS, np.float32), -2.5)  # p = 0.076 each
+    rows = [(1, ". ".join(["some words"] * 12), "en", "s", 0), (2, ". ".join(["some words"] * 2), "en", "s", 0)]
+    out = {r["doc_id"]: r for r in t.score(spark.createDataFrame(rows, SCHEMA), mild).collect()}
+    p = 1 / (1 + np.exp(2.5))
+    need = next(k for k in range(1, 13) if 1 - (1 - p) ** k >= t.THRESHOLD)
+    assert out[1]["score"] >= t.THRESHOLD and len(out[1]["offending"]) == need
+    assert out[2]["score"] < t.THRESHOLD and out[2]["offending"] == []
+
+
 def test_noisy_or_equals_the_product():
     m = t.BagModel(None, 0.0)
     logits, rows = np.array([-2.0, 0.5, -9.0, 1.0]), np.array([0, 0, 2, 2])
