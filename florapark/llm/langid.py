@@ -225,6 +225,19 @@ def _score_chunk(model: Crf, part: bytes, offsets: np.ndarray) -> tuple[np.ndarr
     return lang, np.clip(share, 0, 1), n_words
 
 
+def _explained(model: Crf, part: bytes, offsets: np.ndarray) -> np.ndarray:
+    """Words of each text that a learned language explains: the word itself or at least half its n-grams were learned."""
+    starts, _, three, four, slots = _features(np.frombuffer(part, np.uint8))
+    rows = row_of(starts, offsets)
+    known = model.word.any(1)[slots]
+    if len(starts):
+        gram = model.gram.any(1)
+        hit = np.add.reduceat(gram[three].astype(np.int64) + gram[four], starts)
+        of = np.add.reduceat((three != _BLANK).astype(np.int64) + (four != _BLANK), starts)
+        known |= (of > 0) & (2 * hit >= of)
+    return np.bincount(rows[known], minlength=len(offsets) - 1)
+
+
 def _train_shard(langs: list[str], flat: np.ndarray, seed: int, frames: Iterator) -> Crf | None:
     """One pass of AdaGrad over the shard's texts, cut into stretches and mixed into chains of several languages."""
     model = Crf.of(langs, flat)
@@ -320,23 +333,24 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     return Crf.of(langs, flat)
 
 
-def predict(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Crf, text: str = "text", explained: bool = False) -> DataFrame:
     """``docs`` with lang_pred, score (share of the predicted language in the word posteriors) and n_words.
 
     Null texts and texts without a letter are `und` with score 0. Columns of these
     names in ``docs`` are replaced; all others stay as they are, nulls and repeated
-    rows too.
+    rows too. With ``explained``, n_explained counts the words that a learned language explains.
     """
     spark = docs.sparkSession
     ship(spark)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "n_words")]
+    added = {"lang_pred": "string", "score": "double", "n_words": "long"} | ({"n_explained": "long"} if explained else {})
+    kept = [c for c in docs.columns if c not in added]
     flat = spark.sparkContext.broadcast((model.langs, model.flat()))  # slots times languages, whatever the corpus
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Crf.of(*flat.value)
         names = np.array([*known.langs, UNDETERMINED], dtype=object)
         for batch in batches:
-            lang, score, words = [], [], []
+            lang, score, words, clear = [], [], [], []
             for _, _, part, offsets in chunks(batch.column("_text")):
                 if known.langs:
                     one, share, n = _score_chunk(known, part, offsets)
@@ -344,17 +358,20 @@ def predict(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
                     n = np.zeros(len(offsets) - 1, np.int64)
                     one, share = np.full(len(n), -1), np.zeros(len(n))
                 lang.append(one), score.append(share), words.append(n)
+                if explained:
+                    clear.append(_explained(known, part, offsets) if known.langs else np.zeros(len(n), np.int64))
             flat_lang = np.concatenate(lang) if lang else np.zeros(0, int)
             columns = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "_text"]
             columns += [pa.array(names[flat_lang].tolist(), pa.string()),
                         pa.array(np.concatenate(score) if score else [], pa.float64()),
                         pa.array(np.concatenate(words) if words else [], pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                columns, [c for c in batch.schema.names if c != "_text"] + ["lang_pred", "score", "n_words"])
+            if explained:
+                columns.append(pa.array(np.concatenate(clear) if clear else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, [c for c in batch.schema.names if c != "_text"] + list(added))
 
     given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept]
-                       + ["lang_pred string", "score double", "n_words long"])
+                       + [f"{c} {kind}" for c, kind in added.items()])
     return given.mapInArrow(label, schema)
 
 
@@ -367,9 +384,15 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def stage(spark, docs: DataFrame, sf_dir: str, least_share: float = 0.4) -> DataFrame:
-    """Drop documents in no language (no letter, or no language holding ``least_share`` of the words)."""
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter, and those in which no learned language explains a single word.
+
+    Texts of several languages stay, however evenly they share the words. Where no row has
+    a label no language is learned, and every document stays, also those without a letter.
+    """
     model = fit(docs.where(~held_back(F.col("doc_id"), 5, 0)))
-    judged = predict(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, "in_text")
-    kept = judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share))
+    if not model.langs:
+        return docs
+    judged = predict(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, "in_text", explained=True)
+    kept = judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("n_explained") > 0))
     return kept.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])

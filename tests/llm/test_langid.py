@@ -88,3 +88,23 @@ def test_stage_drops_only_texts_without_language(spark):
     docs = spark.createDataFrame([r for r in corpus(300) if len(r[1].split()) >= 5], SCHEMA).unionByName(spark.createDataFrame([(900, "12 34", "en", "s", 5), (901, None, "en", "s", 0)], SCHEMA))
     out = m.stage(spark, docs, "")
     assert out.columns == docs.columns and out.count() == docs.count() - 2
+
+
+def test_stage_keeps_an_even_mixture_of_languages(spark):
+    import random
+
+    rng = random.Random(5)
+    made = {"it": ["che", "gli", "della", "sono", "anche", "nella", "questo", "perche", "molto", "tutti"]}
+    four = [*corpus(300, seed=6), *[(400 + i, " ".join(rng.choices(made["it"], k=60)), "it", "s", 0) for i in range(100)]]
+    mixed = [(1000 + i, "\n".join([sentence(rng, k, 15) for k in ("en", "de", "fr")] + [" ".join(rng.choices(made["it"], k=15))]), None, "s", 0)
+             for i in range(20)]
+    junk = [(2000, "жщыш щфыц ъэжю", None, "s", 0), (2001, "12 34", None, "s", 5)]
+    docs = spark.createDataFrame(four + mixed + junk, SCHEMA)
+    shares = [r["score"] for r in m.predict(docs.where("doc_id >= 1000 AND doc_id < 2000"), m.fit(docs)).collect()]
+    assert max(shares) < 0.4  # the largest share of an even mixture
+    assert {r["doc_id"] for r in m.stage(spark, docs, "").select("doc_id").collect()} == {r[0] for r in four + mixed}
+
+
+def test_stage_keeps_all_when_no_language_was_learned(spark):
+    docs = odd(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert m.stage(spark, docs, "").count() == docs.count() == 11
