@@ -280,7 +280,7 @@ class Boosted:
     patience: int = 5
 
 
-# state: mean[p], sd[p] | level, best_loss, best_trees, n_trees | bias, trees...; one tree: splits
+# state: mean[p], sd[p] | level, best_loss, best_trees, n_trees | bias, trees..., edges[p][bins - 1]; one tree: splits
 # (feature, cut) for 2**depth - 1 inner nodes, then 2**depth leaf values
 def _tree_size(depth: int) -> int:
     return 2 * (2**depth - 1) + 2**depth
@@ -308,9 +308,13 @@ def boosted_score(state: np.ndarray, x: np.ndarray, depth: int, trees: int | Non
 
 
 def boosted_fit(spec: Boosted) -> tuple[Step, Solve]:
-    edges = np.linspace(-2.5, 2.5, spec.bins - 1)  # cuts on the standardised scale
     inner, size = 2**spec.depth - 1, _tree_size(spec.depth)
 
+    def cuts(state, p):
+        """Edges on the standardised scale, (p, bins - 1)."""
+        raw = state[2 * p + 5 + spec.trees * size:].reshape(p, spec.bins - 1)
+        return (raw - state[:p, None]) / state[p: 2 * p, None]
+
     def step(state, x, y, w, held):
         p = x.shape[1]
         level = int(state[2 * p])
@@ -325,9 +329,9 @@ def boosted_fit(spec: Boosted) -> tuple[Step, Solve]:
         keep = ~out
         g, h = (w * (y - mu))[keep], (w * np.maximum(mu * (1 - mu), 1e-9))[keep]
         hist = np.zeros((2**level, p, spec.bins, 2))
-        bin_no = np.searchsorted(edges, z[keep], side="left")
+        edges = cuts(state, p)
         for j in range(p):
-            at = node[keep] * spec.bins + bin_no[:, j]
+            at = node[keep] * spec.bins + np.searchsorted(edges[j], z[keep, j], side="left")
             hist[:, j, :, 0] = np.bincount(at, g, 2**level * spec.bins).reshape(-1, spec.bins)
             hist[:, j, :, 1] = np.bincount(at, h, 2**level * spec.bins).reshape(-1, spec.bins)
         # without held-out rows the training loss stands in
@@ -335,9 +339,9 @@ def boosted_fit(spec: Boosted) -> tuple[Step, Solve]:
 
     def solve(state, sums, rounds):
         n_trees = 0
-        body_of = lambda q: len(state) - 2 * q - 5
-        p = next(q for q in range(1, len(state)) if body_of(q) == spec.trees * size)
+        p = (len(state) - 5 - spec.trees * size) // (spec.bins + 1)
         state = state.copy()
+        edges = cuts(state, p)
         level, n_trees = int(state[2 * p]), int(state[2 * p + 3])
         if level == 0:
             loss = sums[0] if sums[1] > 0 else sums[2]
@@ -356,7 +360,7 @@ def boosted_fit(spec: Boosted) -> tuple[Step, Solve]:
             gain = left[..., 0] ** 2 / (left[..., 1] + spec.shrink) + right[..., 0] ** 2 / (right[..., 1] + spec.shrink)
             f, c = np.unravel_index(np.argmax(gain), gain.shape)
             slot = 2**level - 1 + node
-            state[at + 2 * slot: at + 2 * slot + 2] = f, edges[c]
+            state[at + 2 * slot: at + 2 * slot + 2] = f, edges[f, c]
             if level == spec.depth - 1:
                 for side, part in ((0, left[f, c]), (1, right[f, c])):
                     state[at + 2 * inner + 2 * node + side] = spec.learning_rate * part[0] / (part[1] + spec.shrink)
@@ -376,13 +380,18 @@ def fit_boosted(train: DataFrame, spec: Boosted, features: str = "features", hol
     n, k, p = F.get("state", 0), F.get("state", 1), F.expr("cast((size(state) - 2) div 3 as int)")
     bias = F.log((k + 0.5) / (n - k + 0.5))
     empty = F.array_repeat(F.lit(0.0), F.lit(spec.trees * _tree_size(spec.depth)))
-    begin = pin(stats.select(
+    # edges are quantiles of each predictor over all rows of the species; one sketch per predictor
+    shares = F.array(*[F.lit(i / spec.bins) for i in range(1, spec.bins)])
+    edges = train.select("species_id", F.posexplode(features).alias("j", "v")).groupBy("species_id", "j").agg(
+        F.percentile_approx(F.col("v").cast("double"), shares).alias("e")).groupBy("species_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("j", "e"))), lambda r: r["e"])).alias("_edges"))
+    begin = pin(stats.join(edges, "species_id").select(
         "species_id", F.slice("state", F.lit(3), 2 * p).alias("_m"), n.alias("n"), k.alias("k"),
-        F.concat(F.slice("state", F.lit(3), 2 * p), F.array_repeat(F.lit(0.0), 4), F.array(bias), empty).alias("state"),
+        F.concat(F.slice("state", F.lit(3), 2 * p), F.array_repeat(F.lit(0.0), 4), F.array(bias), empty, F.col("_edges")).alias("state"),
         ((k == 0) | (k == n)).alias("done"), F.lit(0).alias("rounds")))
     step, solve = boosted_fit(spec)
     final = iterate(packed, begin.select("species_id", "state", "done", "rounds"), step, solve, spec.trees * spec.depth + 1)
-    p = F.expr(f"cast((size(state) - 5 - {spec.trees * _tree_size(spec.depth)}) div 2 as int)")
+    p = F.expr(f"cast((size(state) - 5 - {spec.trees * _tree_size(spec.depth)}) div {spec.bins + 1} as int)")
     # keep the best number of trees
     counted = final.withColumn("_p", p).withColumn("n_trees", F.get("state", F.col("_p") * 2 + 2).cast("int"))
     return counted.join(begin.select("species_id", "n", "k"), "species_id").select(

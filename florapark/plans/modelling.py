@@ -47,8 +47,8 @@ def register_fit(name: str, model: str, **options):
 
 register_fit("l2_logistic", "logistic")
 register_fit("l3_glm", "glm", C=1.0)
-register_fit("l4_random_forest", "randomforest", trees=5)
-register_fit("l5_boosted_trees", "gradientboosting", trees=4, depth=2)
+register_fit("l4_random_forest", "randomforest")
+register_fit("l5_boosted_trees", "gradientboosting")
 register_fit("l6_gam", "gam", lam=0.6)
 register_fit("l7_maxent", "maxent", classes="lq")
 

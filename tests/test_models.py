@@ -122,6 +122,30 @@ print("FITTED", L.fit_linear(data, L.Linear(l2=1.0)).count(), L.fit_forest(data,
     assert "FITTED 1 2" in done.stdout, done.stderr[-2000:]
 
 
+def test_boosted_cuts_follow_a_skewed_predictor(spark):
+    rng = np.random.default_rng(1)
+    x = np.r_[rng.random(396), [1e6] * 4]
+    rows = [(1, i, int(v > 0.5), 1.0, [float(v), float(-v)]) for i, v in enumerate(x)]
+    data = spark.createDataFrame(rows, "species_id bigint, location_id bigint, label int, weight double, features array<double>")
+    spec = L.Boosted(trees=3)
+    model = L.fit_boosted(data, spec)
+    assert auroc(L.score_boosted(model, data, spec), 1) > 0.95 and model.first()["n_features"] == 2
+
+
+def test_queries_fit_at_the_operators_parameters(monkeypatch):
+    from florapark.plans import modelling
+
+    seen = []
+    monkeypatch.setattr(modelling, "train_and_evaluation", lambda t, model: (None, None))
+    monkeypatch.setattr(modelling.L, "fit_predict_many", lambda *a, n_predictors, **options: seen.append((a[2], options)) or (_ for _ in ()).throw(KeyError))
+    monkeypatch.setattr(modelling, "query", lambda name: lambda f: pytest.raises(KeyError, f, None))
+    source = open(modelling.__file__).read()
+    for line in source.split("\n"):
+        if line.startswith(('register_fit("l4', 'register_fit("l5')):
+            eval(line, vars(modelling))
+    assert seen == [("randomforest", {}), ("gradientboosting", {})]
+
+
 def test_unknown_model(spark):
     with pytest.raises(ValueError, match="maxent"):
         L.get_model("perceptron", 3)
