@@ -1,133 +1,29 @@
 """Per-species models for all species in one job.
 
-Training rows are packed into blocks of a few thousand rows, many blocks per common
-species. One round of a fit is: every block adds up what the solver needs (gradient and
-curvature, or split histograms) with numpy; the sums meet per species; one small solve
-per species gives the next state. No species is ever gathered, whatever its size, and
-all species advance together. Fitted linear models are plain coefficient arrays that are
-scored by column expressions.
+Linear models are here, forests and boosted trees in ``trees``, maximum entropy in
+``maxent``; all are fitted by ``fitting``, in blocks of rows, so that no species is ever
+gathered whatever its size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from florapark.functions import features as X
-from florapark.functions.scores import digest
+from florapark.operators import fitting, maxent, trees
+from florapark.operators.experiments import select_hyperparameter
 from florapark.operators.metrics import compute_metrics
-from florapark.operators.sampling import stratified_holdout
 from florapark.operators.weights import presence_background_weights
-from florapark.session import pin, ship
+from florapark.session import pin
 
-BLOCK_ROWS = 2048
-# partial sums held per task before they are sent on
-HELD_SPECIES = 64
-
-BLOCK_SCHEMA = "species_id bigint, n int, x array<double>, y array<double>, w array<double>, held array<double>"
-STATE_SCHEMA = "species_id bigint, state array<double>, done boolean, rounds int"
-PARTIAL_SCHEMA = "species_id bigint, state array<double>, rounds int, sums array<double>"
-
-
-def blocks(train: DataFrame, features: str = "features") -> DataFrame:
-    """Training rows (species_id, location_id, label, weight, [holdout], features) packed per species.
-
-    The number of blocks follows the number of rows of the species, and a row goes to a
-    block by its digest, so blocks stay near ``BLOCK_ROWS`` rows.
-    """
-    sizes = train.groupBy("species_id").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_blocks"))
-    held = F.col("holdout").cast("double") if "holdout" in train.columns else F.lit(0.0)
-    block = F.pmod(F.xxhash64("location_id"), F.col("_blocks"))
-    row = F.struct(F.col(features).alias("x"), F.col("label").cast("double").alias("y"), F.col("weight").alias("w"), held.alias("h"))
-    packed = train.join(sizes, "species_id").groupBy("species_id", block.alias("_block")).agg(F.collect_list(row).alias("r"))
-    return packed.select(
-        F.col("species_id").cast("bigint").alias("species_id"), F.size("r").alias("n"),
-        F.flatten(F.transform("r", lambda r: r["x"])).alias("x"), F.transform("r", lambda r: r["y"]).alias("y"),
-        F.transform("r", lambda r: r["w"]).alias("w"), F.transform("r", lambda r: r["h"]).alias("held"))
-
-
-Step = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 Solve = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, bool]]
 
 
-def one_round(packed: DataFrame, state: DataFrame, step: Step, solve: Solve) -> DataFrame:
-    """One pass: ``step(state, x, y, w, held)`` per block, summed, then ``solve(state, sums, rounds)`` per species."""
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[int, list] = {}
-
-        def flush() -> pd.DataFrame:
-            rows = [(s, v[0], v[1], v[2]) for s, v in kept.items()]
-            kept.clear()
-            return pd.DataFrame(rows, columns=["species_id", "state", "rounds", "sums"])
-
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                x = np.asarray(r.x, dtype=float).reshape(int(r.n), -1)
-                sums = step(np.asarray(r.state, dtype=float), x, np.asarray(r.y), np.asarray(r.w), np.asarray(r.held))
-                if r.species_id in kept:
-                    kept[r.species_id][2] = kept[r.species_id][2] + sums
-                else:
-                    kept[r.species_id] = [r.state, r.rounds, sums]
-                if len(kept) >= HELD_SPECIES:
-                    yield flush()
-        if kept:
-            yield flush()
-
-    def combine(parts: pd.DataFrame) -> pd.DataFrame:
-        # one row per task that met the species
-        sums = np.sum(np.vstack(parts["sums"].to_list()), axis=0)
-        rounds = int(parts["rounds"].iloc[0]) + 1
-        new, done = solve(np.asarray(parts["state"].iloc[0], dtype=float), sums, rounds)
-        return pd.DataFrame({
-            "species_id": [parts["species_id"].iloc[0]], "state": [list(new)], "done": [bool(done)], "rounds": [rounds]})
-
-    ship(packed.sparkSession)
-    active = state.where(~F.col("done")).select("species_id", "state", "rounds")
-    summed = packed.join(active, "species_id").mapInPandas(partial, PARTIAL_SCHEMA)
-    moved = summed.groupBy("species_id").applyInPandas(combine, STATE_SCHEMA)
-    return moved.unionByName(state.where(F.col("done")))
-
-
-def start_state(packed: DataFrame, value: Column) -> DataFrame:
-    return packed.groupBy("species_id").agg(F.max(F.expr("size(x) div n")).alias("_p")).select(
-        "species_id", value.alias("state"), F.lit(False).alias("done"), F.lit(0).alias("rounds"))
-
-
-def iterate(packed: DataFrame, state: DataFrame, step: Step, solve: Solve, rounds: int) -> DataFrame:
-    """Rounds until every species is done; each state table is written down and read back."""
-    for _ in range(rounds):
-        state = pin(one_round(packed, state, step, solve))
-        if state.where(~F.col("done")).isEmpty():
-            break
-    return state
-
-
-# ---- feature moments ----
-
-
-def moments_step(state, x, y, w, held):
-    pos = y > 0
-    return np.concatenate([
-        [len(y), pos.sum()], x.sum(0), (x * x).sum(0), x[pos].sum(0), (x[pos] ** 2).sum(0)])
-
-
-def moments_solve(state, sums, rounds):
-    """State: n, n_pos, then mean, deviation and deviation over presences of each feature."""
-    n, k = sums[0], sums[1]
-    p = (len(sums) - 2) // 4
-    s, ss, ps, pss = (sums[2 + i * p: 2 + (i + 1) * p] for i in range(4))
-    mean = s / n
-    sd = np.sqrt(np.maximum(ss / n - mean**2, 0))
-    pmean = ps / max(k, 1)
-    psd = np.sqrt(np.maximum(pss / max(k, 1) - pmean**2, 0))
-    return np.concatenate([[n, k], mean, np.where(sd > 1e-12, sd, 1.0), psd]), True
-
-
 # ---- penalised logistic regression ----
 
 
@@ -144,7 +40,7 @@ class Linear:
     l1: float = 0.0
     smooth: float = 0.0
     n_splines: int = 0
-    maxent_classes: tuple[int, int, int] = ()  # numbers of l, q and p features: turns on maxent penalties
+    expand: str = ""  # 'squares' adds the squares of the predictors, 'splines' replaces them by B-spline columns over their range
     rounds: int = 25
     tolerance: float = 1e-6
 
@@ -155,10 +51,21 @@ FITTED = "status not in ('no presences', 'no background')"
 LARGEST_STEP = 4.0
 
 
-def newton_step(state, x, y, w, held):
-    """Gradient, curvature and loss of the weighted log-likelihood; state: p, betas, n, n_pos, mean, sd, ..."""
+def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.concatenate([[len(y), (y > 0).sum()], x.sum(0), (x * x).sum(0)])
+
+
+def summary(sums: np.ndarray) -> np.ndarray:
+    """n, n_pos, then mean and deviation of each feature; a deviation of 0 counts as 1."""
+    n, (s, ss) = sums[0], np.split(sums[2:], 2)
+    sd = np.sqrt(np.maximum(ss / n - (s / n) ** 2, 0))
+    return np.concatenate([sums[:2], s / n, np.where(sd > 1e-12, sd, 1.0)])
+
+
+def newton_step(state, x, y, w):
+    """Gradient, curvature and loss of the weighted log-likelihood; state: betas, n, n_pos, mean, sd."""
     p = x.shape[1]
-    beta, mean, sd = state[: p + 1], state[p + 3: 2 * p + 3], state[2 * p + 3: 3 * p + 3]
+    beta, mean, sd = state[: p + 1], state[p + 3: 2 * p + 3], state[2 * p + 3:]
     z = np.hstack([np.ones((len(y), 1)), (x - mean) / sd])
     mu = 1 / (1 + np.exp(-np.clip(z @ beta, -35, 35)))
     g = z.T @ (w * (mu - y))
@@ -167,24 +74,6 @@ def newton_step(state, x, y, w, held):
     return np.concatenate([g, h.ravel(), [loss]])
 
 
-# fixed values: published penalty tables of the maximum-entropy feature classes (presences, multiplier)
-LINEAR_TABLE = ((0, 10, 30, 100), (1.0, 1.0, 0.2, 0.05))
-QUADRATIC_TABLE = ((0, 10, 17, 30, 100), (1.3, 0.8, 0.5, 0.25, 0.05))
-PRODUCT_TABLE = ((0, 10, 17, 30, 100), (2.6, 1.6, 0.9, 0.55, 0.05))
-
-
-def l1_weights(spec: Linear, state: np.ndarray, p: int) -> np.ndarray:
-    """L1 penalty per standardised feature."""
-    if not spec.maxent_classes:
-        return np.full(p, spec.l1)
-    k = state[p + 2]
-    sd, psd = state[2 * p + 3: 3 * p + 3], state[3 * p + 3: 4 * p + 3]
-    n_l, n_q, n_p = spec.maxent_classes
-    table = PRODUCT_TABLE if n_p else QUADRATIC_TABLE if n_q else LINEAR_TABLE
-    base = np.interp(k, *table)
-    return spec.l1 * k * base * np.maximum(psd, 1e-3 * sd) / np.sqrt(max(k, 1)) / sd
-
-
 def difference_penalty(p: int, n_splines: int) -> np.ndarray:
     d = np.diff(np.eye(n_splines), n=2, axis=0)
     return np.kron(np.eye(p // n_splines), d.T @ d)
@@ -202,7 +91,7 @@ def penalised_solve(spec: Linear) -> Solve:
         quad[1:, 1:] += spec.l2 * np.eye(p)
         if spec.smooth:
             quad[1:, 1:] += spec.smooth * difference_penalty(p, spec.n_splines)
-        lam = np.concatenate([[0.0], l1_weights(spec, state, p)])
+        lam = np.concatenate([[0.0], np.full(p, spec.l1)])
         a = h + quad + RIDGE_FLOOR * np.eye(q)
         b = a @ beta - (g + quad @ beta)
         if not lam.any():
@@ -230,296 +119,103 @@ def penalised_solve(spec: Linear) -> Solve:
     return solve
 
 
-def fit_linear(train: DataFrame, spec: Linear, features: str = "features") -> DataFrame:
-    """(species_id, intercept, coefficients on the given features, n_samples, n_presences, n_features, rounds, status)."""
-    packed = pin(blocks(train, features))
-    stats = one_round(packed, start_state(packed, F.array(F.lit(0.0))), moments_step, moments_solve)
-    p = F.expr("cast((size(state) - 2) div 3 as int)").alias("_p")
-    begin = stats.withColumn("_p", p).select(
-        "species_id", F.concat(F.array_repeat(F.lit(0.0), F.col("_p") + 1), F.col("state")).alias("state"),
-        # a species without both classes has nothing to fit
-        ((F.get("state", 1) == 0) | (F.get("state", 1) == F.get("state", 0))).alias("done"), F.lit(0).alias("rounds"))
-    final = iterate(packed, pin(begin), newton_step, penalised_solve(spec), spec.rounds)
-    s, q = F.col("state"), F.col("_q")
-    part = {name: F.slice(s, start, q - 1) for name, start in (("b", F.lit(2)), ("m", q + 3), ("d", 2 * q + 2))}
-    return final.withColumn("_q", F.expr("cast((size(state) - 3) div 4 + 1 as int)")).select(
-        "species_id",
-        (F.get(s, 0) - X.dot(F.zip_with(part["b"], part["d"], lambda b, d: b / d), part["m"])).alias("intercept"),
-        F.zip_with(part["b"], part["d"], lambda b, d: b / d).alias("coefficients"),
-        F.get(s, q).cast("bigint").alias("n_samples"), F.get(s, q + 1).cast("bigint").alias("n_presences"),
-        (q - 1).cast("int").alias("n_features"), "rounds",
-        F.when(F.get(s, q + 1) == 0, "no presences").when(F.get(s, q + 1) == F.get(s, q), "no background")
-        .when(~F.col("done"), "not converged").otherwise("ok").alias("status"),
-    )
-
-
-def maxent_scale(model: DataFrame, train: DataFrame, features: str = "features") -> DataFrame:
-    """Adds ``alpha`` (log normaliser) and ``entropy`` over the background, for the cloglog output."""
-    back = train.where("label = 0").select("species_id", features).join(model.select("species_id", "intercept", "coefficients"), "species_id")
-    eta = back.select("species_id", X.dot(features, "coefficients").alias("e"))
-    top = eta.groupBy("species_id").agg(F.max("e").alias("_t"))
-    sums = eta.join(top, "species_id").groupBy("species_id", "_t").agg(
-        F.sum(F.exp(F.col("e") - F.col("_t"))).alias("_z"), F.sum(F.exp(F.col("e") - F.col("_t")) * F.col("e")).alias("_m"))
-    log_z = F.log("_z") + F.col("_t")
-    scale = sums.select("species_id", (-log_z).alias("alpha"), (log_z - F.col("_m") / F.col("_z")).alias("entropy"))
-    return model.join(scale, "species_id", "left")
-
-
-# ---- boosted trees on histograms ----
-
-
-@dataclass(frozen=True)
-class Boosted:
-    """Small trees grown level by level; the number of trees is settled on held-out rows."""
-
-    trees: int = 50
-    depth: int = 2
-    learning_rate: float = 0.1
-    bins: int = 16
-    shrink: float = 1.0
-    patience: int = 5
-
-
-# state: mean[p], sd[p] | level, best_loss, best_trees, n_trees | bias, trees..., edges[p][bins - 1]; one tree: splits
-# (feature, cut) for 2**depth - 1 inner nodes, then 2**depth leaf values
-def _tree_size(depth: int) -> int:
-    return 2 * (2**depth - 1) + 2**depth
-
-
-def _leaf(tree: np.ndarray, z: np.ndarray, levels: int) -> np.ndarray:
-    node = np.zeros(len(z), dtype=int)
-    for _ in range(levels):
-        f, cut = tree[2 * node].astype(int), tree[2 * node + 1]
-        node = 2 * node + 1 + (z[np.arange(len(z)), f] > cut)
-    return node - (2**levels - 1)
-
-
-def boosted_score(state: np.ndarray, x: np.ndarray, depth: int, trees: int | None = None) -> np.ndarray:
-    """Log-odds of the first ``trees`` finished trees."""
-    p = x.shape[1]
-    z = (x - state[:p]) / state[p: 2 * p]
-    body, size = state[2 * p + 5:], _tree_size(depth)
-    count = int(state[2 * p + 3]) if trees is None else trees
-    out = np.full(len(x), state[2 * p + 4])
-    for t in range(count):
-        tree = body[t * size: (t + 1) * size]
-        out += tree[2 * (2**depth - 1):][_leaf(tree, z, depth)]
-    return out
-
-
-def boosted_fit(spec: Boosted) -> tuple[Step, Solve]:
-    inner, size = 2**spec.depth - 1, _tree_size(spec.depth)
-
-    def cuts(state, p):
-        """Edges on the standardised scale, (p, bins - 1)."""
-        raw = state[2 * p + 5 + spec.trees * size:].reshape(p, spec.bins - 1)
-        return (raw - state[:p, None]) / state[p: 2 * p, None]
-
-    def step(state, x, y, w, held):
-        p = x.shape[1]
-        level = int(state[2 * p])
-        z = (x - state[:p]) / state[p: 2 * p]
-        score = boosted_score(state, x, spec.depth)
-        mu = 1 / (1 + np.exp(-np.clip(score, -35, 35)))
-        loss = w * -np.where(y > 0, np.log(mu), np.log1p(-mu))
-        out = held > 0
-        done = int(state[2 * p + 3])
-        tree = state[2 * p + 5 + done * size: 2 * p + 5 + (done + 1) * size]
-        node = _leaf(tree, z, level)
-        keep = ~out
-        g, h = (w * (y - mu))[keep], (w * np.maximum(mu * (1 - mu), 1e-9))[keep]
-        hist = np.zeros((2**level, p, spec.bins, 2))
-        edges = cuts(state, p)
-        for j in range(p):
-            at = node[keep] * spec.bins + np.searchsorted(edges[j], z[keep, j], side="left")
-            hist[:, j, :, 0] = np.bincount(at, g, 2**level * spec.bins).reshape(-1, spec.bins)
-            hist[:, j, :, 1] = np.bincount(at, h, 2**level * spec.bins).reshape(-1, spec.bins)
-        # without held-out rows the training loss stands in
-        return np.concatenate([[loss[out].sum(), out.sum(), loss.sum()], hist.ravel()])
-
-    def solve(state, sums, rounds):
-        n_trees = 0
-        p = (len(state) - 5 - spec.trees * size) // (spec.bins + 1)
-        state = state.copy()
-        edges = cuts(state, p)
-        level, n_trees = int(state[2 * p]), int(state[2 * p + 3])
-        if level == 0:
-            loss = sums[0] if sums[1] > 0 else sums[2]
-            if n_trees == 0 or loss < state[2 * p + 1]:
-                state[2 * p + 1], state[2 * p + 2] = loss, n_trees
-            elif n_trees - state[2 * p + 2] >= spec.patience:
-                return state, True
-            if n_trees >= spec.trees:
-                return state, True
-        at = 2 * p + 5 + n_trees * size
-        hist = sums[3:].reshape(2**level, p, spec.bins, 2)
-        for node in range(2**level):
-            left = np.cumsum(hist[node, :, :-1], axis=1)
-            total = hist[node, 0].sum(0)
-            right = total - left
-            gain = left[..., 0] ** 2 / (left[..., 1] + spec.shrink) + right[..., 0] ** 2 / (right[..., 1] + spec.shrink)
-            f, c = np.unravel_index(np.argmax(gain), gain.shape)
-            slot = 2**level - 1 + node
-            state[at + 2 * slot: at + 2 * slot + 2] = f, edges[f, c]
-            if level == spec.depth - 1:
-                for side, part in ((0, left[f, c]), (1, right[f, c])):
-                    state[at + 2 * inner + 2 * node + side] = spec.learning_rate * part[0] / (part[1] + spec.shrink)
-        state[2 * p] = (level + 1) % spec.depth
-        if state[2 * p] == 0:
-            state[2 * p + 3] = n_trees + 1
-        return state, False
-
-    return step, solve
-
-
-def fit_boosted(train: DataFrame, spec: Boosted, features: str = "features", holdout: float = 0.2, seed: int = 0) -> DataFrame:
-    """(species_id, state, n_trees, n_samples, n_presences, status); the state scores new rows."""
-    split = stratified_holdout(train, holdout, seed)
-    packed = pin(blocks(split, features))
-    stats = one_round(packed, start_state(packed, F.array(F.lit(0.0))), moments_step, moments_solve)
-    n, k, p = F.get("state", 0), F.get("state", 1), F.expr("cast((size(state) - 2) div 3 as int)")
-    bias = F.log((k + 0.5) / (n - k + 0.5))
-    empty = F.array_repeat(F.lit(0.0), F.lit(spec.trees * _tree_size(spec.depth)))
-    # edges are quantiles of each predictor over all rows of the species; one sketch per predictor
-    shares = F.array(*[F.lit(i / spec.bins) for i in range(1, spec.bins)])
-    edges = train.select("species_id", F.posexplode(features).alias("j", "v")).groupBy("species_id", "j").agg(
-        F.percentile_approx(F.col("v").cast("double"), shares).alias("e")).groupBy("species_id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("j", "e"))), lambda r: r["e"])).alias("_edges"))
-    begin = pin(stats.join(edges, "species_id").select(
-        "species_id", F.slice("state", F.lit(3), 2 * p).alias("_m"), n.alias("n"), k.alias("k"),
-        F.concat(F.slice("state", F.lit(3), 2 * p), F.array_repeat(F.lit(0.0), 4), F.array(bias), empty, F.col("_edges")).alias("state"),
-        ((k == 0) | (k == n)).alias("done"), F.lit(0).alias("rounds")))
-    step, solve = boosted_fit(spec)
-    final = iterate(packed, begin.select("species_id", "state", "done", "rounds"), step, solve, spec.trees * spec.depth + 1)
-    p = F.expr(f"cast((size(state) - 5 - {spec.trees * _tree_size(spec.depth)}) div {spec.bins + 1} as int)")
-    # keep the best number of trees
-    counted = final.withColumn("_p", p).withColumn("n_trees", F.get("state", F.col("_p") * 2 + 2).cast("int"))
-    return counted.join(begin.select("species_id", "n", "k"), "species_id").select(
-        "species_id", "state", "n_trees", F.col("n").cast("bigint").alias("n_samples"), F.col("k").cast("bigint").alias("n_presences"),
-        F.col("_p").cast("int").alias("n_features"),
-        F.when(F.col("k") == 0, "no presences").when(F.col("k") == F.col("n"), "no background")
-        .when(F.get("state", F.col("_p") * 2 + 3) >= spec.trees, "all trees used").otherwise("ok").alias("status"))
-
-
-def score_boosted(model: DataFrame, rows: DataFrame, spec: Boosted, features: str = "features") -> DataFrame:
-    """Probability of every (species, row) pair in ``rows`` (species_id, location_id, features, ...)."""
-    keep = [c for c in rows.columns if c != features]
-    joined = rows.join(model.where(FITTED).select("species_id", "state", "n_trees"), "species_id")
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", probability double"
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            prob = np.empty(len(b))
-            for _, at in b.groupby("species_id").indices.items():
-                first = b.iloc[at[0]]
-                x = np.vstack(b[features].iloc[at].to_list())
-                prob[at] = 1 / (1 + np.exp(-boosted_score(np.asarray(first["state"], dtype=float), x, spec.depth, int(first["n_trees"]))))
-            yield b[keep].assign(probability=prob)
-
-    ship(rows.sparkSession)
-    return joined.mapInPandas(score, schema)
-
-
-# ---- random forest: one small balanced sample per (species, tree) ----
-
-
-@dataclass(frozen=True)
-class Forest:
-    trees: int = 20
-    max_features: int = 4
-    depth: int = 6
-    min_leaf: int = 2
-    seed: int = 0
-
+def expansion(spec: Linear, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Feature columns of a linear model; splines are cubic, over evenly spaced knots on the range lo to hi of each predictor."""
+    if spec.expand == "squares":
+        return np.hstack([x, x * x])
+    if spec.expand != "splines":
+        return x
+    width = np.where(hi > lo, hi - lo, 1.0) / (spec.n_splines - 3)
+    at = (np.clip(x, lo, hi) - lo) / width
+    u = np.abs(at[:, :, None] - np.arange(-1, spec.n_splines - 1))
+    inner, outer = (4 - 6 * u**2 + 3 * u**3) / 6, (2 - u) ** 3 / 6
+    return np.where(u < 1, inner, np.where(u < 2, outer, 0.0)).reshape(len(x), -1)
+
+
+class LinearMethod(fitting.Method):
+    """Moments first, then penalised Newton rounds; ``with_param`` turns a parameter value into settings."""
+
+    def __init__(self, spec: Linear, with_param: Callable[[Linear, float], Linear] | None = None):
+        self.spec, self.with_param = spec, with_param
+
+    def begin(self, group):
+        param = group["param"]
+        own = self.spec if self.with_param is None or param is None or np.isnan(param) else self.with_param(self.spec, float(param))
+        return {"spec": own, "lo": np.asarray(group["lo"], float), "hi": np.asarray(group["hi"], float), "array": None, "converged": False}
+
+    def step(self, s, block):
+        if "z" not in block.memo:
+            block.memo["z"] = expansion(s["spec"], s["lo"], s["hi"], block.x)
+        if s["array"] is None:
+            return moments(block.memo["z"], block.y)
+        return newton_step(s["array"], block.memo["z"], block.y, block.w)
+
+    def solve(self, s, sums, rounds):
+        if s["array"] is None:
+            stats = summary(sums)
+            return s | {"array": np.concatenate([np.zeros((len(stats) - 2) // 2 + 1), stats])}, False
+        array, settled = penalised_solve(s["spec"])(s["array"], sums, rounds)
+        return s | {"array": array, "converged": settled}, settled or rounds > s["spec"].rounds
+
+
+def linear_table(s) -> list[tuple]:
+    """Intercept and coefficients on the features as they are."""
+    a = s["array"]
+    p = (len(a) - 3) // 3
+    beta, mean, sd = a[:p + 1], a[p + 3:2 * p + 3], a[2 * p + 3:]
+    slope = beta[1:] / sd
+    return [(float(beta[0] - slope @ mean), slope, s["lo"], s["hi"], bool(s["converged"]))]
+
+
+def fit_linear(train: DataFrame, spec: Linear, features: str = "features", params: DataFrame | None = None, grid: Sequence[float] = (),
+               with_param: Callable[[Linear, float], Linear] | None = None) -> DataFrame:
+    """One row per species (and parameter value): intercept, coefficients on the expanded features, ranges, and the log of the fit."""
+    described, method = pin(fitting.describe(train, 2, features)), LinearMethod(spec, with_param)
+    state = pin(fitting.begin(fitting.units(described, params, grid), described, method))
+    final = pin(fitting.fit(fitting.pack(train, features), state, method))
+    model = fitting.models(final, linear_table, "intercept double, coefficients array<double>, lo array<double>, hi array<double>, converged boolean")
+    log = fitting.fit_log(final, described)
+    both = log.alias("l").join(model.alias("m"), F.expr("l.species_id = m.species_id and l.param <=> m.param"), "left")
+    status = F.when(~F.col("converged"), "not converged").otherwise(F.col("status"))
+    return both.select("l.*", "intercept", "coefficients", "lo", "hi", "converged").withColumns(
+        {"status": status, "n_features": F.coalesce(F.size("coefficients"), F.lit(0)) if spec.expand else F.col("n_features")}).drop("converged")
+
+
+def linear_residuals(train: DataFrame, table: DataFrame, spec: Linear, features: str = "features") -> DataFrame:
+    """(species_id, balance, worst) of fitted models, worked out anew from the rows (species_id, label, weight, features).
+
+    ``balance`` is the weighted sum of probability less label; ``worst`` the largest miss of
+    an optimality condition over the standardised features. Only aggregates cross species.
+    """
+    schema = "species_id bigint, j int, k double, r double, f double, f2 double, rf double, beta double, intercept double"
 
-def balanced_samples(train: DataFrame, spec: Forest, features: str = "features") -> DataFrame:
-    """(species_id, tree, features, label): for each tree about as many rows of either class.
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in batch.itertuples(index=False):
+                z = expansion(spec, np.asarray(b.lo), np.asarray(b.hi), np.asarray(b.x, float).reshape(int(b.n), -1))
+                slope = np.asarray(b.coefficients, float)
+                r = np.asarray(b.w) * (1 / (1 + np.exp(-np.clip(b.intercept + z @ slope, -35, 35))) - np.asarray(b.y))
+                yield pd.DataFrame({"species_id": b.group_id, "j": np.arange(z.shape[1]), "k": float(len(z)), "r": r.sum(), "f": z.sum(0), "f2": (z * z).sum(0),
+                                    "rf": r @ z, "beta": slope, "intercept": b.intercept})
+
+    def worst(rows: pd.DataFrame) -> pd.DataFrame:
+        # one row per feature of a species
+        d = rows.sort_values("j")
+        mean = (d["f"] / d["k"]).to_numpy()
+        sd = np.sqrt(np.maximum((d["f2"] / d["k"]).to_numpy() - mean**2, 0))
+        sd = np.where(sd > 1e-12, sd, 1.0)
+        beta, g = d["beta"].to_numpy() * sd, (d["rf"].to_numpy() - mean * d["r"].to_numpy()) / sd
+        g = g + spec.l2 * beta
+        if spec.smooth:
+            g = g + spec.smooth * difference_penalty(len(beta), spec.n_splines) @ beta
+        miss = np.where(beta != 0, np.abs(g + spec.l1 * np.sign(beta)), np.maximum(np.abs(g) - spec.l1, 0))
+        return pd.DataFrame({"species_id": [d["species_id"].iloc[0]], "balance": [float(d["r"].iloc[0])], "worst": [float(miss.max())]})
 
-    The size is that of the smaller class, and background is capped when training rows are
-    drawn, so a sample stays small even for the commonest species.
-    """
-    n = train.groupBy("species_id").agg(F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_b"))
-    rate = F.try_divide(F.least("_p", "_b").cast("double"), F.when(F.col("label") == 1, F.col("_p")).otherwise(F.col("_b")))
-    spread = train.join(n, "species_id").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(spec.trees - 1))))
-    draw = F.conv(F.substring(digest(spec.seed, "tree", "species_id", "location_id"), 1, 8), 16, 10).cast("double") / float(16**8)
-    return spread.where(draw < rate).select("species_id", "tree", features, F.col("label").cast("int").alias("label"))
-
-
-def grow_tree(x: np.ndarray, y: np.ndarray, spec: Forest, rng: np.random.Generator) -> list[tuple[float, ...]]:
-    """Rows (feature, cut, left, right, value); feature -1 marks a leaf."""
-    nodes: list[tuple[float, ...]] = []
-
-    def grow(at: np.ndarray, depth: int) -> int:
-        me = len(nodes)
-        nodes.append((-1, 0.0, -1, -1, float(y[at].mean())))
-        if depth == spec.depth or len(at) < 2 * spec.min_leaf or y[at].min() == y[at].max():
-            return me
-        best = None
-        for f in rng.choice(x.shape[1], min(spec.max_features, x.shape[1]), replace=False):
-            order = at[np.argsort(x[at, f], kind="stable")]
-            v, c = x[order, f], np.cumsum(y[order])
-            k = np.arange(1, len(at))
-            ok = (v[1:] > v[:-1]) & (k >= spec.min_leaf) & (len(at) - k >= spec.min_leaf)
-            if not ok.any():
-                continue
-            a, b = c[:-1] / k, (c[-1] - c[:-1]) / (len(at) - k)
-            cost = np.where(ok, k * a * (1 - a) + (len(at) - k) * b * (1 - b), np.inf)
-            i = int(np.argmin(cost))
-            if best is None or cost[i] < best[0]:
-                best = (cost[i], int(f), (v[i] + v[i + 1]) / 2)
-        if best is None:
-            return me
-        _, f, cut = best
-        goes_left = x[at, f] <= cut
-        left = grow(at[goes_left], depth + 1)
-        right = grow(at[~goes_left], depth + 1)
-        nodes[me] = (f, cut, left, right, nodes[me][4])
-        return me
-
-    grow(np.arange(len(y)), 0)
-    return nodes
-
-
-def fit_forest(train: DataFrame, spec: Forest, features: str = "features") -> DataFrame:
-    """One row per (species_id, tree): nodes, an array of (feature, cut, left, right, value) rows, flattened, and depth."""
-
-    def fit(sample: pd.DataFrame) -> pd.DataFrame:
-        s, t = int(sample["species_id"].iloc[0]), int(sample["tree"].iloc[0])
-        rng = np.random.default_rng([spec.seed, s, t])
-        nodes = grow_tree(np.vstack(sample[features].to_list()), sample["label"].to_numpy(float), spec, rng)
-        depth = [0] * len(nodes)
-        for i, (f, _, left, right, _) in enumerate(nodes):
-            if f >= 0:
-                depth[left] = depth[right] = depth[i] + 1
-        flat = np.asarray(nodes, dtype=float).ravel().tolist()
-        return pd.DataFrame({"species_id": [s], "tree": [t], "nodes": [flat], "depth": [max(depth)]})
-
-    ship(train.sparkSession)
-    return balanced_samples(train, spec, features).groupBy("species_id", "tree").applyInPandas(
-        fit, "species_id bigint, tree int, nodes array<double>, depth int")
-
-
-def score_forest(model: DataFrame, rows: DataFrame, features: str = "features") -> DataFrame:
-    """Mean leaf value over the trees; a tree is followed by column expressions, so scoring needs no Python."""
-    # at most a few dozen trees per species
-    trees = model.groupBy("species_id").agg(F.collect_list(F.struct("nodes", "depth")).alias("_trees"))
-    x = F.col(features)
-
-    def follow(tree: Column) -> Column:
-        nodes = tree["nodes"]
-        steps = F.sequence(F.lit(0), tree["depth"])  # one more than there are levels
-
-        def move(at: Column, _: Column) -> Column:
-            f = F.get(nodes, at).cast("int")
-            down = F.when(F.get(x, f) <= F.get(nodes, at + 1), F.get(nodes, at + 2)).otherwise(F.get(nodes, at + 3))
-            return F.when(f < 0, at).otherwise((down * 5).cast("int"))
-
-        return F.get(nodes, F.aggregate(steps, F.lit(0), move) + 4)
-
-    votes = F.transform("_trees", follow)
-    mean = F.aggregate(votes, F.lit(0.0), lambda a, v: a + v) / F.size("_trees")
-    keep = [c for c in rows.columns if c != features]
-    return rows.join(trees, "species_id").select(*keep, mean.alias("probability"))
+    blocks = fitting.pack(train, features)
+    met = blocks.join(table.where(FITTED).select(F.col("species_id").alias("group_id"), "intercept", "coefficients", "lo", "hi"), "group_id")
+    sums = ("k", "r", "f", "f2", "rf")
+    summed = met.mapInPandas(each, schema).groupBy("species_id", "j", "beta", "intercept").agg(*[F.sum(c).alias(c) for c in sums])
+    return summed.groupBy("species_id").applyInPandas(worst, "species_id bigint, balance double, worst double")
 
 
 # ---- choosing, scoring, evaluating ----
@@ -569,51 +265,62 @@ def frozen_parameters(species: DataFrame, selected: DataFrame, default: float, i
 
 @dataclass(frozen=True)
 class Model:
-    """A named model: feature expansion, fit, and score of (species, row) pairs."""
+    """A named model: ``fit(train, params, grid)`` gives (log, table), ``score(table, rows, by)`` rates (species, row) pairs.
+
+    Both read the column ``predictors``. ``param`` names what a parameter value sets,
+    ``default`` is its value where none is chosen, ``whole`` says whether it is a whole number.
+    """
 
-    expand: Callable[[Column], Column]
-    fit: Callable[[DataFrame], DataFrame]
-    score: Callable[[DataFrame, DataFrame], DataFrame]
-    info: tuple[str, ...] = field(default=("n_samples", "n_presences", "n_features", "status"))
+    fit: Callable[..., tuple[DataFrame, DataFrame]]
+    score: Callable[..., DataFrame]
+    param: str
+    default: float
+    whole: bool = False
 
 
-def _maxent(codes: str, p: int) -> Model:
-    n = tuple(p * (c in codes) for c in "lq") + (1 if "p" in codes else 0,)
-    spec = Linear(l1=1.0, maxent_classes=n)
+def _linear(spec: Linear, param: str, default: float, with_param: Callable[[Linear, float], Linear]) -> Model:
+    def fit(train: DataFrame, params: DataFrame | None = None, grid: Sequence[float] = ()) -> tuple[DataFrame, DataFrame]:
+        table = pin(fit_linear(train, spec, "predictors", params, grid, with_param))
+        return table.drop("intercept", "coefficients", "lo", "hi"), table.where(FITTED)
 
-    def fit(train: DataFrame) -> DataFrame:
-        # presences also stand among the background rows, which weigh 100 each
-        both = train.where("label = 1").withColumn("weight", F.lit(1.0)).unionByName(
-            train.withColumns({"label": F.lit(0), "weight": F.lit(100.0)}))
-        return maxent_scale(fit_linear(both, spec), both)
+    def predict(fields: dict, x: np.ndarray) -> np.ndarray:
+        array = lambda c: fields[c].values.to_numpy(zero_copy_only=False)
+        eta = fields["intercept"].as_py() + expansion(spec, array("lo"), array("hi"), x) @ array("coefficients")
+        return 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
 
-    return Model(lambda x: X.maxent_features(x, codes), fit, lambda m, r: score_linear(m, r, link="cloglog"))
+    return Model(fit, lambda m, r, by=(): fitting.score(m.drop("status"), r, predict, by=by), param, default)
 
 
-def _linear(spec: Linear, expand=lambda x: x) -> Model:
-    return Model(expand, lambda t: fit_linear(t, spec), score_linear)
+def _maxent(spec: maxent.Maxent) -> Model:
+    return Model(lambda t, params=None, grid=(): maxent.fit_maxent(t, spec, params=params, grid=grid),
+                 lambda m, r, by=(): fitting.score(m, r, maxent.predict, by=by), "strength", 1.0)
 
 
-def _boosted(spec: Boosted) -> Model:
-    return Model(lambda x: x, lambda t: fit_boosted(t, spec), lambda m, r: score_boosted(m, r, spec))
+def _boosted(spec: trees.Boosted, param: str = "leaves") -> Model:
+    return Model(lambda t, params=None, grid=(): trees.fit_boosted(t, spec, params=params, grid=grid),
+                 lambda m, r, by=(): trees.score_boosted(m, r, by=by), param, max(spec.leaves - 1, 1), True)
 
 
-def get_model(name: str, n_predictors: int, **options) -> Model:
+def _forest(spec: trees.Forest) -> Model:
+    return Model(lambda t, params=None, grid=(): trees.fit_forest(t, spec, params=params, grid=grid),
+                 lambda m, r, by=(): trees.score_forest(m, r, by=by), "max_features", spec.max_features, True)
+
+
+def get_model(name: str, **options) -> Model:
     """The model registry; ``options`` override its defaults."""
+    strength = options.get("C", 1.0)
     registry: dict[str, Callable[[], Model]] = {
-        "logistic": lambda: _linear(Linear(l2=1.0 / options.get("C", 1.0))),
-        "linear": lambda: _linear(Linear(l2=1.0 / options.get("C", 1.0))),
-        "glm": lambda: _linear(Linear(l1=1.0 / options.get("C", 1.0)), X.linear_plus_squares),
+        "logistic": lambda: _linear(Linear(l2=1.0 / strength), "C", strength, lambda s, v: replace(s, l2=1.0 / v)),
+        "glm": lambda: _linear(Linear(l1=1.0 / strength, expand="squares"), "C", strength, lambda s, v: replace(s, l1=1.0 / v)),
         "gam": lambda: _linear(
-            Linear(smooth=options.get("lam", 0.6), l2=1e-3, n_splines=options.get("n_splines", 10)),
-            lambda x: X.spline_basis(x, options.get("n_splines", 10))),
-        "maxent": lambda: _maxent(options.get("classes", "lq"), n_predictors),
-        "brt": lambda: _boosted(Boosted(depth=max(1, round(np.log2(options.get("tc", 3) + 1))), **_known(Boosted, options))),
-        "gradientboosting": lambda: _boosted(Boosted(**_known(Boosted, options))),
-        "lightgbm": lambda: _boosted(Boosted(**_known(Boosted, options))),
-        "xgboost": lambda: _boosted(Boosted(**_known(Boosted, options))),
-        "randomforest": lambda: Model(
-            lambda x: x, lambda t: fit_forest(t, Forest(**_known(Forest, options))), score_forest, ()),
+            Linear(smooth=options.get("lam", 0.6), l2=1e-3, n_splines=options.get("n_splines", 10), expand="splines"),
+            "lam", options.get("lam", 0.6), lambda s, v: replace(s, smooth=v)),
+        "maxent": lambda: _maxent(maxent.Maxent(**_known(maxent.Maxent, options))),
+        "brt": lambda: _boosted(trees.Boosted(**{"leaves": options.get("tc", 3) + 1, "patience": 20, **_known(trees.Boosted, options)}), "tc"),
+        "gradientboosting": lambda: _boosted(trees.Boosted(**_known(trees.Boosted, options))),
+        "lightgbm": lambda: _boosted(trees.Boosted(**{"leaves": 31, "subsample": 1.0, **_known(trees.Boosted, options)})),
+        "xgboost": lambda: _boosted(trees.Boosted(**{"depth": 6, "subsample": 1.0, **_known(trees.Boosted, options)})),
+        "randomforest": lambda: _forest(trees.Forest(**_known(trees.Forest, options))),
     }
     if name not in registry:
         raise ValueError(f"unknown model {name!r}; available: {sorted(registry)}")
@@ -625,20 +332,41 @@ def _known(cls, options: dict) -> dict:
 
 
 def fit_predict_many(
-    train: DataFrame, evaluation: DataFrame, model_name: str, predictors: str = "predictors", n_predictors: int = 0, **options
+    train: DataFrame, evaluation: DataFrame, model_name: str, predictors: str = "predictors", params: DataFrame | None = None, **options
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit every species, score its evaluation rows, and rate each split.
 
     ``train``: species_id, location_id, label, predictors. ``evaluation``: species_id,
-    location_id, split, label (null = ignored), predictors. Returns (model table,
-    predictions, metrics by split and species). A species that cannot be fitted keeps a
-    row with its status and gets no predictions.
+    location_id, split, label (null = ignored), predictors. ``params`` (species_id, param)
+    gives species a parameter value of their own. Returns (log of the fits, predictions,
+    metrics by split and species). A species that cannot be fitted keeps a row in the log
+    with its status and gets no predictions.
     """
-    model = get_model(model_name, n_predictors, **options)
-    weighted = presence_background_weights(train, model_name)
-    ready = weighted.withColumn("features", model.expand(F.col(predictors))).drop(predictors)
-    fitted = pin(model.fit(ready))
-    rows = evaluation.withColumn("features", model.expand(F.col(predictors))).drop(predictors)
-    predictions = model.score(fitted, rows)
+    model = get_model(model_name, **options)
+    weighted = presence_background_weights(train.withColumnRenamed(predictors, "predictors"), model_name)
+    log, table = model.fit(weighted, params)
+    predictions = model.score(pin(table), evaluation.withColumnRenamed(predictors, "predictors"))
     metrics = compute_metrics(predictions, ("auroc", "auprg"), keys=("split", "species_id"))
-    return fitted, predictions, metrics
+    return log, predictions, metrics
+
+
+def tuned_fit(
+    train: DataFrame, evaluation: DataFrame, model_name: str, grid: Sequence[float], metric: str = "auroc", split: str = "val", **options
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Choose a parameter value per species and fit again with it: (log, selected, predictions).
+
+    All values of ``grid`` are fitted in one pass over the rows of a species and rated on
+    the rows of ``split``. The value with the best score is chosen (the first of equals); a
+    species without a defined score gets the model's default. ``log`` is that of the last
+    fit, with the value used; ``selected`` has species_id, param and score.
+    """
+    model = get_model(model_name, **options)
+    weighted = pin(presence_background_weights(train, model_name))
+    _, tables = model.fit(weighted, None, grid)
+    rated = model.score(pin(tables), evaluation.where(F.col("split") == split), ("param",))
+    scores = compute_metrics(rated, (metric,), keys=("param", "species_id"))
+    selected = pin(select_hyperparameter(scores.select("species_id", "param", F.col(metric).alias("value")), grid))
+    species = weighted.select("species_id").distinct()
+    frozen = pin(frozen_parameters(species, selected, model.default, model.whole))
+    log, table = model.fit(weighted, frozen)
+    return log, selected, model.score(pin(table), evaluation)

@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from florapark.functions import features as X
-from florapark.operators import experiments as E, grid as G, mapping as MP, models as L, sampling as S, spatial as SP, weights as W
+from florapark.operators import experiments as E, layer, maxent, models as L, trees, weights as W
 from florapark.plans.inputs import Inputs
 from florapark.plans.places import MAP, NEAREST, bounds, nearest
 from florapark.plans.registry import query
 from florapark.plans.runs import GRID, PARAM_RUNS, PICKED, param_runs
 from florapark.plans.training import BACKGROUND, training_rows
 
-N_PREDICTORS = 4
 
 
 def predictors(t: Inputs) -> DataFrame:
@@ -41,7 +40,7 @@ def register_fit(name: str, model: str, **options):
     @query(name)
     def _(t: Inputs) -> DataFrame:
         train, rows = train_and_evaluation(t, model)
-        _, _, metrics = L.fit_predict_many(train, rows, model, n_predictors=N_PREDICTORS, **options)
+        _, _, metrics = L.fit_predict_many(train, rows, model, **options)
         return metrics.withColumns({m: F.round(m, 4) for m in ("auroc", "auprg")})
 
 
@@ -50,7 +49,8 @@ register_fit("l3_glm", "glm", C=1.0)
 register_fit("l4_random_forest", "randomforest")
 register_fit("l5_boosted_trees", "gradientboosting")
 register_fit("l6_gam", "gam", lam=0.6)
-register_fit("l7_maxent", "maxent", classes="lq")
+register_fit("l5_brt", "brt")
+register_fit("l7_maxent", "maxent")
 
 
 @query("l1_fit_log", f"""WITH drawn AS (SELECT species_id, location_id FROM fx_presence), {BACKGROUND.format(limit='np')}
@@ -59,23 +59,138 @@ SELECT species_id, count(*) AS n_samples, CAST(sum(label) AS BIGINT) AS n_presen
 def _(t):
     """What was fitted: sample sizes, and that every fit converged."""
     train, rows = train_and_evaluation(t, "logistic")
-    fitted, _, _ = L.fit_predict_many(train, rows, "logistic", n_predictors=N_PREDICTORS)
+    fitted, _, _ = L.fit_predict_many(train, rows, "logistic")
     return fitted.select("species_id", "n_samples", "n_presences", "n_features", "status")
 
 
+def layer_rows(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    """(locations with predictors, species seen there): vectors stand for locations, their labels for species."""
+    x = t.fx_feature.select("location_id", F.transform("predictors", lambda v: v.cast("double")).alias("predictors"))
+    return x, t.fx_feature.select("species_id", "location_id")
+
+
 @query("l8_linear_multi_species")
 def _(t):
-    """One layer over shared expanded features, all species in one fit; background from the other rows."""
-    x = t.fx_feature.select("location_id", F.transform("predictors", lambda v: v.cast("double")).alias("predictors"))
-    presence = t.fx_feature.select("species_id", "location_id")
-    everywhere = t.fx_feature.select("location_id", F.lit(0).alias("area_code"))
-    ranges = presence.select("species_id").distinct().withColumn("area_code", F.lit(0))
-    train = S.presence_background(presence, everywhere, ranges, "glm", seed=3).join(x, "location_id")
-    rows = train.withColumn("split", F.lit("train"))
-    _, _, metrics = L.fit_predict_many(train, rows, "linear", n_predictors=64)
+    """One layer over all expanded features, every location stored once; rated on all (species, location) pairs of a block of species."""
+    x, seen = layer_rows(t)
+    _, model = layer.fit_layer(x, seen)
+    named = model.select("species_id")
+    # a stated query set: every species against every location it is or is not seen at
+    rows = x.join(seen.withColumnRenamed("species_id", "own"), "location_id").withColumn("species_id", F.explode(named.agg(F.collect_set("species_id")).scalar()))
+    rated = layer.score_layer(model, rows.select("species_id", "location_id", "predictors", (F.col("own") == F.col("species_id")).cast("int").alias("label")))
+    metrics = L.compute_metrics(rated, ("auroc", "auprg"))
     return metrics.withColumns({m: F.round(m, 4) for m in ("auroc", "auprg")})
 
 
+# ---- what must hold of a fit, worked out anew from its rows ----
+
+COUNTS = """SELECT species_id, count(*) AS n_samples, CAST(sum(label) AS BIGINT) AS n_presences FROM pb GROUP BY 1"""
+DRAWN = "WITH drawn AS (SELECT species_id, location_id FROM fx_presence), {background}"
+VIEWS = "fx_presence fx_location fx_species_area"
+
+
+def register_optimality(name: str, model: str, spec: L.Linear):
+    @query(name, f"{DRAWN.format(background=BACKGROUND.format(limit='10000' if model in ('glm', 'gam') else 'np'))} SELECT *, 'ok' AS status, true AS optimal, true AS balanced, true AS timed FROM ({COUNTS})", VIEWS)
+    def _(t: Inputs) -> DataFrame:
+        train = W.presence_background_weights(training_rows(t, model, None).join(predictors(t), "location_id"), model)
+        table = L.fit_linear(train, spec, "predictors")
+        held = L.linear_residuals(train, table, spec, "predictors")
+        return table.join(held, "species_id").select(
+            "species_id", "n_samples", "n_presences", "status", (F.col("worst") < 1e-3).alias("optimal"),
+            (F.abs("balance") < 1e-3).alias("balanced"), (F.col("seconds") > 0).alias("timed"))
+
+
+register_optimality("l2_logistic_optimality", "logistic", L.Linear(l2=1.0))
+register_optimality("l3_glm_optimality", "glm", L.Linear(l1=1.0, expand="squares"))
+register_optimality("l6_gam_optimality", "gam", L.Linear(smooth=0.6, l2=1e-3, n_splines=10, expand="splines"))
+
+
+# predictors of few values, so that every value is an edge and the best split can be told in SQL
+COARSE = "cx AS (SELECT o_orderkey AS location_id, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS x1, CAST(o_orderkey % 7 AS DOUBLE) AS x2, CAST(o_orderkey % 11 AS DOUBLE) AS x3 FROM orders)"
+SPLITS = """r AS (SELECT species_id, CAST(label AS DOUBLE) AS y, x1, x2, x3 FROM pb JOIN cx ON pb.location_id = cx.location_id),
+v AS (SELECT species_id, y, 1 AS j, x1 AS x FROM r UNION ALL SELECT species_id, y, 2, x2 FROM r UNION ALL SELECT species_id, y, 3, x3 FROM r),
+c AS (SELECT species_id, j, x, count(*) AS n, sum(y) AS k FROM v GROUP BY ALL),
+s AS (SELECT species_id, j, x, sum(n) OVER w AS nl, sum(k) OVER w AS kl, sum(n) OVER (PARTITION BY species_id, j) AS n, sum(k) OVER (PARTITION BY species_id, j) AS k FROM c WINDOW w AS (PARTITION BY species_id, j ORDER BY x))"""
+
+
+def coarse_rows(t: Inputs, model: str) -> DataFrame:
+    x = t.orders.select(F.col("o_orderkey").alias("location_id"), F.array(
+        F.substring("o_orderpriority", 1, 1).cast("double"), (F.col("o_orderkey") % 7).cast("double"), (F.col("o_orderkey") % 11).cast("double")).alias("predictors"))
+    return training_rows(t, model, None).join(x, "location_id")
+
+
+def split_sides(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """Rows and presences left of, and over, the root split (species_id, feature, cut) of each species."""
+    left = F.get("predictors", F.col("feature").cast("int")) <= F.col("cut")
+    return rows.join(root, "species_id").groupBy("species_id").agg(
+        F.count("*").alias("n"), F.sum("label").alias("k"), F.count_if(left).alias("nl"), F.sum(F.when(left, F.col("label")).otherwise(0)).alias("kl"))
+
+
+@query("l4_first_split", f"""{DRAWN.format(background=BACKGROUND.format(limit='10000'))}, {COARSE}, {SPLITS}
+SELECT species_id, max(n) AS n_samples, CAST(max(k) AS BIGINT) AS n_presences, 'ok' AS status, round(max((kl * kl + (nl - kl) * (nl - kl)) / nl + ((k - kl) * (k - kl) + (n - nl - k + kl) * (n - nl - k + kl)) / (n - nl)), 5) AS purity
+FROM s WHERE nl < n GROUP BY 1""", VIEWS)
+def _(t):
+    """Purity of the split that a tree over all rows and predictors begins with: the best there is."""
+    rows = coarse_rows(t, "randomforest")
+    log, grown = trees.fit_forest(rows, trees.Forest(trees=1, max_features=3, depth=1, min_leaf=1, bootstrap=False))
+    sides = split_sides(rows, grown.select("species_id", F.get("nodes", 0).alias("feature"), F.get("nodes", 1).alias("cut")))
+    n, k, nl, kl = (F.col(c).cast("double") for c in ("n", "k", "nl", "kl"))
+    purity = (kl * kl + (nl - kl) * (nl - kl)) / nl + ((k - kl) * (k - kl) + (n - nl - k + kl) * (n - nl - k + kl)) / (n - nl)
+    return sides.select("species_id", F.round(purity, 5).alias("purity")).join(log, "species_id").select("species_id", "n_samples", "n_presences", "status", "purity")
+
+
+@query("l5_first_split", f"""{DRAWN.format(background=BACKGROUND.format(limit='np'))}, {COARSE}, {SPLITS},
+m AS (SELECT *, (k + 0.5E0) / (n + 1) AS mu FROM s), g AS (SELECT *, kl - nl * mu AS gl, k - n * mu AS g0, mu * (1 - mu) AS u FROM m)
+SELECT species_id, max(n) AS n_samples, CAST(max(k) AS BIGINT) AS n_presences, 'ok' AS status, round(max(gl * gl / (nl * u + 1) + (g0 - gl) * (g0 - gl) / ((n - nl) * u + 1)), 5) AS gain
+FROM g WHERE nl < n GROUP BY 1""", VIEWS)
+def _(t):
+    """Gain of the split that boosting begins with: the best there is."""
+    rows = coarse_rows(t, "gradientboosting")
+    log, model = trees.fit_boosted(rows.withColumn("weight", F.lit(1.0)), trees.Boosted(trees=1, leaves=2, subsample=1.0))
+    sides = split_sides(rows, model.select("species_id", F.get("nodes", 1).alias("feature"), F.get("nodes", 2).alias("cut")))
+    n, k, nl, kl = (F.col(c).cast("double") for c in ("n", "k", "nl", "kl"))
+    mu = (k + 0.5) / (n + 1)
+    gl, g0, u = kl - nl * mu, k - n * mu, mu * (1 - mu)
+    gain = gl * gl / (nl * u + 1) + (g0 - gl) * (g0 - gl) / ((n - nl) * u + 1)
+    return sides.select("species_id", F.round(gain, 5).alias("gain")).join(log, "species_id").select("species_id", "n_samples", "n_presences", "status", "gain")
+
+
+@query("l7_maxent_optimality", f"""{DRAWN.format(background=BACKGROUND.format(limit='10000'))}
+SELECT *, CASE WHEN n_presences < 10 THEN 'l' WHEN n_presences < 15 THEN 'lq' WHEN n_presences < 100 THEN 'lqp' ELSE 'lqpht' END AS classes, 'ok' AS status, true AS optimal, true AS balanced, true AS timed FROM ({COUNTS})""", VIEWS)
+def _(t):
+    """Conditions of optimality over every feature of every species, from feature columns."""
+    train = training_rows(t, "maxent", None).join(predictors(t), "location_id")
+    log, model = maxent.fit_maxent(train)
+    held = maxent.optimality(train, model).select("species_id", "balance", "worst")
+    return log.join(held, "species_id").select(
+        "species_id", "n_samples", "n_presences", "classes", "status", (F.col("worst") < 2e-3).alias("optimal"),
+        (F.abs("balance") < 2e-3 * F.col("n_presences")).alias("balanced"), (F.col("seconds") > 0).alias("timed"))
+
+
+@query("l8_layer_balance", """SELECT species_id, (SELECT count(DISTINCT location_id) FROM fx_feature) AS n_samples, count(DISTINCT location_id) AS n_presences, 6529 AS n_features, 'ok' AS status,
+ CAST(count(DISTINCT location_id) AS DOUBLE) AS expected FROM fx_feature GROUP BY 1""", "fx_feature")
+def _(t):
+    """The intercept is free, so a species' probabilities add up to its presences."""
+    x, seen = layer_rows(t)
+    log, model = layer.fit_layer(x, seen)
+    rows = x.withColumn("species_id", F.explode(model.agg(F.collect_set("species_id")).scalar()))
+    total = layer.score_layer(model, rows).groupBy("species_id").agg(F.round(F.sum("probability"), 1).alias("expected"))
+    return log.join(total, "species_id").select("species_id", "n_samples", "n_presences", "n_features", "status", "expected")
+
+
+TUNED = (0.1, 1.0, 10.0)
+
+
+@query("l10_tuned_fit", f"{DRAWN.format(background=BACKGROUND.format(limit='10000'))} SELECT *, 'ok' AS status, true AS as_selected, true AS from_grid, true AS timed FROM ({COUNTS})", VIEWS)
+def _(t):
+    """A penalty per species, chosen on the validation rows, and the fit that uses it."""
+    train, rows = train_and_evaluation(t, "glm")
+    log, selected, _ = L.tuned_fit(train, rows, "glm", TUNED)
+    chosen = log.join(selected.select("species_id", F.col("param").alias("picked")), "species_id", "left")
+    return chosen.select("species_id", "n_samples", "n_presences", "status", (F.col("param") == F.coalesce("picked", F.lit(1.0))).alias("as_selected"),
+                         F.col("param").isin(*TUNED).alias("from_grid"), (F.col("seconds") > 0).alias("timed"))
+
+
 # a coefficient table made from the data, so that scoring can be checked exactly
 COEF = """coef AS (SELECT label AS species_id, CAST(sum(embedding[1]) AS DOUBLE) / 10 AS b0, avg(CAST(embedding[2] AS DOUBLE)) AS b1, avg(CAST(embedding[3] AS DOUBLE)) AS b2, avg(CAST(embedding[4] AS DOUBLE)) AS b3, avg(CAST(embedding[5] AS DOUBLE)) AS b4 FROM embeddings GROUP BY 1)"""
 PRED_X = """px AS (SELECT o_orderkey AS location_id, (o_totalprice - 250000) / 145000.0E0 AS x1, (CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) - 3) / 1.4E0 AS x2, (o_orderkey % 120 - 60) / 35.0E0 AS x3, (o_orderkey % 97 - 48) / 28.0E0 AS x4 FROM orders)"""

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from florapark.operators import models as L
+from florapark.operators import fitting, layer, maxent, models as L, trees
 from florapark.operators.metrics import compute_metrics
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ def newton(x, y, l2):
 
 
 def test_logistic_equals_a_direct_solution(spark, data, monkeypatch):
-    monkeypatch.setattr(L, "BLOCK_ROWS", 64)  # many blocks per species
+    monkeypatch.setattr(fitting, "BLOCK_ROWS", 64)  # many blocks per species
     got = {r["species_id"]: r for r in L.fit_linear(data, L.Linear(l2=1.0)).collect()}
     for s in (1, 2):
         rows = data.where(F.col("species_id") == s).toPandas()
@@ -61,23 +61,23 @@ def auroc(table, species):
 def test_models_learn_the_bump(spark, data, name, options):
     train = data.withColumnRenamed("features", "predictors").drop("weight")
     rows = train.withColumn("split", F.lit("train"))
-    fitted, predictions, metrics = L.fit_predict_many(train, rows, name, n_predictors=3, **options)
+    fitted, predictions, metrics = L.fit_predict_many(train, rows, name, **options)
     assert auroc(predictions, 2) > 0.9
     assert metrics.where("species_id = 3 AND auroc IS NOT NULL").count() == 0
-    if "status" in fitted.columns:
-        assert {r["species_id"]: r["status"] for r in fitted.collect()}[3] == "no presences"
+    log = {r["species_id"]: r for r in fitted.collect()}
+    assert log[3]["status"] == "no presences" and log[3]["seconds"] == 0 and log[2]["seconds"] > 0 and log[2]["n_samples"] == 600
 
 
 def test_forest_scoring_follows_the_trees(spark, data):
-    spec = L.Forest(trees=3, max_features=3, depth=4)
-    model = L.fit_forest(data, spec).cache()
-    scored = {(r["species_id"], r["location_id"]): r["probability"] for r in L.score_forest(model, data).collect()}
-    trees = {}
+    _, model = trees.fit_forest(data, trees.Forest(trees=3, max_features=3, depth=4), "features")
+    model = model.cache()
+    scored = {(r["species_id"], r["location_id"]): r["probability"] for r in trees.score_forest(model, data, "features").collect()}
+    grown = {}
     for r in model.collect():
-        trees.setdefault(r["species_id"], []).append(np.asarray(r["nodes"]).reshape(-1, 5))
+        grown.setdefault(r["species_id"], []).append(np.asarray(r["nodes"]).reshape(-1, 5))
     for r in data.where("location_id < 20 AND species_id < 3").collect():
         votes = []
-        for t in trees[r["species_id"]]:
+        for t in grown[r["species_id"]]:
             at = 0
             while t[at][0] >= 0:
                 at = int(t[at][2] if r["features"][int(t[at][0])] <= t[at][1] else t[at][3])
@@ -95,9 +95,10 @@ def test_fits_that_ran_out_of_rounds_are_scored(spark, data):
 def test_deep_trees_are_followed_to_their_leaves(spark):
     rows = [(1, i, i % 2, 1.0, [float(i)]) for i in range(120)]
     data = spark.createDataFrame(rows, "species_id bigint, location_id bigint, label int, weight double, features array<double>")
-    model = L.fit_forest(data, L.Forest(trees=1, max_features=1, depth=200, min_leaf=1)).cache()
-    assert model.first()["depth"] > 32
-    scored = L.score_forest(model, data)
+    # all rows in the tree, an edge between any two values
+    _, model = trees.fit_forest(data, trees.Forest(trees=1, max_features=1, depth=200, min_leaf=1, bins=240, bootstrap=False), "features")
+    assert model.first()["depth"] > 5
+    scored = trees.score_forest(model, data, "features")
     assert scored.where((F.col("probability") - F.col("label")) != 0).count() == 0
 
 
@@ -110,12 +111,12 @@ def test_workers_need_not_start_in_the_package_folder(tmp_path):
     (tmp_path / "job.py").write_text(f"""
 import sys
 sys.path.insert(0, {root!r})
-from florapark.operators import models as L
+from florapark.operators import models as L, trees
 from florapark.session import local_session
 spark = local_session(2)
 rows = [(1, i, i % 2, 1.0, [float(i % 7)]) for i in range(60)]
 data = spark.createDataFrame(rows, "species_id bigint, location_id bigint, label int, weight double, features array<double>")
-print("FITTED", L.fit_linear(data, L.Linear(l2=1.0)).count(), L.fit_forest(data, L.Forest(trees=2)).count())
+print("FITTED", L.fit_linear(data, L.Linear(l2=1.0)).count(), trees.fit_forest(data, trees.Forest(trees=2), "features")[1].count())
 """)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "job.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
@@ -127,9 +128,8 @@ def test_boosted_cuts_follow_a_skewed_predictor(spark):
     x = np.r_[rng.random(396), [1e6] * 4]
     rows = [(1, i, int(v > 0.5), 1.0, [float(v), float(-v)]) for i, v in enumerate(x)]
     data = spark.createDataFrame(rows, "species_id bigint, location_id bigint, label int, weight double, features array<double>")
-    spec = L.Boosted(trees=3)
-    model = L.fit_boosted(data, spec)
-    assert auroc(L.score_boosted(model, data, spec), 1) > 0.95 and model.first()["n_features"] == 2
+    log, model = trees.fit_boosted(data, trees.Boosted(trees=3), "features")
+    assert auroc(trees.score_boosted(model, data, "features"), 1) > 0.95 and log.first()["n_features"] == 2
 
 
 def test_queries_fit_at_the_operators_parameters(monkeypatch):
@@ -137,15 +137,246 @@ def test_queries_fit_at_the_operators_parameters(monkeypatch):
 
     seen = []
     monkeypatch.setattr(modelling, "train_and_evaluation", lambda t, model: (None, None))
-    monkeypatch.setattr(modelling.L, "fit_predict_many", lambda *a, n_predictors, **options: seen.append((a[2], options)) or (_ for _ in ()).throw(KeyError))
+    monkeypatch.setattr(modelling.L, "fit_predict_many", lambda *a, **options: seen.append((a[2], options)) or (_ for _ in ()).throw(KeyError))
     monkeypatch.setattr(modelling, "query", lambda name: lambda f: pytest.raises(KeyError, f, None))
     source = open(modelling.__file__).read()
     for line in source.split("\n"):
         if line.startswith(('register_fit("l4', 'register_fit("l5')):
             eval(line, vars(modelling))
-    assert seen == [("randomforest", {}), ("gradientboosting", {})]
+    assert seen == [("randomforest", {}), ("gradientboosting", {}), ("brt", {})]
 
 
 def test_unknown_model(spark):
     with pytest.raises(ValueError, match="maxent"):
-        L.get_model("perceptron", 3)
+        L.get_model("perceptron")
+
+
+# ---- the same fit in one task and by rounds over the cluster ----
+
+
+@pytest.fixture
+def spread(monkeypatch):
+    def use():
+        monkeypatch.setattr(fitting, "LOCAL_ROWS", 0)
+        monkeypatch.setattr(fitting, "BLOCK_ROWS", 128)
+    return use
+
+
+def table(df, *keys):
+    return {tuple(r[k] for k in keys): r for r in df.collect()}
+
+
+def close(a, b):
+    return np.allclose(np.asarray(a, float), np.asarray(b, float), atol=1e-6)
+
+
+def test_large_species_go_by_rounds_linear(spark, data, spread):
+    spec = L.Linear(l1=3.0, expand="squares")
+    here = table(L.fit_linear(data, spec), "species_id")
+    spread()
+    there = table(L.fit_linear(data, spec), "species_id")
+    assert here.keys() == there.keys() and {r["status"] for r in there.values()} == {"ok", "no presences"}
+    for k, r in here.items():
+        if r["coefficients"] is not None:
+            assert close(r["coefficients"], there[k]["coefficients"]) and r["rounds"] == there[k]["rounds"] and there[k]["seconds"] > 0
+
+
+def test_large_species_go_by_rounds_forest(spark, data, spread):
+    spec = trees.Forest(trees=5, part_trees=2, max_features=2, depth=5)
+    here = table(trees.fit_forest(data, spec, "features")[1], "species_id", "tree")
+    spread()
+    there = table(trees.fit_forest(data, spec, "features")[1], "species_id", "tree")
+    assert here.keys() == there.keys() and len(here) == 10
+    assert all(close(r["nodes"], there[k]["nodes"]) for k, r in here.items())
+
+
+@pytest.mark.parametrize("options", [{"depth": 2}, {"leaves": 4}])
+def test_large_species_go_by_rounds_boosted(spark, data, spread, options):
+    spec = trees.Boosted(trees=3, patience=5, **options)
+    here = table(trees.fit_boosted(data, spec, "features")[1], "species_id")
+    spread()
+    there = table(trees.fit_boosted(data, spec, "features")[1], "species_id")
+    assert here.keys() == there.keys() == {(1,), (2,)}
+    assert all(close(r["nodes"], there[k]["nodes"]) and r["n_trees"] == there[k]["n_trees"] for k, r in here.items())
+
+
+def test_large_species_go_by_rounds_maxent(spark, data, spread):
+    spread()
+    rows = data.where("species_id <> 2").withColumn("predictors", F.slice("features", 1, 2))
+    log, model = maxent.fit_maxent(rows, maxent.Maxent(classes="lqt", tolerance=1e-2))
+    worst = {r["species_id"]: r["worst"] for r in maxent.optimality(rows, model).collect()}
+    assert set(worst) == {1} and worst[1] < 2e-2 and {r["status"] for r in log.collect()} == {"ok", "no presences"}
+
+
+# ---- trees ----
+
+
+def brute_split(x, y, min_leaf=1):
+    """Purity of the best split at any value."""
+    best = -np.inf
+    for j in range(x.shape[1]):
+        for cut in np.unique(x[:, j])[:-1]:
+            a, b = y[x[:, j] <= cut], y[x[:, j] > cut]
+            if min(len(a), len(b)) >= min_leaf:
+                best = max(best, sum((s.sum() ** 2 + (len(s) - s.sum()) ** 2) / len(s) for s in (a, b)))
+    return best
+
+
+def test_every_split_of_a_tree_is_the_best_one(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    y = (rng.random(300) < 0.2 + 0.05 * x[:, 0] * (x[:, 1] > 5)).astype(int)
+    rows = [(1, i, int(b), 1.0, [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y))]
+    data = spark.createDataFrame(rows, "species_id bigint, location_id bigint, label int, weight double, features array<double>")
+    _, model = trees.fit_forest(data, trees.Forest(trees=1, max_features=3, depth=3, min_leaf=5, bins=64, bootstrap=False), "features")
+    nodes = np.asarray(model.first()["nodes"]).reshape(-1, 5)
+
+    def check(at, rows):
+        f, cut, left, right, value = nodes[at]
+        assert abs(value - y[rows].mean()) < 1e-12
+        if f >= 0:
+            goes = x[rows, int(f)] <= cut
+            sides = [y[rows[goes]], y[rows[~goes]]]
+            assert abs(sum((s.sum() ** 2 + (len(s) - s.sum()) ** 2) / len(s) for s in sides) - brute_split(x[rows], y[rows], 5)) < 1e-9
+            check(int(left), rows[goes]), check(int(right), rows[~goes])
+
+    check(0, np.arange(300))
+    assert len(nodes) > 7
+
+
+def test_bootstrap_is_balanced_and_of_its_own_per_tree():
+    n = 4000
+    y = np.r_[np.ones(200), np.zeros(n - 200)]
+    method = trees.ForestMethod(trees.Forest(trees=30))
+    s = method.begin({"p": 2, "part": 0, "param": None, "n": n, "n_pos": 200, "group_id": 1, "edges": np.tile(np.arange(31) / 31, 2)})
+    block = fitting.Block(np.arange(n), np.random.default_rng(0).random((n, 2)), y, np.ones(n), np.zeros(n))
+    row, node, times, label = method._pairs(s, block)
+    per = np.array([[times[(node == t) & (label == c)].sum() for c in (0, 1)] for t in range(30)])
+    assert np.abs(per.mean(0) - 200).max() < 12 and len({tuple(p) for p in per}) > 20 and times.max() > 1
+    assert abs(len(np.unique(row[label == 0])) - 3800 * (1 - (1 - 200 / 3800 * (1 - np.exp(-1))) ** 30)) < 120  # the background changes from tree to tree
+
+
+def test_boosting_leaves_are_newton_steps_of_the_best_leaf():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 10, (400, 2)).astype(float)
+    y = (rng.random(400) < 0.1 + 0.08 * x[:, 0]).astype(float)
+    spec = trees.Boosted(trees=1, leaves=3, subsample=1.0, learning_rate=1.0)
+    method = trees.BoostedMethod(spec)
+    edges = np.tile(np.arange(10) + 0.0, (2, 1))
+    s = method.begin({"p": 2, "part": 0, "param": None, "n": 400, "n_pos": int(y.sum()), "group_id": 1, "edges": edges.ravel()})
+    block, done, rounds = fitting.Block(np.arange(400), x, y, np.ones(400), np.zeros(400)), False, 0
+    while not done:
+        rounds += 1
+        s, done = method.solve(s, method.step(s, block), rounds)
+    assert rounds == 3  # two splits, and the look after the last tree
+    bias, kept, rows = method.tables(s)
+    mu = 1 / (1 + np.exp(-bias))
+    part = lambda m: ((y - mu)[m].sum()) ** 2 / (mu * (1 - mu) * m.sum() + 1)
+    options = [(part(x[:, j] <= c) + part(x[:, j] > c), j, c) for j in (0, 1) for c in range(9)]
+    assert kept == 1 and (rows[0, 1], rows[0, 2]) == max(options)[1:] and (rows[:, 1] < 0).sum() == 3
+    score = np.log(1 / (1 / trees.boosted_score(bias, rows, x) - 1))
+    for value in np.unique(score.round(9)):
+        m = np.abs(score - value) < 1e-8
+        assert abs(value - bias - (y - mu)[m].sum() / (mu * (1 - mu) * m.sum() + 1)) < 1e-6
+
+
+# ---- maximum entropy ----
+
+
+def test_sums_without_columns_equal_those_with():
+    rng = np.random.default_rng(3)
+    x, r = rng.normal(size=(200, 4)), rng.normal(size=200)
+    x[:, 3] = 2.0  # does not vary
+    cat = maxent.Catalogue(x.min(0), x.max(0), "lqpth", 7)
+    z = cat.columns(x, np.arange(cat.size))
+    assert cat.size == 4 + 4 + 6 + 28 + 48
+    assert np.allclose(cat.sums(x, r), r @ z) and np.allclose(cat.sums(x, r, True), r @ z**2)
+    assert (np.ptp(z, axis=0) <= cat.spread() + 1e-9).all()
+
+
+def test_maxent_at_full_width_is_optimal(spark):
+    rng = np.random.default_rng(4)
+    n, p = 1500, 12
+    x = rng.normal(size=(n, p))
+    y = np.zeros(n, int)
+    y[np.argsort(-(2 * x[:, 0] * x[:, 1] - x[:, 2] ** 2 + rng.gumbel(size=n)))[:150]] = 1
+    rows = [(1, i, int(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y))]
+    rows += [(2, i, int(i < 12), [float(v) for v in a]) for i, a in enumerate(x[:300])]
+    train = spark.createDataFrame(rows, "species_id bigint, location_id bigint, label int, predictors array<double>")
+    log, model = maxent.fit_maxent(train)
+    facts = {r["species_id"]: (r["status"], r["classes"]) for r in log.collect()}
+    assert facts == {1: ("ok", "lqpht"), 2: ("ok", "lq")}
+    held = {r["species_id"]: r for r in maxent.optimality(train, model).collect()}
+    assert all(r["worst"] < 2e-3 and abs(r["balance"]) < 2e-3 * r["n_presences"] for r in held.values())
+    m = {r["species_id"]: r for r in model.collect()}[1]
+    # the cloglog output: shares of the background add up to 1 at alpha, and entropy is theirs
+    cat = maxent.Catalogue(np.array(m["lo"]), np.array(m["hi"]), m["classes"])
+    share = np.exp(cat.columns(x, np.array(m["feature"])) @ np.array(m["coefficient"]) + m["alpha"])
+    assert abs(share.sum() - 1) < 1e-9 and abs(m["entropy"] + (share * np.log(share)).sum()) < 1e-6
+    assert 0 < len(m["feature"]) < cat.size / 5
+
+
+# ---- one layer for all species ----
+
+
+def test_layer_equals_single_fits(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3))
+    seen = [(i, s) for i in range(400) for s in (7, 9, 11) if rng.random() < 1 / (1 + np.exp(1 - s / 9 * x[i, s % 3]))]
+    rows = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)], "location_id bigint, predictors array<double>")
+    spec = layer.Layer("lq", l2=2.0, tolerance=1e-6)
+    log, model = layer.fit_layer(rows, spark.createDataFrame(seen, "location_id bigint, species_id bigint"), spec)
+    got = {r["species_id"]: r for r in model.collect()}
+    z = np.hstack([np.ones((400, 1)), layer.expand(x, "lq")])
+    for s in (7, 9, 11):
+        y, b, pen = np.array([(i, s) in set(seen) for i in range(400)], float), np.zeros(7), np.diag([0.0] + [2.0] * 6)
+        for _ in range(30):
+            mu = 1 / (1 + np.exp(-z @ b))
+            b -= np.linalg.solve((z * (mu * (1 - mu))[:, None]).T @ z + pen, z.T @ (mu - y) + pen @ b)
+        assert np.allclose([got[s]["intercept"], *got[s]["coefficients"]], b, atol=1e-4)
+    assert {r["status"] for r in log.collect()} == {"ok"}
+
+
+def test_layer_features_are_those_of_the_columns(spark):
+    from florapark.functions.features import maxent_features
+
+    x = [[0.5, -1.0, 2.9], [0.0, 0.0, -3.5]]
+    rows = spark.createDataFrame([(v,) for v in x], "x array<double>")
+    want = np.array([r[0] for r in rows.select(maxent_features("x", "lqpth")).collect()])
+    assert np.allclose(layer.expand(np.array(x), "lqpth"), want)
+    with pytest.raises(ValueError, match="x"):
+        layer.expand(np.array(x), "lx")
+
+
+# ---- tuned fits ----
+
+
+def test_tuned_fit_takes_the_best_value_of_the_grid(spark, data):
+    train = data.where("species_id < 3").withColumnRenamed("features", "predictors").drop("weight")
+    rows = train.withColumn("split", F.when(F.col("location_id") % 3 == 0, "val").otherwise("test"))
+    grid = (0.001, 0.1, 10.0)
+    log, selected, predictions = L.tuned_fit(train, rows, "glm", grid)
+    scores = {}
+    for c in grid:
+        _, _, metrics = L.fit_predict_many(train, rows.where("split = 'val'"), "glm", C=c)
+        for r in metrics.collect():
+            scores.setdefault(r["species_id"], []).append(r["auroc"])
+    best = {s: grid[int(np.argmax(v))] for s, v in scores.items()}
+    assert {r["species_id"]: r["param"] for r in selected.collect()} == best
+    assert {r["species_id"]: (r["param"], r["status"]) for r in log.collect()} == {s: (v, "ok") for s, v in best.items()}
+    for s, c in best.items():
+        _, alone, _ = L.fit_predict_many(train.where(F.col("species_id") == s), rows, "glm", C=c)
+        a, b = table(alone, "species_id", "location_id"), table(predictions.where(F.col("species_id") == s), "species_id", "location_id")
+        assert a.keys() == b.keys() and all(abs(r["probability"] - b[k]["probability"]) < 1e-9 for k, r in a.items())
+
+
+@pytest.mark.parametrize("name,grid,options", [("randomforest", (1, 3), {"trees": 6}), ("brt", (1, 3), {"trees": 6}), ("gam", (0.1, 100.0), {}), ("maxent", (0.5, 4.0), {"classes": "lq"})])
+def test_every_model_can_be_tuned(spark, data, name, grid, options):
+    train = data.withColumnRenamed("features", "predictors").drop("weight")
+    rows = train.withColumn("split", F.lit("val"))
+    log, selected, predictions = L.tuned_fit(train, rows, name, grid, **options)
+    facts = {r["species_id"]: r for r in log.collect()}
+    chosen = {r["species_id"]: r["param"] for r in selected.collect()}
+    assert set(facts) == {1, 2, 3} and facts[3]["status"] == "no presences" and set(chosen) == {1, 2}
+    assert all(facts[s]["param"] == chosen[s] and facts[s]["seconds"] > 0 for s in chosen)
+    assert predictions.count() == 1500
