@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import pickle
 import time
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -35,6 +36,14 @@ BLOCK = "group_id bigint, block int, n int, p int, key array<bigint>, x array<do
 STATE = "group_id bigint, part int, param double, state binary, done boolean, rounds int, seconds double, message string"
 
 
+def _keep(state) -> bytes:
+    return zlib.compress(pickle.dumps(state), 1)
+
+
+def _open(kept: bytes):
+    return pickle.loads(zlib.decompress(kept))
+
+
 @dataclass
 class Block:
     """Rows of one group: keys, predictors (n, p), labels, weights, held-out marks; ``memo`` is the method's own."""
@@ -126,7 +135,7 @@ def begin(units: DataFrame, described: DataFrame, method: Method, fit_if: str =
         for b in batches:
             rows = []
             for r in b.to_dict("records"):
-                state = pickle.dumps(method.begin(r)) if r["fit"] else None
+                state = _keep(method.begin(r)) if r["fit"] else None
                 rows.append((r["group_id"], r["part"], r["param"], state, not r["fit"], 0, 0.0, None))
             yield pd.DataFrame(rows, columns=["group_id", "part", "param", "state", "done", "rounds", "seconds", "message"])
 
@@ -159,7 +168,7 @@ def _in_task(method: Method) -> Callable:
         for u in units.itertuples(index=False):
             t0, rounds, done, message = time.perf_counter(), 0, False, None
             held.memo = {}
-            state = pickle.loads(u.state)
+            state = _open(u.state)
             try:
                 while not done and rounds < MOST_ROUNDS:
                     rounds += 1
@@ -167,7 +176,7 @@ def _in_task(method: Method) -> Callable:
             except (ArithmeticError, ValueError, np.linalg.LinAlgError) as e:
                 # one unit that cannot be fitted must not end the others
                 message = f"{type(e).__name__}: {e}"
-            rows.append((u.group_id, u.part, u.param, pickle.dumps(state), True, rounds, time.perf_counter() - t0, message))
+            rows.append((u.group_id, u.part, u.param, _keep(state), True, rounds, time.perf_counter() - t0, message))
         return pd.DataFrame(rows, columns=["group_id", "part", "param", "state", "done", "rounds", "seconds", "message"])
 
     return run
@@ -183,7 +192,7 @@ def _by_rounds(packed: DataFrame, state: DataFrame, method: Method) -> DataFrame
             t0, block = time.perf_counter(), _block(r)
             if method.carries and r.carried is not None:
                 method.resume(block, np.asarray(r.carried, float))
-            total = method.step(pickle.loads(r.state), block)
+            total = method.step(_open(r.state), block)
             yield r, block, total, time.perf_counter() - t0
 
     def with_carried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,13 +225,13 @@ def _by_rounds(packed: DataFrame, state: DataFrame, method: Method) -> DataFrame
         # one row per task that met the unit
         u = unit.iloc[0]
         total, rounds, t0 = sum(np.frombuffer(s) for s in parts["sums"]), int(u["rounds"]) + 1, time.perf_counter()
-        now, done, message = pickle.loads(u["state"]), True, None
+        now, done, message = _open(u["state"]), True, None
         try:
             now, done = method.solve(now, total, rounds)
         except (ArithmeticError, ValueError, np.linalg.LinAlgError) as e:
             message = f"{type(e).__name__}: {e}"
         seconds = float(u["seconds"]) + float(parts["took"].sum()) + time.perf_counter() - t0
-        return pd.DataFrame([(u["group_id"], u["part"], u["param"], pickle.dumps(now), bool(done), rounds, seconds, message)],
+        return pd.DataFrame([(u["group_id"], u["part"], u["param"], _keep(now), bool(done), rounds, seconds, message)],
                             columns=["group_id", "part", "param", "state", "done", "rounds", "seconds", "message"])
 
     keys = ["group_id", "part"] if method.carries else ["group_id"]
@@ -281,7 +290,7 @@ def models(final: DataFrame, table: Callable[[object], list[tuple]], schema: str
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(r.group_id, r.param, *row) for r in batch.itertuples(index=False) for row in table(pickle.loads(r.state))]
+            out = [(r.group_id, r.param, *row) for r in batch.itertuples(index=False) for row in table(_open(r.state))]
             yield pd.DataFrame(out, columns=names)
 
     return final.where("state is not null and message is null").select("group_id", "param", "state").mapInPandas(

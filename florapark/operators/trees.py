@@ -71,7 +71,7 @@ class Forest:
     bins: int = 32
     bootstrap: bool = True
     seed: int = 0
-    part_trees: int = 50
+    part_trees: int = 20
 
 
 class ForestMethod(Method):
@@ -89,8 +89,9 @@ class ForestMethod(Method):
         return {
             "edges": np.asarray(group["edges"], float).reshape(p, -1), "tried": min(p, tried or max(1, int(np.sqrt(p)))), "group": int(group["group_id"]),
             "rate": (min(n_pos, n_neg) / n_neg, min(n_pos, n_neg) / n_pos), "tree": np.arange(first, first + n), "roots": n,
-            "feature": np.full(n, -1), "cut": np.zeros(n, int), "left": np.full(n, -1), "right": np.full(n, -1), "level": np.zeros(n, int),
-            "of": np.arange(n), "open": np.arange(n), "weights": np.zeros((n, 2))}
+            # the right child of a node follows its left one
+            "feature": np.full(n, -1, np.int16), "cut": np.zeros(n, np.int16), "left": np.full(n, -1, np.int32), "level": np.zeros(n, np.int16),
+            "of": np.arange(n, dtype=np.int16), "open": np.arange(n), "weights": np.zeros((n, 2))}
 
     def _pairs(self, s, block):
         """(row, node, count, class) of every row that a tree drew; nodes are followed from where they stood last."""
@@ -113,14 +114,14 @@ class ForestMethod(Method):
             if not len(at):
                 break
             goes = bins[memo["row"][at], f[at]] <= s["cut"][node[at]]
-            node[at] = np.where(goes, s["left"][node[at]], s["right"][node[at]])
+            node[at] = s["left"][node[at]] + ~goes
         return memo["row"], node, memo["times"], memo["y"]
 
     def _round(self, s):
         """Nodes to split now and the features each of them tries."""
         nodes = s["open"][:NODES]
         p = len(s["edges"])
-        draw = _draw(self.spec.seed + 7, (s["tree"][s["of"][nodes]] * 4_000_037 + nodes)[:, None], np.arange(p)[None, :] + s["group"] * 1_000_003)
+        draw = _draw(self.spec.seed + 7, (s["tree"][s["of"][nodes]].astype(np.int64) * 4_000_037 + nodes)[:, None], np.arange(p)[None, :] + s["group"] * 1_000_003)
         return nodes, np.argsort(draw, axis=1)[:, :s["tried"]]
 
     def step(self, s, block):
@@ -157,12 +158,12 @@ class ForestMethod(Method):
         at, n = nodes[split], len(s["feature"])
         child = n + np.arange(2 * len(at))
         s["feature"][at], s["cut"][at] = tried[split, k[split]], c[split]
-        s["left"][at], s["right"][at] = child[0::2], child[1::2]
+        s["left"][at] = child[0::2]
         fresh = len(child)
         sides = np.stack([left[split, k[split], c[split]], right[split, k[split], c[split]]], 1).reshape(-1, 2)
-        for name, values in (("feature", np.full(fresh, -1)), ("cut", np.zeros(fresh, int)), ("left", np.full(fresh, -1)), ("right", np.full(fresh, -1)),
+        for name, values in (("feature", np.full(fresh, -1)), ("cut", np.zeros(fresh)), ("left", np.full(fresh, -1)),
                              ("level", np.repeat(s["level"][at] + 1, 2)), ("of", np.repeat(s["of"][at], 2))):
-            s[name] = np.concatenate([s[name], values])
+            s[name] = np.concatenate([s[name], values.astype(s[name].dtype)])
         s["weights"] = np.concatenate([s["weights"], sides])
         # children that cannot be split need no sums
         can = (sides.min(1) > 0) & (sides.sum(1) >= 2 * spec.min_leaf) & (s["level"][child] < spec.depth)
@@ -178,8 +179,8 @@ class ForestMethod(Method):
         place = np.empty(len(order), int)
         starts = np.searchsorted(s["of"][order], np.arange(s["roots"] + 1))
         place[order] = np.arange(len(order)) - np.repeat(starts[:-1], np.diff(starts))
-        child = lambda side: np.where(s["feature"] >= 0, place[np.maximum(s[side], 0)], -1)
-        rows = np.stack([s["feature"], cut, child("left"), child("right"), value], 1)[order]
+        child = lambda side: np.where(s["feature"] >= 0, place[np.minimum(np.maximum(s["left"], 0) + side, len(place) - 1)], -1)
+        rows = np.stack([s["feature"], cut, child(0), child(1), value], 1)[order]
         return [(int(s["tree"][t]), rows[a:b], int(s["level"][order[a:b]].max())) for t, (a, b) in enumerate(zip(starts[:-1], starts[1:]))]
 
 
