@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from florapark.llm._bytes import SPACE, chunks, row_of, word_hashes, word_spans
+from florapark.llm._bytes import SPACE, chunks, mix, row_of, word_hashes, word_spans
 from florapark.llm._store import held_back, pin, sample_per_class, ship
 
 CHAIN = 256
@@ -225,17 +225,102 @@ def _score_chunk(model: Crf, part: bytes, offsets: np.ndarray) -> tuple[np.ndarr
     return lang, np.clip(share, 0, 1), n_words
 
 
-def _explained(model: Crf, part: bytes, offsets: np.ndarray) -> np.ndarray:
-    """Words of each text that a learned language explains: the word itself or at least half its n-grams were learned."""
-    starts, _, three, four, slots = _features(np.frombuffer(part, np.uint8))
-    rows = row_of(starts, offsets)
-    known = model.word.any(1)[slots]
-    if len(starts):
-        gram = model.gram.any(1)
-        hit = np.add.reduceat(gram[three].astype(np.int64) + gram[four], starts)
-        of = np.add.reduceat((three != _BLANK).astype(np.int64) + (four != _BLANK), starts)
-        known |= (of > 0) & (2 * hit >= of)
-    return np.bincount(rows[known], minlength=len(offsets) - 1)
+@dataclass
+class Evidence:
+    """Whether a text's words look like a learned language or like letters drawn one by one.
+
+    ``ratio``: log of (share of a byte 3-gram in a language) / (product of the shares of its
+    bytes), per slot and language. Shares are drawn towards that product, so a 3-gram that
+    was never seen speaks against every language alike, in whatever script. ``unit``: log
+    share of each byte. Texts below ``least`` are rejected.
+    """
+
+    count: np.ndarray
+    unit: np.ndarray
+    total: np.ndarray
+    least: float = 0.0
+
+    def of(self, part: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratio per 3-gram of each text, for each word by the language that suits it best; 0 without words."""
+        data = np.frombuffer(b"\n" + part, np.uint8)
+        starts, _ = word_spans(data)
+        out = np.zeros(len(offsets) - 1)
+        if not len(starts):
+            return out
+        slot, folded = _three(data), _FOLD[data]
+        chance = np.exp(self.unit[folded].astype(np.float64))
+        chance[2:] *= chance[1:-1] * chance[:-2]
+        inside = np.ones(len(data))
+        inside[starts] = 0  # the first 3-gram of a word ends at its second byte
+        gap = SPACE[data]
+        inside[1:][gap[1:] & gap[:-1]] = 0
+        inside[:2] = 0
+        best = np.full(len(starts), -np.inf)
+        for k in range(self.count.shape[1]):
+            pull = _PULL * self.total[k]
+            value = np.log((self.count[slot, k] / chance + pull) / (self.total[k] + pull)) * inside
+            np.maximum(best, np.add.reduceat(value, starts), out=best)
+        row = row_of(starts - 1, offsets)
+        grams = np.bincount(row, weights=np.add.reduceat(inside, starts), minlength=len(out))
+        # a few 3-grams are weak evidence
+        return np.bincount(row, weights=best, minlength=len(out)) / (grams + 8)
+
+
+_EVIDENCE_BITS = 18
+_PULL = 0.02
+
+
+def _three(data: np.ndarray) -> np.ndarray:
+    """Slot of the 3-gram ending at each byte."""
+    b = _FOLD[data].astype(np.uint64)
+    key = np.zeros(len(b), np.uint64)
+    key[2:] = (b[:-2] << np.uint64(16)) | (b[1:-1] << np.uint64(8)) | b[2:]
+    return (mix(key) >> np.uint64(64 - _EVIDENCE_BITS)).astype(np.int64)
+
+
+def fit_evidence(learn: DataFrame, check: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id",
+                 per_lang: int = 400, reject: float = 0.002, seed: int = 8) -> Evidence | None:
+    """Count 3-grams of about ``per_lang`` documents of each language of ``learn``; None where there is no label.
+
+    A text is rejected when chance explains it better. Where more than ``reject`` of the
+    labelled texts of ``check`` (again about ``per_lang`` of each language) would go, the
+    cutoff is lowered to that share.
+    """
+    def sample(docs: DataFrame) -> tuple[DataFrame, list]:
+        usable = docs.where(F.col(label).isNotNull() & (F.length(text) > 0))
+        rows, counts = sample_per_class(usable.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")),
+                                        "label", F.col("key"), per_lang, seed)
+        return rows.select("label", "text"), sorted(counts)
+
+    rows, langs = sample(learn)
+    if not langs:
+        return None
+    ship(learn.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, unit = np.zeros((1 << _EVIDENCE_BITS, len(langs))), np.zeros(256)
+        for batch in batches:
+            for y, t in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
+                data = np.frombuffer(f"\n{t}\n".encode(), np.uint8)
+                grams[:, langs.index(y)] += np.bincount(_three(data)[2:], minlength=len(grams))
+                unit += np.bincount(_FOLD[data], minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array([grams.astype(np.float32).tobytes()]), pa.array([unit.tobytes()])], ["grams", "unit"])
+
+    # four rows of fixed size
+    found = rows.coalesce(4).mapInArrow(count, "grams binary, unit binary").collect()
+    grams = sum(np.frombuffer(r["grams"], np.float32) for r in found).reshape(-1, len(langs))
+    unit = sum(np.frombuffer(r["unit"]) for r in found) + 1
+    model = Evidence(grams, np.log(unit / unit.sum()).astype(np.float32), np.maximum(grams.sum(0, dtype=np.float64), 1))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [model.of(part, offsets) for _, _, part, offsets in chunks(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values) if values else np.zeros(0))], ["e"])
+
+    held, _ = sample(check)
+    low = held.select("text").mapInArrow(rate, "e double").agg(F.percentile_approx("e", reject, 10_000).alias("q")).first()["q"]
+    model.least = min(0.0, low) if low is not None else 0.0
+    return model
 
 
 def _train_shard(langs: list[str], flat: np.ndarray, seed: int, frames: Iterator) -> Crf | None:
@@ -333,18 +418,19 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     return Crf.of(langs, flat)
 
 
-def predict(docs: DataFrame, model: Crf, text: str = "text", explained: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Crf, text: str = "text", evidence: Evidence | None = None) -> DataFrame:
     """``docs`` with lang_pred, score (share of the predicted language in the word posteriors) and n_words.
 
     Null texts and texts without a letter are `und` with score 0. Columns of these
     names in ``docs`` are replaced; all others stay as they are, nulls and repeated
-    rows too. With ``explained``, n_explained counts the words that a learned language explains.
+    rows too. With ``evidence``, a column of that name tells how far the words look like a learned language.
     """
     spark = docs.sparkSession
     ship(spark)
-    added = {"lang_pred": "string", "score": "double", "n_words": "long"} | ({"n_explained": "long"} if explained else {})
+    added = {"lang_pred": "string", "score": "double", "n_words": "long"} | ({"evidence": "double"} if evidence else {})
     kept = [c for c in docs.columns if c not in added]
-    flat = spark.sparkContext.broadcast((model.langs, model.flat()))  # slots times languages, whatever the corpus
+    # slots times languages, whatever the corpus
+    flat, looks = spark.sparkContext.broadcast((model.langs, model.flat())), spark.sparkContext.broadcast(evidence)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Crf.of(*flat.value)
@@ -358,15 +444,15 @@ def predict(docs: DataFrame, model: Crf, text: str = "text", explained: bool = F
                     n = np.zeros(len(offsets) - 1, np.int64)
                     one, share = np.full(len(n), -1), np.zeros(len(n))
                 lang.append(one), score.append(share), words.append(n)
-                if explained:
-                    clear.append(_explained(known, part, offsets) if known.langs else np.zeros(len(n), np.int64))
+                if evidence:
+                    clear.append(looks.value.of(part, offsets))
             flat_lang = np.concatenate(lang) if lang else np.zeros(0, int)
             columns = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "_text"]
             columns += [pa.array(names[flat_lang].tolist(), pa.string()),
                         pa.array(np.concatenate(score) if score else [], pa.float64()),
                         pa.array(np.concatenate(words) if words else [], pa.int64())]
-            if explained:
-                columns.append(pa.array(np.concatenate(clear) if clear else [], pa.int64()))
+            if evidence:
+                columns.append(pa.array(np.concatenate(clear) if clear else [], pa.float64()))
             yield pa.RecordBatch.from_arrays(columns, [c for c in batch.schema.names if c != "_text"] + list(added))
 
     given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text"))
@@ -385,14 +471,17 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those in which no learned language explains a single word.
+    """Drop documents without a letter, and those whose words look like chance rather than like any learned language.
 
-    Texts of several languages stay, however evenly they share the words. Where no row has
-    a label no language is learned, and every document stays, also those without a letter.
+    Every word counts for the language that suits it best, so texts of several languages
+    stay, however evenly they share the words. Where no row has a label no language is
+    learned, and every document stays, also those without a letter.
     """
-    model = fit(docs.where(~held_back(F.col("doc_id"), 5, 0)))
+    held = held_back(F.col("doc_id"), 5, 0)
+    model = fit(docs.where(~held))
     if not model.langs:
         return docs
-    judged = predict(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, "in_text", explained=True)
-    kept = judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("n_explained") > 0))
+    evidence = fit_evidence(docs.where(~held), docs.where(held))
+    judged = predict(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, "in_text", evidence)
+    kept = judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("evidence") >= evidence.least))
     return kept.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])

@@ -117,8 +117,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     """
     spark = docs.sparkSession
     ship(spark)
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(key).alias("key"), F.col(label).alias("label")).dropDuplicates(["key"])
+    # of several labels of one key the smallest counts
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("label"))
     drawn, counts = sample_per_class(known, "label", F.col("key"), per_domain, seed)
     domains = sorted(counts)
     if not domains:
@@ -295,7 +295,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thin out the domains that are above their share; the clean domain stays whole, so no rate exceeds 1."""
-    out = mix(docs.select("doc_id", "text"), _model(spark, docs, sf_dir), WEIGHTS, most=1.0, whole="clean")
-    gone = out.where("copies = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Thin out the domains that are above their share; the clean domain stays whole, so no rate exceeds 1.
+
+    Rows go, not ids: a row is known by its doc_id and text, so only rows equal in both share a draw.
+    """
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    text, doc_id = F.col(names["text"]), F.col(names["doc_id"])
+    key = F.concat_ws(":", doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    rows = docs.withColumnsRenamed(names).withColumn("key", key)
+    out = mix(rows.select(F.col("key").alias("doc_id"), text.alias("text")), _model(spark, docs, sf_dir), WEIGHTS, most=1.0, whole="clean")
+    gone = out.where("copies = 0").select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(gone, "key", "left_anti").select(*[F.col(new).alias(c) for c, new in names.items()])

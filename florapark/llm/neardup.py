@@ -33,7 +33,7 @@ from florapark.llm.components import connected
 
 BANDS, ROWS = 32, 4
 BATCHES, BATCH = 4, 64
-_HUB_ROUNDS = 1
+_HUB_ROUNDS = 3
 _DENSE = 4096  # pairs of a bucket from which they are also counted on shortened sets inside the task
 _SIDE = 512  # members of a bucket in one block
 _BROADCAST_IDS = 1_000_000  # ids sent to all executors at most (16 MB); beyond, a shuffle join
@@ -77,6 +77,11 @@ def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield shingle_set(hashes[cuts[i]:cuts[i + 1]], width)
 
 
+def _name(s: np.ndarray) -> tuple[int, int]:
+    """128-bit hash of a set."""
+    return (int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands, proof) per row of ``docs`` (doc_id, text).
 
@@ -94,15 +99,16 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 if not len(s):
                     a.append(None), b.append(None), bands.append(None), proof.append(None)
                     continue
-                a.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-                b.append(int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
+                x, y = _name(s)
+                a.append(x), b.append(y)
                 sig = signature(s)
                 rows = sig[:BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
                 key = lane.copy()
                 for k in range(ROWS):
                     key = mix(key ^ rows[:, k])
                 bands.append(key.view(np.int64))
-                proof.append((sig[BANDS * ROWS:] >> np.uint32(24)).astype(np.uint8).tobytes())
+                # eight well-mixed bits: the high bits of a minimum are 0 for every large set
+                proof.append((mix(sig[BANDS * ROWS:].astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(proof, pa.binary())],
@@ -113,38 +119,35 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) per row of ``docs``."""
+    """(set_a, set_b, shingles) per row of ``docs`` (text) with a non-empty set."""
+    return _expanded(docs, width, lambda s: s.view(np.int64), pa.list_(pa.int64()), "shingles array<long>")
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sets, held = batch.column("doc_id"), [], 0
-            done = 0
-            for s in _sets(batch.column("text"), width):
-                sets.append(s.view(np.int64))
-                held += len(s)
-                if held > 1 << 19:
-                    yield _set_batch(ids.slice(done, len(sets)), sets)
-                    done, sets, held = done + len(sets), [], 0
-            if sets:
-                yield _set_batch(ids.slice(done, len(sets)), sets)
 
-    return docs.select("doc_id", "text").mapInArrow(expand, "doc_id long, shingles array<long>")
+def short_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(set_a, set_b, short) per row of ``docs`` with a non-empty set: the sorted high halves of the shingle hashes, as bytes."""
+    # sorted hashes have sorted high halves
+    return _expanded(docs, width, lambda s: (s >> np.uint64(32)).astype(np.uint32).tobytes(), pa.binary(), "short binary")
 
 
-def short_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, short) per row of ``docs``: the sorted high halves of the shingle hashes, as bytes."""
+def _expanded(docs: DataFrame, width: int, value, kind: pa.DataType, column: str) -> DataFrame:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        a, b, v = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, kind)], ["set_a", "set_b", column.split()[0]])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # sorted hashes have sorted high halves
-            rows = [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in _sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "short"])
-
-    return docs.select("doc_id", "text").mapInArrow(expand, "doc_id long, short binary")
-
+            rows, held = [], 0
+            for s in _sets(batch.column("text"), width):
+                if len(s):
+                    rows.append((*_name(s), value(s)))
+                    held += len(s)
+                if held > 1 << 19:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
 
-def _set_batch(ids, sets: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+    return docs.select("text").mapInArrow(expand, f"set_a long, set_b long, {column}")
 
 
 def least_matches(threshold: float, miss: float) -> list[int]:
@@ -236,7 +239,7 @@ def _across(outside: DataFrame, rest: DataFrame, sizes: DataFrame, sketch: DataF
     """Surviving pairs (a, b, n_a, n_b) between ``outside`` and ``rest`` members (bucket, id, root) of the same bucket.
 
     Both sides are cut into blocks of about ``_SIDE`` members; each pair of blocks is one group.
-    With ``short`` (doc_id, short) pairs must also pass on their shortened sets.
+    With ``short`` (cls, short) pairs must also pass on their shortened sets.
     """
     floor = least_matches(percent / 100, miss)
     blocks = sizes.select("bucket", F.ceil(F.col("n_out") / _SIDE).cast("int").alias("out_blocks"),
@@ -250,10 +253,10 @@ def _across(outside: DataFrame, rest: DataFrame, sizes: DataFrame, sketch: DataF
         "bucket", every(F.col("out_blocks")).alias("ob"), spread(F.col("rest_blocks")).alias("rb"),
         F.lit(1).alias("side"), "id", "root", "outside")
     rows = left.unionByName(right).join(
-        sketch.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "proof"), "id")
+        sketch.select(F.col("cls").alias("id"), F.col("n_shingles").alias("n"), "bands", "proof"), "id")
     fields = ["bucket", "ob", "rb", "side", "id", "root", "n", "outside", "bands", "proof"]
     if short is not None:
-        rows, fields = rows.join(short.withColumnRenamed("doc_id", "id"), "id"), [*fields, "short"]
+        rows, fields = rows.join(short.withColumnRenamed("cls", "id"), "id"), [*fields, "short"]
     parts = int(outside.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "bucket", "ob", "rb").sortWithinPartitions("bucket", "ob", "rb", "side", "id")
 
@@ -300,18 +303,26 @@ def _whole_groups(t: pa.Table) -> tuple[pa.Table | None, pa.Table]:
     return t.slice(0, cuts[-1]), t.slice(cuts[-1])
 
 
-def _exact(open_pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pinned ``open_pairs`` (a, b, n_a, n_b) whose full sets overlap by at least ``percent``, as (a, b)."""
-    named = pin(open_pairs.select(F.col("a").alias("doc_id")).unionByName(open_pairs.select(F.col("b").alias("doc_id"))).distinct())
-    few = named.count() <= _BROADCAST_IDS
-    sets = pin(full_sets(docs.join(F.broadcast(named) if few else named, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+def _texts_of(named: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` that may stand for the classes ``named`` (cls), pinned class names with their set hashes)."""
+    names = pin(named.distinct().join(classes.select("cls", "set_a", "set_b", F.col("least").alias("doc_id")), "cls"))
+    few = names.count() <= _BROADCAST_IDS
+    ids = names.select("doc_id").distinct()
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), names
+
+
+def _exact(open_pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pinned ``open_pairs`` (a, b, n_a, n_b) of classes whose full sets overlap by at least ``percent``, as (a, b)."""
+    rows, names = _texts_of(open_pairs.select(F.col("a").alias("cls")).unionByName(open_pairs.select(F.col("b").alias("cls"))), classes, docs)
+    # a doc_id may have rows with other texts, so a set is known by its hash
+    sets = pin(full_sets(rows, width).join(names.select("cls", "set_a", "set_b"), ["set_a", "set_b"]).dropDuplicates(["cls"]).select("cls", "shingles"))
     both = (
-        open_pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b")), "b")
+        open_pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s_a")), "a")
+        .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("s_b")), "b")
     )
     shared = F.size(F.array_intersect("s_a", "s_b"))
     links = pin(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"))
-    drop(open_pairs, sets, named)
+    drop(open_pairs, sets, names)
     return links
 
 
@@ -322,26 +333,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     word-shingle sets. ``component_id`` is the smallest doc_id of those reachable over
     links. Null and empty texts are linked with nothing. A row without doc_id
     stands alone, with component_id null and kept true; several rows with one doc_id
-    form one group. Other columns of ``docs`` are not read.
+    form one group, whatever their texts. Other columns of ``docs`` are not read.
     """
     key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = pin(sketches(key, width))
+    sets = ["set_a", "set_b", "n_shingles"]
+    # one class for each set, under a number of its own
     classes = pin(
         sketch.where(F.col("doc_id").isNotNull() & F.col("set_a").isNotNull())
-        .groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+        .groupBy(*sets).agg(F.min("doc_id").alias("least")).withColumn("cls", F.monotonically_increasing_id())
     )
-    # one row for each class; a doc_id may stand for several classes where ids repeat
-    heads = sketch.join(classes.select("set_a", "set_b", "n_shingles", F.col("rep").alias("doc_id")),
-                        ["set_a", "set_b", "n_shingles", "doc_id"], "left_semi")
-    rep = pin(heads.select("doc_id", "n_shingles", "bands", "proof").dropDuplicates(["doc_id"]))
-    member = rep.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    rows = pin(sketch.select("doc_id", *sets).join(classes.drop("least"), sets, "left").select("doc_id", "n_shingles", "cls"))
+    heads = sketch.join(classes.withColumnRenamed("least", "doc_id"), [*sets, "doc_id"])
+    rep = pin(heads.select("cls", "n_shingles", "bands", "proof").dropDuplicates(["cls"]))
+    member = rep.select(F.col("cls").alias("id"), F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = pin(member.join(shared.select("bucket"), "bucket", "left_semi"))
     texts = key.where(F.col("doc_id").isNotNull())
-    side = rep.select("doc_id", "n_shingles", "proof")
+    side = rep.select("cls", "n_shingles", "proof")
 
-    roots = pin(rep.sparkSession.createDataFrame([], "id long, root long"))
-    placed = None
+    # classes of one doc_id belong together
+    own = rows.where("doc_id is not null and cls is not null").select("doc_id", "cls").distinct()
+    several = own.groupBy("doc_id").agg(F.min("cls").alias("b"), F.max("cls").alias("_m")).where("b != _m")
+    roots = pin(connected(pin(own.join(several, "doc_id").where("cls != b").select(F.col("cls").alias("a"), "b"))))
     for turn in range(_HUB_ROUNDS):
         placed = pin(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")))
         # a hub drawn anew for each bucket and round; buckets of one component have nothing left to compare
@@ -351,14 +365,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
         near_hub = placed.join(hubs, "bucket").where("root != hub.root").select(
             F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
         sized = (
-            near_hub.join(side.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"),
+            near_hub.join(side.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"),
                                       F.col("proof").alias("proof_a")), "a")
-            .join(side.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"),
+            .join(side.select(F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"),
                               F.col("proof").alias("proof_b")), "b")
             # sets of very different size cannot overlap enough
             .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         )
-        links = _exact(pin(survivors(sized, percent / 100, miss)), texts, width, percent)
+        links = _exact(pin(survivors(sized, percent / 100, miss)), classes, texts, width, percent)
         before, roots = roots, pin(connected(links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))))
         drop(before, links, placed)
 
@@ -373,22 +387,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     found = _across(rest.where("outside"), rest, thin, rep, percent, miss)
     if not dense.isEmpty():
         # large buckets are also counted on shortened sets inside the tasks, so that hardly any but linked pairs leave them
-        named = pin(rest.join(dense.select("bucket"), "bucket", "left_semi").select(F.col("id").alias("doc_id")).distinct())
-        few = named.count() <= _BROADCAST_IDS
-        short = pin(short_sets(texts.join(F.broadcast(named) if few else named, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+        near, names = _texts_of(rest.join(dense.select("bucket"), "bucket", "left_semi").select(F.col("id").alias("cls")), classes, texts)
+        short = pin(short_sets(near, width).join(names.select("cls", "set_a", "set_b"), ["set_a", "set_b"]).dropDuplicates(["cls"]).select("cls", "short"))
         found = found.unionByName(_across(rest.where("outside"), rest, dense, rep, percent, miss, short))
-    extra = _exact(pin(found), texts, width, percent)
+    extra = _exact(pin(found), classes, texts, width, percent)
     drop(members, rest, sizes)
     final = pin(connected(extra.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))))
 
-    # a doc_id of several rows joins the classes of its rows into one group
-    small = classes.join(final.select(F.col("id").alias("rep"), "root"), "rep", "left").select(
-        "set_a", "set_b", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    out = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(small, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    whole = classes.select("cls", "least").join(final.withColumnRenamed("id", "cls"), "cls", "left").select(
+        "cls", F.coalesce("root", "cls").alias("root"), "least")
+    ids = whole.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = whole.join(ids, "root").select("cls", "component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = rows.join(named, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,6 +410,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each group of near duplicates (five-word shingles, similarity 0.8), that with the smallest doc_id.
+
+    Rows are compared and dropped one by one, also where they share a doc_id or have none.
+    """
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    rows = pin(docs.withColumnsRenamed(names).withColumn("row", F.monotonically_increasing_id()))
+    text, doc_id = names["text"], names["doc_id"]
+    parts = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text"))).select(F.col("doc_id").alias("row"), "component_id")
+    # the smallest row number only decides between rows with equal doc_id and text
+    order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.col("row"))
+    first = parts.join(rows.select("row", order.alias("order")), "row").groupBy("component_id").agg(F.min("order").alias("order"))
+    kept = first.select("order.row")
+    return rows.join(kept, "row", "left_semi").select(*[F.col(new).alias(c) for c, new in names.items()])

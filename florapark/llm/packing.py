@@ -181,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, gr
 
     A null or empty text is its end id alone. Rows without doc_id and rows with equal
     doc_id are packed like any others. Other columns are not read. Groups are drawn by
-    a hash of the document's first tokens and id.
+    a hash of the piece's number, so that rows that repeat are spread over all groups.
     """
     cut = pin(pieces(docs, tokenizer, length).withColumn("_row", F.monotonically_increasing_id()))
     full, rest = cut.where(F.col("length") == length), cut.where(F.col("length") < length)
@@ -195,7 +195,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, gr
         return f.drop(columns=["_group", "_row"]).assign(
             sequence_id=2 * ((f["_group"].to_numpy() << 24) + where), offset=offset)
 
-    drawn = rest.withColumn("_group", F.pmod(F.xxhash64("doc_id", "ids_crc32", F.lit(2)), F.lit(groups)))
+    drawn = rest.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(2)), F.lit(groups)))
     packed = drawn.groupBy("_group").applyInPandas(
         fill, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     alone = full.select("doc_id", "start", "length", "ids_crc32", "doc_tokens",

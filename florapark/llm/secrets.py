@@ -191,12 +191,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret found in a text by a mark; no document goes."""
-    found = find(docs, fit(weak_samples(docs)))
-    clean = redact(F.col("text"), F.col("secrets"))
-    columns = [F.col(c) for c in docs.columns]
-    if "n_chars" in docs.columns:
-        n = F.when(F.size("secrets") > 0, F.length(F.col("_clean"))).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-        columns = [n.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    columns = [F.col("_clean").alias("text") if c == "text" else x for c, x in zip(docs.columns, columns)]
-    return found.withColumn("_clean", clean).select(*columns)
+    """Replace every secret found in a text by a mark; no document goes, and no other column changes but n_chars."""
+    # names that the scan itself does not use
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.withColumnsRenamed(names)
+    found = find(renamed, fit(weak_samples(docs)), names["text"])
+    clean = found.withColumn("clean", redact(F.col(names["text"]), F.col("secrets")))
+    columns = {c: F.col(new) for c, new in names.items()} | {"text": F.col("clean")}
+    if "n_chars" in names:
+        n = F.when(F.size("secrets") > 0, F.length("clean")).otherwise(F.col(names["n_chars"]))
+        columns["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
+    return clean.select(*[x.alias(c) for c, x in columns.items()])

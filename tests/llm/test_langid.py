@@ -108,3 +108,15 @@ def test_stage_keeps_an_even_mixture_of_languages(spark):
 def test_stage_keeps_all_when_no_language_was_learned(spark):
     docs = odd(spark).withColumn("lang", F.lit(None).cast("string"))
     assert m.stage(spark, docs, "").count() == docs.count() == 11
+
+
+def test_stage_drops_strings_of_chance_in_any_script(spark):
+    import random
+
+    rng = random.Random(12)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "".join(chr(0x4E00 + k) for k in range(400))]
+    junk = [(5000 + i, " ".join("".join(rng.choices(a, k=rng.randint(3, 9))) for _ in range(40)), None, "s", 0)
+            for i, a in enumerate(alphabets * 20)]
+    clean = [r for r in corpus(400, seed=13) if len(r[1].split()) >= 3]
+    out = {r["doc_id"] for r in m.stage(spark, spark.createDataFrame(clean + junk, SCHEMA), "").select("doc_id").collect()}
+    assert out == {r[0] for r in clean}

@@ -92,3 +92,36 @@ def test_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     out = n.stage(spark, docs, "")
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} >= {500} and out.where("doc_id = 501").count() == 0
+
+
+def test_repeated_ids_with_different_texts(spark):
+    rng = random.Random(21)
+    w = [f"w{k}" for k in range(60)]
+    a, b, c = "one two three four five six seven", " ".join(w), " ".join([*w[:-1], "other"])
+    rows = [(3, a), (5, a), (5, b), (9, c), (12, "nothing like the others at all here"), (None, b)]
+    rng.shuffle(rows)
+    got = sorted(map(repr, ((r["doc_id"], r["component_id"], r["kept"]) for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert got == sorted(map(repr, [(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (12, 12, True), (None, None, True)]))
+
+
+def test_stage_drops_rows_and_not_ids(spark):
+    w = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, "a b c d e f g", 1), (5, "a b c d e f g", 2), (5, w, 3), (9, w + " more", 4), (None, "x y z", 5), (None, "x y z", 6), (None, "p q r s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    out = n.stage(spark, docs, "")
+    assert out.columns == docs.columns and out.schema == docs.schema
+    kept = {r["row"] for r in out.collect()}
+    assert {1, 3, 7} <= kept and len(kept) == 4 and kept & {5, 6}
+
+
+def test_unrelated_sets_are_pruned_at_any_length():
+    floor = n.least_matches(0.8, 1e-6)
+    rng = n.np.random.default_rng(3)
+    for size in (20, 100, 500, 1000, 5000):
+        proofs = []
+        for _ in range(40):
+            sig = n.signature(rng.integers(1 << 63, size=size, dtype=n.np.uint64))
+            proofs.append((n.mix(sig[n.BANDS * n.ROWS:].astype(n.np.uint64)) & n.np.uint64(255)).astype(n.np.uint8))
+        x = n.np.stack(proofs)
+        i, j = n.np.triu_indices(40, 1)
+        assert not len(n._not_ruled_out(x, x, i, j, floor)), size

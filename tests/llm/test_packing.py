@@ -79,3 +79,10 @@ def test_every_id_lies_in_one_piece(spark, encoder):
 def test_odd_rows_and_empty_tables(spark, encoder):
     check(p.pack(odd(spark)).collect(), odd(spark).collect(), encoder, 1024)
     assert p.pack(empty(spark)).count() == 0
+
+
+def test_repeated_rows_are_spread_over_groups(spark):
+    rows = [(7, "the same text over and over")] * 3000
+    out = p.pack(spark.createDataFrame(rows, "doc_id long, text string"), group=300)
+    groups = out.selectExpr("sequence_id >> 25 AS g").groupBy("g").count().collect()
+    assert len(groups) == 10 and max(r["count"] for r in groups) < 450

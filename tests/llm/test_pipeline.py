@@ -1,6 +1,6 @@
 import corpus_pipeline
 from florapark.llm import mixing, packing
-from texts import SCHEMA, corpus
+from texts import SCHEMA, corpus, odd
 
 
 def test_stages_follow_each_other(spark, sf_dir):
@@ -34,3 +34,18 @@ def test_empty_corpus(spark, tmp_path):
 
 def test_order_of_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "secret_scan", "mixing", "packing"]
+
+
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    path = str(tmp_path)
+    extra = "text AS secrets, 'b' AS _base, 'c' AS _extra, 'd' AS _clean, 'e' AS _text, 1 AS row, 2 AS _key"
+    odd(spark).unionByName(spark.createDataFrame(corpus(60), SCHEMA).selectExpr("*", "1 AS score", "'x' AS label", "2.5D AS length", "true AS kept", "7 AS key")
+                           ).selectExpr("*", extra.split(",")[0], *extra.split(",")[1:5], *extra.split(",")[5:]).write.parquet(path + "/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(path + "/labels.parquet")
+    docs = spark.read.parquet(path + "/documents.parquet")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.pin(step(spark, docs, path))
+        assert out.schema.names == docs.schema.names and out.count() <= docs.count(), name
+        docs = out
+    assert docs.where("secrets is null or secrets != text").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() >= docs.count()
