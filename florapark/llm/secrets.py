@@ -8,6 +8,7 @@ expressions are used. Offsets are code points, the end exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -39,23 +40,51 @@ class SecretModel:
         return F.split(F.lit(",".join(map(str, self.ratio))), ",").cast("array<int>")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, although ``body`` may name it often."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column], back: bool = False) -> Column:
+    """Running total of an array under ``join``, from its end if ``back``.
+
+    Each of log2(n) rounds joins every value with the one 1, 2, 4, ... places before, so no
+    array is copied per value. ``join`` must take a null as nothing.
+    """
+    rounds = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int")))
+
+    def double(acc: Column, k: Column) -> Column:
+        far = F.call_function("shiftleft", F.lit(1), k) * (1 if back else -1)
+        return F.transform(acc, lambda x, i: join(x, F.get(acc, i + far)))
+
+    return F.when(F.size(values) > 1, F.aggregate(rounds, values, double)).otherwise(values)
+
+
 def _spans(text: Column, found: Column, parts: Column, kind: int, wanted: Column | None = None) -> Column:
     """Array of (start, kind, end) from the matches of a pattern and the parts between them.
 
     ``wanted`` flags matches to keep, one per match; the others only move the position.
     """
-    keep = wanted if wanted is not None else F.transform(found, lambda _: F.lit(True))
-    rows = F.arrays_zip(F.slice(parts, F.lit(1), F.size(found)).alias("p"), found.alias("m"), keep.alias("k"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    size = F.transform(found, F.length)
+    step = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), size, lambda p, n: F.length(p) + n)
+    ends = _running(step, lambda x, before: x + F.coalesce(before, F.lit(0)))
+    spans = F.zip_with(ends, size, lambda e, n: F.struct((e - n).alias("start"), F.lit(kind).alias("kind"), e.alias("end")))
+    if wanted is not None:
+        spans = F.filter(F.zip_with(spans, wanted, lambda x, k: F.when(k, x)), lambda x: x.isNotNull())
+    return spans.cast("array<struct<start:int,kind:int,end:int>>")
+
+
+def _outside(base: Column, extra: Column) -> Column:
+    """All spans of ``base`` and those of ``extra`` that overlap none of them, sorted by start and kind."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["k"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def free(every: Column) -> Column:
+        reach = _running(F.transform(every, lambda x: F.when(x["kind"] < 3, x["end"])), lambda x, y: F.greatest(x, y))
+        ahead = _running(F.transform(every, lambda x: F.when(x["kind"] < 3, x["start"])), lambda x, y: F.least(x, y), back=True)
+        clear = F.zip_with(every, F.arrays_zip(reach.alias("reach"), ahead.alias("ahead")), lambda x, o: F.when(
+            (x["kind"] < 3) | ((F.coalesce(o["reach"], F.lit(0)) <= x["start"]) & (F.coalesce(o["ahead"], x["end"]) >= x["end"])), x))
+        return F.filter(clear, lambda x: x.isNotNull())
 
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.aggregate(rows, begin, step, lambda acc: acc["out"])
+    return _let(F.sort_array(F.concat(base, extra)), free)
 
 
 def _none() -> Column:
@@ -138,20 +167,20 @@ def find(docs: DataFrame, model: SecretModel, text: str = "text", least_ratio: f
     log-likelihood ratio reaches ``least_ratio``. Null and empty texts have none. A
     column ``secrets`` of ``docs`` is replaced; all other columns stay.
     """
-    out = [c for c in docs.columns if c != "secrets"]
+    # names that the scan itself does not use, and back again at the end
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
     t = F.coalesce(F.col("_text"), F.lit(""))
     base = F.concat(
         _assignments(t), _matches(t, ACCESS, 1, t.contains("AKIA")), _matches(t, HEX, 2, t.rlike("[0-9a-f]{16}")))
     runs = F.regexp_extract_all(t, F.lit(RUN), F.lit(0))
     odd = F.transform(runs, lambda r: ~r.rlike("^[0-9a-f]+$") & (ratio_of(r, model) >= round(least_ratio * _SCALE)))
     extra = F.when(t.rlike(RUN), _spans(t, runs, F.split(t, RUN, -1), 3, odd)).otherwise(_none())
-    apart = F.filter("_extra", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return (
-        docs.select(*[F.col(f"`{c}`") for c in out], F.col(text).alias("_text"))
+        docs.withColumnsRenamed(names).withColumn("_text", F.col(names[text]))
         .withColumn("_base", base).withColumn("_extra", extra)
         .withColumn("secrets", F.when(F.size("_extra") == 0, F.sort_array("_base"))
-                    .otherwise(F.sort_array(F.concat("_base", apart))))
-        .select(*[F.col(f"`{c}`") for c in out], "secrets")
+                    .otherwise(_outside(F.col("_base"), F.col("_extra"))))
+        .select(*[F.col(n).alias(c) for c, n in names.items() if c != "secrets"], "secrets")
     )
 
 
@@ -162,18 +191,30 @@ def span_text(spans: Column) -> Column:
                                                                  s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = MARK) -> Column:
-    """``text`` with every stretch covered by spans replaced by ``mark``; ``spans`` sorted by start."""
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= acc["at"], before).otherwise(acc["out"]).alias("out"))
+def redact(text: Column, spans: Column, mark: str = MARK, width: int = 1024) -> Column:
+    """``text`` with every stretch covered by spans replaced by ``mark``; ``spans`` sorted by start.
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, begin, step,
-                        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    The text is cut into chunks of ``width`` characters first, so that a stretch is found
+    without a walk from the beginning.
+    """
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+
+    def stretch(chunk: Column, start: Column, end: Column) -> Column:
+        """Characters from start to end, which is not before start."""
+        i, j = F.floor(start / width).cast("int"), F.floor(end / width).cast("int")
+        head, tail = F.get(chunk, i), F.coalesce(F.get(chunk, j), F.lit(""))
+        far = F.concat(F.substring(head, start % width + 1, F.lit(width)),
+                       F.array_join(F.slice(chunk, i + 2, j - i - 1), ""), F.substring(tail, F.lit(1), end % width))
+        near = F.substring(F.coalesce(head, F.lit("")), start % width + 1, end - start)
+        return F.when(i == j, near).otherwise(far)
+
+    def pieces(chunk: Column) -> Column:
+        reach = _running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+        gaps = F.zip_with(spans, F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(spans) - 1)), lambda s, at: F.when(
+            s["start"] >= at, F.concat(stretch(chunk, at, s["start"]), F.lit(mark))))
+        return F.concat(F.array_join(gaps, ""), stretch(chunk, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
+
+    return F.when(F.size(spans) > 0, _let(chunks, pieces)).otherwise(text)
 
 
 def _count(kind: int) -> Column:

@@ -90,6 +90,57 @@ def test_redaction_leaves_the_rest(spark):
     assert list(out[0].asDict()) == docs.columns
 
 
+def test_extra_spans_keep_clear_of_base_ones(spark):
+    rng = random.Random(9)
+    alphabet = "GHIJKLMNOPQRSTUVWXYZghijklmnop"
+    part = lambda: rng.choice(["token=", "0123456789abcdef01", " ", "\n", "é", "AKIAABCDEFGHIJKLMN", "".join(rng.choice(alphabet) for _ in range(18))])
+    rows = [(i, "".join(part() for _ in range(rng.randint(0, 20))), "en", "s", 0) for i in range(150)]
+    every = s.SecretModel((1000,) * 6400)  # every run is random enough
+    got = {r["doc_id"]: [(x["start"], x["kind"], x["end"]) for x in r["secrets"]] for r in s.find(spark.createDataFrame(rows, SCHEMA), every).collect()}
+    for i, text, *_ in rows:
+        found = by_hand(text)
+        runs = [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text) if not re.fullmatch("[0-9a-f]+", m[0])]
+        assert got[i] == sorted(found + [r for r in runs if not any(b[0] < r[2] and r[0] < b[2] for b in found)])
+
+
+def test_text_with_very_many_findings(spark):
+    import time
+
+    text = "é " + " ".join(f"{i:016x}" if i % 3 else f"Zz{i:014d}Qq" for i in range(30_000))
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text))], SCHEMA)
+    every = s.SecretModel((1000,) * 6400)
+    found = s.find(docs, every).withColumn("clean", s.redact(F.col("text"), F.col("secrets")))
+    began = time.time()
+    row = found.select("secrets", "clean").first()
+    assert time.time() - began < 15  # a work per finding that grows with the text takes minutes
+    assert len(row["secrets"]) == 30_000
+    assert row["clean"] == "é " + " ".join(["<secret>"] * 30_000)
+
+
+def test_redaction_equals_a_plain_one(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("aé😀 \n") for _ in range(rng.choice([0, 5, 40, 3000])))
+        spans = sorted((a, rng.randint(0, 3), min(len(text), a + rng.randint(1, 1500))) for a in (rng.randrange(len(text)) for _ in range(rng.randint(0, 6) if text else 0)))
+        rows.append((i, text, spans))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:int,kind:int,end:int>>")
+    got = {r[0]: (r[1], r[2]) for r in docs.select("doc_id", s.redact(F.col("text"), F.col("spans")), s.redact(F.col("text"), F.col("spans"), width=7)).collect()}
+    for i, text, spans in rows:
+        out, at = "", 0
+        for a, _, b in spans:
+            if a >= at:
+                out += text[at:a] + s.MARK
+            at = max(at, b)
+        assert got[i] == (out + text[at:], out + text[at:])
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmn", 7, 8, 9)], "doc_id long, text string, _base int, _extra int, _text int")
+    row = s.find(docs, FLAT).first()
+    assert (row["_base"], row["_extra"], row["_text"]) == (7, 8, 9) and len(row["secrets"]) == 1
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = s.query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
