@@ -41,6 +41,35 @@ def test_ties_and_nulls(spark):
     assert f.audit(one, one).count() == 0 and f.audit(one, two).count() >= 1
 
 
+def test_records_without_offset_are_spread_and_counted(spark):
+    rows = [(None, None, None, i, b"r%d" % i) for i in range(1500)] + [(None, None, None, 7000, b"same")] * 900
+    two = [r for r in rows if r[3] not in (3, 44)][:-2] + [(None, None, None, 9000, b"new")]
+    got = f.audit(spark.createDataFrame(rows, RECORD), spark.createDataFrame(two, RECORD)).collect()
+    assert sorted((r["record_id"], r["finding"]) for r in got) == [(3, "missing"), (44, "missing"), (7000, "missing"), (7000, "missing"), (9000, "extra")]
+    assert {(r["file"], r["offset"]) for r in got} == {(-1, None)}
+
+
+def test_copies_and_nameless_pages_fill_files_without_gaps(spark):
+    rows = [(5, "u", "x")] * 700 + [(5, "u", f"y{i}") for i in range(300)] + [(None, "u", f"z{i}") for i in range(900)] + [(None, None, None)] * 50 + [(7, "v", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = f.warc_records(pages).collect()
+    assert len(got) == len(rows) and len({r["file"] for r in got if r["file"] < 0}) == 5
+    for name in {r["file"] for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r["file"] == name), key=lambda r: r["offset"]):
+            assert r["offset"] == at and r["length"] == len(r["payload"])
+            at += r["length"]
+    assert f.warc_records(pages.limit(0)).count() == 0
+
+
+def test_only_hashes_are_sorted(spark, sf_dir):
+    rows = f.warc_payloads(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    low = rows.select("file", "record_id", F.octet_length("payload").cast("long").alias("length"), F.sha2("payload", 256).alias("hash"))
+    plan = f.place(low)._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[:plan.index("Window")]
+    assert "html" not in window and "payload" not in window
+
+
 def test_records_are_whole(spark):
     pages = spark.createDataFrame([(0, "http://a", "hé"), (1, None, None), (450, "u", "x"), (None, "n", "y"), (1, None, None)], "page_id long, url string, html string")
     rows = f.warc_records(pages).orderBy("file", "offset").collect()
