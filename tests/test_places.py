@@ -65,6 +65,43 @@ def test_nearest_area_near_and_far(spark):
         assert got[(x, y)] == min(sides, key=lambda s: (dist(x, y, s), s[0]))[0]
 
 
+def wrapped(x, y, s):
+    _, _, x1, y1, x2, y2 = s
+    out = []
+    for px in (x, x - 360, x + 360):
+        t = max(0, min(1, ((px - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+        out.append(math.hypot(px - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1)))
+    return min(out)
+
+
+def test_nearest_area_over_the_meridian_and_far_out(spark):
+    rng = random.Random(16)
+    sides = []
+    for a in range(12):
+        cx, cy, r = rng.uniform(-179, 179), rng.uniform(-60, 60), rng.choice([0.05, 0.5, 8.0])
+        sides += ring(a, [(cx, cy), (cx + r, cy), (cx + r / 2, cy + r)])
+    sides += ring(20, [(179.2, 10.0), (179.9, 10.0), (179.5, 10.7)]) + ring(21, [(-179.0, 40.0), (-178.0, 40.0), (-178.5, 41.0)])
+    pts = [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(150)]
+    pts += [(-179.95, 10.1), (-179.5, 10.2), (179.9, 40.2), (-180.0, 10.0), (180.0, 40.0), (-150.0, -90.0), (0.0, 90.0)]
+    got = {(r["lon"], r["lat"]): r["area_code"] for r in SP.nearest_area(
+        spark.createDataFrame(pts + [(None, 1.0)], "lon double, lat double"), spark.createDataFrame(sides, SIDES)).collect()}
+    assert len(got) == len(set(pts))
+    for x, y in pts:
+        assert got[(x, y)] == min(sides, key=lambda s: (wrapped(x, y, s), s[0]))[0], (x, y)
+    assert got[(-179.95, 10.1)] == 20 and got[(179.9, 40.2)] == 21
+    none = spark.createDataFrame([], SIDES)
+    assert SP.nearest_area(spark.createDataFrame(pts, "lon double, lat double"), none).count() == 0
+
+
+def test_far_points_meet_few_cells(spark):
+    """A coast round half the globe: a tile in the open sea looks at a small part of its cells."""
+    coast = [(-90 + i * 0.05, 30 * math.sin(i / 90)) for i in range(3600)]
+    cells = spark.createDataFrame({(math.floor(x / 0.75) % 480, math.floor(y / 0.75), True) for x, y in coast}, "_cx long, _cy long, ends boolean")
+    tiles = spark.createDataFrame([(240, 0), (200, -100), (300, 90)], "px long, py long")
+    n = {(r["px"], r["py"]): r["count"] for r in SP.far_candidates(tiles, cells).groupBy("px", "py").count().collect()}
+    assert len(n) == 3 and max(n.values()) * 10 < cells.count()
+
+
 def test_cells_touched_by_a_triangle(spark):
     """Against a fine sampling of the sides plus the test of cell centres."""
     tri = ring(1, [(8.0, 46.0), (8.13, 46.02), (8.05, 46.09)])
