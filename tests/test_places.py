@@ -45,6 +45,28 @@ def test_points_in_random_polygons(spark):
     assert {tuple(r) for r in got.collect()} == want and want
 
 
+def test_points_on_the_grid_and_in_a_ragged_coast(spark):
+    """Sides on the edges and corners of cells, level and upright ones, and very many sides in few cells."""
+    rng = random.Random(15)
+    sides = ring(1, [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)]) + ring(1, [(0.3, 0.3), (0.7, 0.3), (0.7, 0.7), (0.3, 0.7)], 1)
+    sides += ring(2, [(-1.0, -1.0), (0.0, 0.0), (1.0, -1.0), (0.0, -2.0)])  # slopes through the corners of cells
+    n = 3000
+    coast = [(3 + (1 + 0.2 * rng.random()) * math.cos(2 * math.pi * i / n), 3 + (1 + 0.2 * rng.random()) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    sides += ring(3, coast)
+    pts = {(i / 10 + d, j / 10 + e) for i in range(-12, 24) for j in range(-22, 24) for d, e in ((0.0, 0.0), (0.05, 0.0), (0.0, 0.05), (0.03, 0.07))}
+    pts |= {(rng.uniform(1.7, 4.3), rng.uniform(1.7, 4.3)) for _ in range(1500)}
+    by_area = {a: [s for s in sides if s[0] == a] for a in (1, 2, 3)}
+    got = {tuple(r) for r in SP.containing_areas(spark.createDataFrame(list(pts), "lon double, lat double"), spark.createDataFrame(sides, SIDES)).collect()}
+    want = {(x, y, a) for x, y in pts for a in by_area if crossings(x, y, by_area[a])}
+    assert got == want
+
+
+def test_no_list_of_sides_is_built(spark):
+    sides = spark.createDataFrame(ring(1, [(0, 0), (2, 0), (1, 1)]), SIDES)
+    plan = SP.containing_areas(spark.createDataFrame([(1.0, 0.5)], "lon double, lat double"), sides)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_nearest_area_near_and_far(spark):
     rng = random.Random(6)
     sides = []
