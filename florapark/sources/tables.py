@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -49,16 +50,22 @@ def read_occurrences(spark: SparkSession, path: str, schema: T.StructType = OCCU
     return fields.select(*[value(f).alias(f.name) for f in schema.fields]).withColumn("species", F.col("scientificName"))
 
 
-def write_by_species(occ: DataFrame, path: str, rows_per_file: int = 1_000_000, key: str = "species") -> None:
-    """Parquet folder per species; empty names dropped.
+def write_by_species(
+    occ: DataFrame, path: str, rows_per_file: int = 1_000_000, key: str = "species", load: str = "base",
+) -> None:
+    """Parquet folder per load and species (``load=.../key=...``); empty names dropped.
 
-    A species is written by as many tasks as its number of rows calls for.
+    Each load has a name of its own and replaces what an earlier run under that name
+    wrote, so a job that is repeated leaves the same rows; other loads stay. A species is
+    written by as many tasks as its number of rows calls for.
     """
-    named = occ.where(F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != ""))
+    named = occ.drop("load").where(F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != ""))
     files = named.groupBy(key).agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
     rest = [c for c in named.columns if c != key]
     salted = named.join(files, key).withColumn("_part", F.pmod(F.xxhash64(*rest), F.col("_files")))
-    salted.repartition(key, "_part").drop("_files", "_part").write.mode("append").partitionBy(key).parquet(path)
+    # dynamic overwrite would keep the species that a repeated load no longer has, so the load's folder is replaced whole
+    salted.repartition(key, "_part").drop("_files", "_part").write.mode("overwrite").option(
+        "partitionOverwriteMode", "static").partitionBy(key).parquet(f"{path.rstrip('/')}/load={quote(load, safe='')}")
 
 
 def read_plots(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "\t") -> DataFrame:
@@ -76,9 +83,9 @@ def read_checklist(spark: SparkSession, path: str, schema: T.StructType | str) -
 
 
 def concat_species_files(spark: SparkSession, path: str, error_log: str = "erroneous_species") -> DataFrame:
-    """All cleaned per-species tables below a folder as one, without the error log."""
+    """All cleaned per-species tables below a folder as one, all loads together, without the error log."""
     every = spark.read.option("recursiveFileLookup", False).option("mergeSchema", True).parquet(path)
-    return every.where(~F.col("_metadata.file_path").contains(error_log))
+    return every.where(~F.col("_metadata.file_path").contains(error_log)).drop("load")
 
 
 def union_tables(parts: Sequence[DataFrame]) -> DataFrame:

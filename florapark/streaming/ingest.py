@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from florapark.sources.tables import write_by_species
+
 
 def read_increments(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", **options) -> DataFrame:
     reader = spark.readStream.format(fmt).schema(schema)
@@ -14,21 +18,20 @@ def read_increments(spark: SparkSession, path: str, schema: T.StructType, fmt: s
 
 
 def ingest(
-    stream: DataFrame, target: str, checkpoint: str, key: str = "species", files_per_key: int | None = None,
+    stream: DataFrame, target: str, checkpoint: str, key: str = "species", rows_per_file: int = 1_000_000, name: str | None = None,
 ) -> StreamingQuery:
-    """Append named rows to a table partitioned by ``key``.
+    """Append named rows to a table partitioned by ``load`` and ``key``, one load per batch.
 
-    The parquet file sink keeps its own commit log, so a batch that is run again after
-    a failure is not written twice. Rows of one key go to up to ``files_per_key`` tasks, by
-    default as many as there are shuffle partitions.
+    A batch that is run again after a failure replaces its own load, so no row is written
+    twice; the number of files follows the rows of a key. ``name`` tells the loads of several
+    streams into one table apart; by default it is drawn from the checkpoint's path.
     """
-    files_per_key = files_per_key or int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = stream.where(F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != ""))
-    rest = [c for c in named.columns if c != key]
-    salt = F.pmod(F.hash(*rest), F.lit(files_per_key))
+    name = name or hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_by_species(batch, target, rows_per_file, key, f"{name}-{batch_id}")
+
     return (
-        named.repartition(F.col(key), salt)
-        .writeStream.format("parquet").outputMode("append")
-        .partitionBy(key).option("path", target).option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
