@@ -171,8 +171,8 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Exact linearly interpolated quantiles of one column as a single row.
 
-    Equal values are merged first; only the rows around each cut position reach
-    the final aggregate.
+    Rows are numbered in order; only those around each cut position reach the final
+    aggregate.
     """
     ordered = global_index(df.where(F.col(value).isNotNull()).select(value, F.monotonically_increasing_id().alias("_tie")),
                            [value, "_tie"], "_i")

@@ -23,6 +23,7 @@ AXIS_LABELS = {
     "n_cells_in_range": ("small-range", "wide-range"),
 }
 
+# fixed values: names of the regions in the order of the report
 REGIONS = (
     "bottom_left", "top_left", "bottom_right", "top_right",
     "L3_left_lower", "L4_left_upper", "L1_bottom_left", "L2_bottom_right",

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from florapark.functions import names as N
 
 ACCEPTED_RANKS = ("Species", "Subspecies", "Variety")
+# fixed value: the text that marks a name with several matches
 UNRESOLVED = "Could not resolve multiple matches"
 
 
