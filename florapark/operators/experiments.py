@@ -90,12 +90,24 @@ def training_time_summary(times: DataFrame, seconds: str = "train_time_seconds")
     )
 
 
-def model_score(results: DataFrame, species: DataFrame, metric: str, species_name: str | None = None) -> DataFrame:
-    """Scores of one metric with species names; an absent metric names those there are."""
+def model_score(
+    results: DataFrame, species: DataFrame, metric: str, species_name: str | None = None, at_once: bool = True
+) -> DataFrame:
+    """Scores of one metric with species names; an absent metric is an error that names those there are.
+
+    The error is raised by the call, or while the rows are read if not ``at_once``, when
+    the call runs no job.
+    """
     got = results.where(F.col("metric") == metric)
-    if got.isEmpty():
+    if at_once and got.isEmpty():
         there = sorted(r["metric"] or "" for r in results.select("metric").distinct().collect())
         raise ValueError(f"metric {metric!r} not in results; available: {there}")
+    if not at_once:
+        message = F.concat(F.lit(f"metric {metric!r} not in results; available: "), F.to_json("names"))
+        known = results.agg(
+            F.count_if(F.col("metric") == metric).alias("n"), F.sort_array(F.collect_set("metric")).alias("names"),
+        ).select(F.when(F.col("n") > 0, True).otherwise(F.raise_error(message).cast("boolean")))
+        got = got.where(known.scalar())
     named = got.join(species.select("species_id", "species_name"), "species_id")
     return named if species_name is None else named.where(F.col("species_name") == species_name)
 

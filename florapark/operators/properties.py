@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from florapark.functions.scores import finite_or_null
-from florapark.operators.ranking import global_index, quantiles
+from florapark.operators.ranking import quantiles, running_sum_in_group, value_band
 
 AXES = ("sampling_effort", "relative_prevalence")
 
@@ -108,22 +108,26 @@ def property_table(
     return table, added, skipped
 
 
-def average_rank(df: DataFrame, value: str, name: str, key: str = "species_id") -> DataFrame:
-    """Average rank of ties divided by the number of ranked rows, times 100."""
-    usable = df.withColumn("_v", finite_or_null(value)).where(F.col("_v").isNotNull())
-    ranked = global_index(usable.select(key, "_v"), ["_v", key], "_i")
-    ties = ranked.groupBy("_v").agg((F.avg("_i") + 1).alias("_rank"))
-    n = ranked.agg(F.count("*").alias("n")).scalar()
-    pct = ranked.join(ties, "_v").select(key, (F.col("_rank") * 100.0 / n).alias(name))
-    return df.join(pct, key, "left")
+def average_rank(df: DataFrame, values: Sequence[str], names: Sequence[str], key: str = "species_id") -> DataFrame:
+    """Average rank of ties divided by the number of ranked rows, times 100, for each of the values.
+
+    Equal values merge before they are ordered, and all columns are ranked in one pass.
+    """
+    tall = df.select(key, F.posexplode(F.array(*[finite_or_null(v) for v in values])).alias("_axis", "_v")).where(
+        F.col("_v").isNotNull())
+    ties = tall.groupBy("_axis", "_v").agg(F.count("*").alias("_n"))
+    total = ties.groupBy("_axis").agg(F.sum("_n").alias("_total"))
+    upto = running_sum_in_group(ties, ["_axis"], value_band("_v"), ["_v"], F.col("_n"), "_upto").join(total, "_axis")
+    # ties fill the ranks upto - n + 1 to upto
+    share = upto.select("_axis", "_v", ((F.col("_upto") - (F.col("_n") - 1) / 2) * 100.0 / F.col("_total")).alias("_pct"))
+    wide = tall.join(share, ["_axis", "_v"]).groupBy(key).agg(
+        *[F.max(F.when(F.col("_axis") == i, F.col("_pct"))).alias(n) for i, n in enumerate(names)])
+    return df.join(wide, key, "left")
 
 
 def species_percentiles(properties: DataFrame, axes: Sequence[str] = AXES) -> DataFrame:
     """Raw value and average-rank percentile of each axis."""
-    out = properties.select("species_id", *axes)
-    for axis in axes:
-        out = average_rank(out, axis, f"{axis}_percentile")
-    return out
+    return average_rank(properties.select("species_id", *axes), axes, [f"{a}_percentile" for a in axes])
 
 
 LEVELS = ("full", "aggregated")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from florapark.functions.scores import finite_or_null
-from florapark.operators.ranking import global_index, group_median
+from florapark.operators.ranking import group_median, rank_in_group, value_band
 from florapark.session import pin
 
 DEFAULT_X = "sampling_effort"
@@ -37,20 +37,22 @@ def axis_labels(column: str) -> tuple[str, str]:
 def ordinal_ranks(properties: DataFrame, x: str = DEFAULT_X, y: str = DEFAULT_Y, key: str = "species_id") -> DataFrame:
     """1-based ranks on both axes, ties by key; species without both values are left out.
 
-    Columns: key, x_rank, y_rank, n_species (how many were ranked).
+    Both axes are ranked in one pass, inside bands of values that are shifted by the sizes
+    of the lower bands. Columns: key, x_rank, y_rank, n_species (how many were ranked).
     """
     usable = (
         properties.select(key, finite_or_null(x).alias("_x"), finite_or_null(y).alias("_y"))
         .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
     )
-    # one small row per species, sorted twice below
-    usable = pin(usable)
-    by_x = global_index(usable, ["_x", key], "_ix")
-    both = global_index(by_x, ["_y", key], "_iy")
+    both = usable.select(key, F.explode(F.array(
+        F.struct(F.lit(0).alias("_axis"), F.col("_x").alias("_v")),
+        F.struct(F.lit(1).alias("_axis"), F.col("_y").alias("_v")))).alias("_p")).select(key, "_p.*")
+    ranked = rank_in_group(both, ["_axis"], value_band("_v"), ["_v", key], "_rank")
     n = usable.agg(F.count("*").alias("n")).scalar()
-    return both.select(
-        key, (F.col("_ix") + 1).alias("x_rank"), (F.col("_iy") + 1).alias("y_rank"), n.alias("n_species")
-    )
+    return ranked.groupBy(key).agg(
+        F.max(F.when(F.col("_axis") == 0, F.col("_rank"))).alias("x_rank"),
+        F.max(F.when(F.col("_axis") == 1, F.col("_rank"))).alias("y_rank"),
+    ).withColumn("n_species", n)
 
 
 def region_names(x: Column, y: Column, n: Column, decile: int = 10) -> Column:

@@ -108,7 +108,7 @@ def _(t):
 
 @query("e7_model_score", f"{scores()} SELECT a.species_id, 'auroc' AS metric, round(auroc, 6) AS value, species_name FROM auroc a JOIN fx_species s ON a.species_id = s.species_id", ALL_VIEWS)
 def _(t):
-    return E.model_score(long_metrics(t), t.fx_species, "auroc").withColumns(r6("value"))
+    return E.model_score(long_metrics(t), t.fx_species, "auroc", at_once=False).withColumns(r6("value"))
 
 
 @query("e8_needs_evaluation", """SELECT species_id FROM fx_species WHERE species_id NOT IN (SELECT species_id FROM fx_seed_metric WHERE seed = 3 AND value IS NOT NULL)""", "fx_species fx_seed_metric")
@@ -142,7 +142,7 @@ def _(t):
  count(*) FILTER (WHERE probability IS NULL OR probability > 1 + 1e-6 OR probability < -1e-6) = 0 AND count(DISTINCT p.species_id) = (SELECT count(*) FROM fx_species) AS valid
  FROM fx_prediction p""", "fx_prediction fx_presence fx_species")
 def _(t):
-    n = t.fx_species.count()
+    n = t.fx_species.agg(F.count("*")).scalar()
     return P.validate(t.fx_prediction, n, t.fx_presence)
 
 

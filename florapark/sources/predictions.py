@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from florapark.functions.scores import finite_or_null
 
@@ -19,9 +19,10 @@ def read_wide(wide: DataFrame, key: str = "location_id", drop: Sequence[str] = C
     return wide.select(key, F.posexplode(values).alias("species_id", "probability"))
 
 
-def validate(pred: DataFrame, num_species: int | None = None, truth: DataFrame | None = None, strict: bool = False) -> DataFrame:
+def validate(pred: DataFrame, num_species: int | Column | None = None, truth: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """One row of counts: species found, missing or infinite values, values off [0, 1], keys without partner.
 
+    ``num_species`` may be a scalar column, so that counting the species is part of the plan.
     In strict mode the row raises an error when a check fails.
     """
     p = F.col("probability").cast("double")

@@ -159,6 +159,29 @@ def test_fill_uses_the_nearest_valid_pixel_within_the_radius(spark):
         assert got[(r, c)] == ((best, True) if d2 <= 400 else (None, False))
 
 
+def test_fill_sees_over_the_borders_of_tiles(spark):
+    # valid pixels on either side of row and column 512, 1024 and of zero; two layers; a repeated pixel
+    valid = [("a", 510, 511, 1.0), ("a", 515, 515, 2.0), ("a", 1030, -3, 3.0), ("b", 511, 513, 4.0), ("b", 511, 513, 5.0), ("a", 900, 900, None)]
+    wanted = [("a", 512, 512), ("a", 511, 514), ("a", 1020, 4), ("a", 1023, 30), ("b", 513, 511), ("b", 700, 700), ("a", 900, 900)]
+    raster = spark.createDataFrame(valid, "layer string, pix_row bigint, pix_col bigint, value double")
+    points = spark.createDataFrame([(*w, None) for w in wanted] + [(None, None, None, None)],
+                                   "layer string, pix_row bigint, pix_col bigint, value double")
+    got = {tuple(r)[:3]: r["value"] for r in RA.fill_nodata_nearest(points, raster, radius=20).select("layer", "pix_row", "pix_col", "value").collect()}
+    want = {}
+    for layer, r, c in wanted:
+        near = [((r - a) ** 2 + (c - b) ** 2, a, b, v) for la, a, b, v in valid if la == layer and v is not None]
+        best = min(near)
+        want[(layer, r, c)] = best[3] if best[0] <= 400 else None
+    assert got == {**want, (None, None, None): None}
+    assert want[("a", 512, 512)] == 1.0 and want[("b", 513, 511)] == 4.0 and want[("a", 1020, 4)] == 3.0
+
+
+def test_fill_moves_each_pixel_once(spark):
+    raster = spark.range(10).selectExpr("'a' AS layer", "id AS pix_row", "id AS pix_col", "IF(id % 2 = 0, id * 1.0D, NULL) AS value")
+    plan = RA.fill_nodata_nearest(raster, raster)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "Cross" not in plan
+
+
 def test_nearest_background_equals_brute_force(spark):
     rng = random.Random(9)
     pts = [(i, rng.uniform(0, 2), rng.uniform(0, 1)) for i in range(150)]
