@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from florapark.functions import projection as P
-from florapark.operators import grid as G, mapping as MP, properties as R, raster as RA, spatial as SP
+from florapark.operators import grid as G, mapping as MP, masks as MK, properties as R, raster as RA, spatial as SP
 from florapark.plans.evaluation import PRED_VIEWS, properties, r6
 from florapark.plans.inputs import Inputs
 from florapark.plans.registry import query
@@ -190,6 +190,39 @@ def _(t):
     return SP.running_total(R.in_range_counts(t.fx_location, t.fx_species_area, "length"), ["species_id"], "length", "offset")
 
 
+# locations numbered by area; every pair in range with its rank inside the species
+SLOTS = """slots AS (SELECT location_id, area_code, row_number() OVER (ORDER BY area_code, location_id) - 1 AS slot FROM fx_location),
+inside AS (SELECT species_id, location_id, slot, row_number() OVER (PARTITION BY species_id ORDER BY slot) - 1 AS rank
+ FROM slots l JOIN fx_species_area a ON l.area_code = a.area_code)"""
+MASK_VIEWS = "fx_location fx_species_area fx_presence"
+
+
+@query("g16_mask_blocks", f"WITH {SLOTS} SELECT species_id, slot // 32768 AS block, count(*) AS n FROM inside GROUP BY 1, 2", MASK_VIEWS)
+def _(t):
+    return MK.range_masks(MK.number_locations(t.fx_location), t.fx_species_area).select("species_id", "block", "n")
+
+
+@query("g16_mask_select", f"WITH {SLOTS} SELECT species_id, rank AS k, location_id FROM inside WHERE rank % 50 = 0", MASK_VIEWS)
+def _(t):
+    """Every fiftieth location in range of each species."""
+    numbered = MK.number_locations(t.fx_location)
+    masks = MK.range_masks(numbered, t.fx_species_area)
+    wanted = MK.counts(masks).select("species_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(50))).alias("k"))
+    return MK.select_members(masks, wanted).join(numbered.select("slot", "location_id"), "slot").select("species_id", "k", "location_id")
+
+
+@query("g16_mask_rank", f"""WITH {SLOTS}, both_ AS (SELECT species_id, slot, location_id, 1 AS inside, 0 AS seen FROM inside
+ UNION ALL SELECT p.species_id, s.slot, p.location_id, 0, 1 FROM fx_presence p JOIN slots s ON p.location_id = s.location_id),
+ per AS (SELECT species_id, slot, location_id, max(inside) AS inside, max(seen) AS seen FROM both_ GROUP BY ALL)
+ SELECT species_id, location_id, inside = 1 AS member, rank FROM (SELECT *, CAST(sum(inside) OVER (PARTITION BY species_id ORDER BY slot) - inside AS BIGINT) AS rank FROM per) WHERE seen = 1""", MASK_VIEWS)
+def _(t):
+    """Of each presence: does it lie in range, and how many locations in range come before it."""
+    numbered = MK.number_locations(t.fx_location)
+    seen = t.fx_presence.join(numbered.select("location_id", "slot"), "location_id")
+    ranked = MK.rank_members(MK.range_masks(numbered, t.fx_species_area), seen)
+    return seen.join(ranked, ["species_id", "slot"]).select("species_id", "location_id", "member", "rank")
+
+
 @query("g17_indirect_mask", f"""WITH {CELL}, rep AS (SELECT gx, gy, min(area_code) AS area_code FROM cell GROUP BY 1, 2)
  SELECT c.location_id AS row_id, a.species_id FROM cell c JOIN rep r ON c.gx = r.gx AND c.gy = r.gy JOIN fx_species_area a ON a.area_code = r.area_code""", "fx_location fx_species_area")
 def _(t):

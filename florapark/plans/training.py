@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from florapark.functions import features as X
-from florapark.operators import properties as R, sampling as S, spatial as SP, stratify as K, weights as W
+from florapark.operators import masks as MK, properties as R, sampling as S, spatial as SP, stratify as K, weights as W
 from florapark.plans.evaluation import PROP_VIEWS, PROPS, STRATA, PRED_VIEWS, properties, r6, ranks
 from florapark.plans.inputs import Inputs
 from florapark.plans.registry import query
@@ -144,6 +144,14 @@ def _(t):
     return S.absences(SP.range_mask_by_location(t.fx_location, t.fx_species_area), t.fx_presence)
 
 
+@query("p8_absence_masks", """WITH pairs AS (SELECT location_id, a.species_id FROM fx_location l JOIN fx_species_area a ON l.area_code = a.area_code EXCEPT SELECT location_id, species_id FROM fx_presence)
+ SELECT species_id, count(*) AS n FROM pairs GROUP BY 1""", PLA)
+def _(t):
+    """Absences in range per species, counted on bitmaps."""
+    numbered = MK.number_locations(t.fx_location)
+    return MK.counts(MK.difference(MK.range_masks(numbered, t.fx_species_area), MK.presence_masks(numbered, t.fx_presence)))
+
+
 @query("p9_cap_class", """SELECT species_id, location_id, label FROM masked WHERE label IS DISTINCT FROM 0 UNION ALL
 SELECT species_id, location_id, label FROM (SELECT *, row_number() OVER (PARTITION BY species_id ORDER BY md5(concat_ws(':', '9', species_id, location_id)), location_id) AS k FROM masked WHERE label = 0) WHERE k <= 30""", PRED_VIEWS)
 def _(t):
