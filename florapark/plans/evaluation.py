@@ -267,6 +267,21 @@ def _(t):
     return K.stratified_report(a, properties(t), reference=b, names=("auroc",)).withColumns(r6("score"))
 
 
+@query("k3_evaluation_report", f"""{metric_pair('probability_fine', 'probability_ref')}, {PROPS}, {STRATA}
+SELECT "position", names.region, stratum, 'auroc' AS metric, round(avg(ma.auroc - mb.auroc) * 100, 6) AS score, count(ma.auroc - mb.auroc) AS n
+FROM names LEFT JOIN member ON member.region = names.region LEFT JOIN ma ON ma.species_id = member.species_id
+LEFT JOIN mb ON mb.species_id = ma.species_id GROUP BY ALL""", ALL_VIEWS)
+def _(t):
+    """The whole evaluation in one call, checks included."""
+    from florapark.plans.pipelines import evaluate_predictions
+
+    model, other = (t.fx_prediction.select("location_id", "species_id", F.col(c).alias("probability"), "label")
+                    for c in ("probability_fine", "probability_ref"))
+    done = evaluate_predictions(model, t.fx_location, t.fx_species, t.fx_species_area, t.fx_presence,
+                                reference=other, names=("auroc",))
+    return done.report.withColumns(r6("score"))
+
+
 def region_delta_sql(expr: str) -> str:
     return f"""{metric_pair('probability_fine', 'probability_ref')}, {PROPS}, {STRATA}, {PAIRS}
 SELECT names.region, count(v1) AS n, round(coalesce({expr}, 0), 6) AS delta
