@@ -129,6 +129,36 @@ def test_background_rules(spark, plots, model, cap):
         assert cap is None or len(pos[s]) <= cap
 
 
+@pytest.mark.parametrize("pool", [3, 40, 333, 10_000])
+def test_background_is_the_first_part_of_the_draw(spark, plots, pool):
+    """Rows taken by arithmetic on runs are those that ranking the whole draw gives."""
+    presence, locations, ranges = plots
+    rows = S.presence_background(presence, locations, ranges, "maxent", None, seed=2, pool=pool).collect()
+    seen = defaultdict(set)
+    for r in presence.collect():
+        seen[r["species_id"]].add(r["location_id"])
+    demand = spark.createDataFrame([(s, max(pool, len(v)) + len(v)) for s, v in seen.items()], "species_id int, span bigint")
+    draw = defaultdict(list)
+    for r in S.draw_background(demand, ranges, locations, 2).collect():
+        if r["location_id"] not in seen[r["species_id"]]:
+            draw[r["species_id"]].append((r["share"], r["area_code"], r["turn"], r["location_id"]))
+    want = {(s, x[3]) for s, v in draw.items() for x in sorted(v)[:len(v) if len(v) < len(seen[s]) else pool]}
+    assert {(r["species_id"], r["location_id"]) for r in rows if r["label"] == 0} == want
+
+
+def test_background_rows_are_opened_last(spark, plots):
+    plan = S.presence_background(*plots, "maxent", None, seed=2)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    opened = next(i for i, line in enumerate(plan) if "AS slot" in line or "slot#" in line and "Generate" in line)
+    assert not any("Join" in line or "Window" in line or "Aggregate" in line for line in plan[:opened])
+
+
+def test_draw_of_every_area_is_checked_without_rows(spark, sf_dir):
+    from florapark.plans.catalog import QUERIES
+
+    plan = QUERIES["p4_background_by_area"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence" not in plan
+
+
 def test_draws_repeat(spark, plots):
     presence, locations, ranges = plots
     a, b = (sorted(map(tuple, S.presence_background(presence, locations, ranges, "logistic", None, seed=2).collect())) for _ in range(2))
