@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from florapark.functions.scores import finite_or_null, score_band
+from florapark.session import pin
 from florapark.operators.ranking import running_sum_in_group, weighted_quantiles
 
 LOG_FLOOR = 1e-12  # fixed value: smallest prediction told apart on the log scale
@@ -223,6 +224,34 @@ def occurrence_grid(in_range: DataFrame, presence: DataFrame, keys: Sequence[str
     return cells_of.join(frame.select(*keys, F.col("_step").alias("step")), keys)
 
 
+def range_grids(locations: DataFrame, species_area: DataFrame, presence: DataFrame, max_dim: int | None = None) -> DataFrame:
+    """``occurrence_grid`` of every species over the locations of its range and its presences there.
+
+    Species of the same areas share their grid of visited cells, so it is worked out once per
+    such set of areas, from the distinct coordinates of an area, and met by the species at the end.
+    """
+    ranges = pin(species_area.groupBy("species_id").agg(F.array_sort(F.collect_set("area_code")).alias("areas")))
+    kinds = ranges.select(F.col("areas").alias("range_id")).distinct()
+    places = locations.where(F.col("area_code").isNotNull()).select("area_code", "lon", "lat").distinct()
+    visited = kinds.select("range_id", F.explode("range_id").alias("area_code")).join(places, "area_code").select("range_id", "lon", "lat")
+    none = visited.where(F.lit(False))
+    grid = pin(occurrence_grid(visited, none, ["range_id"], max_dim))
+    frame = visited.groupBy("range_id").agg(F.min("lon").alias("_x0"), F.min("lat").alias("_y0")).join(
+        grid.select("range_id", "step").distinct(), "range_id")
+    seen = (
+        presence.select("species_id", "location_id").join(locations.select("location_id", "area_code", "lon", "lat"), "location_id")
+        .join(ranges, "species_id").where(F.array_contains("areas", F.col("area_code"))).select("species_id", F.col("areas").alias("range_id"), "lon", "lat").distinct()
+        .join(frame, "range_id")
+    )
+    # a presence in range stands on a visited cell
+    present = seen.groupBy("species_id", F.rint((F.col("lat") - F.col("_y0")) / F.col("step")).cast("bigint").alias("row")).agg(
+        F.collect_set(F.rint((F.col("lon") - F.col("_x0")) / F.col("step")).cast("bigint")).alias("_cols"))
+    lines = grid.groupBy("range_id", "row", "step").agg(F.collect_list("col").alias("_all"))
+    met = ranges.select("species_id", F.col("areas").alias("range_id")).join(lines, "range_id").join(present, ["species_id", "row"], "left")
+    return met.select("species_id", "row", F.explode("_all").alias("col"), "_cols", "step").select(
+        "species_id", "row", "col", F.coalesce(F.array_contains("_cols", F.col("col")), F.lit(False)).cast("int").alias("category"), "step")
+
+
 def pick_region(points: DataFrame, keys: Sequence[str] = ("species_id",)) -> DataFrame:
     """The named box that holds most points of each group; the first one on ties."""
     counts = {}

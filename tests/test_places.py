@@ -231,3 +231,24 @@ def test_golden_sampling_properties(spark):
         r = got[s]
         assert (r["n_cells_in_range"], r["n_cells_visited_in_range"], r["n_species_obs"]) == (n, v, k)
         assert math.isclose(r["sampling_effort"], se, rel_tol=1e-12) and math.isclose(r["relative_prevalence"], rp, rel_tol=1e-12)
+
+
+def test_species_of_one_range_share_their_grid(spark):
+    """The shared grid is the grid of each species; pairs of species and locations are not formed."""
+    import random
+
+    from florapark.operators import mapping as MP
+
+    rng = random.Random(3)
+    places = [(i, rng.choice([1, 2, 3, None]), rng.randrange(40) * 0.25, rng.randrange(30) * 0.5) for i in range(400)]
+    ranges = [(1, 1), (1, 2), (2, 2), (2, 1), (2, 1), (3, 3), (4, 9)]
+    seen = [(rng.randrange(1, 6), rng.randrange(400)) for _ in range(200)]
+    locations = spark.createDataFrame(places, "location_id bigint, area_code int, lon double, lat double")
+    species_area = spark.createDataFrame(ranges, "species_id int, area_code int")
+    presence = spark.createDataFrame(seen + seen[:9], "species_id int, location_id bigint")
+    pairs = locations.join(species_area.distinct(), "area_code")
+    want = MP.occurrence_grid(pairs, presence.join(pairs.drop("lon", "lat"), ["species_id", "location_id"], "left_semi").join(locations, "location_id"), max_dim=25)
+    shared = MP.range_grids(locations, species_area, presence, 25)
+    key = lambda df: sorted(tuple(r) for r in df.select("species_id", "row", "col", "category", "step").collect())
+    assert key(shared) == key(want) and shared.count() > 100
+    assert "range_id" in shared._jdf.queryExecution().analyzed().toString()
