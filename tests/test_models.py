@@ -380,3 +380,21 @@ def test_every_model_can_be_tuned(spark, data, name, grid, options):
     assert set(facts) == {1, 2, 3} and facts[3]["status"] == "no presences" and set(chosen) == {1, 2}
     assert all(facts[s]["param"] == chosen[s] and facts[s]["seconds"] > 0 for s in chosen)
     assert predictions.count() == 1500
+
+
+def test_models_leave_a_task_in_small_frames():
+    opened, most = 0, 0
+
+    def rows():
+        nonlocal opened
+        for i in range(200):
+            opened += 1
+            yield i, None, np.zeros(1 << 16)  # half a megabyte
+
+    seen = 0
+    for frame in fitting._frames(rows(), ["species_id", "param", "nodes"]):
+        seen += len(frame)
+        assert opened == seen  # nothing is opened ahead of what is passed on
+        most = max(most, len(frame))
+    assert seen == 200 and most * (1 << 19) <= 2 * fitting.HELD_BYTES
+    assert list(fitting._frames(iter([]), ["a"])) == []
