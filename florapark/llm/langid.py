@@ -278,47 +278,64 @@ def _three(data: np.ndarray) -> np.ndarray:
     return (mix(key) >> np.uint64(64 - _EVIDENCE_BITS)).astype(np.int64)
 
 
-def fit_evidence(learn: DataFrame, check: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id",
-                 per_lang: int = 400, reject: float = 0.002, seed: int = 8) -> Evidence | None:
-    """Count 3-grams of about ``per_lang`` documents of each language of ``learn``; None where there is no label.
+_SLICE_SLOTS = 1 << 12  # slots of one row of partial counts
 
-    A text is rejected when chance explains it better. Where more than ``reject`` of the
-    labelled texts of ``check`` (again about ``per_lang`` of each language) would go, the
-    cutoff is lowered to that share.
+
+def fit_evidence(learn: DataFrame, check: DataFrame, text: str = "text", label: str = "lang", reject: float = 0.002) -> Evidence | None:
+    """Count the 3-grams of every labelled text of ``learn``; None where there is no label.
+
+    A text is rejected when chance explains it better. Where more than ``reject`` of all
+    labelled texts of ``check`` would go, the cutoff is lowered to that share. Tasks send
+    their counts in slices of fixed size, which are added up slice by slice.
     """
-    def sample(docs: DataFrame) -> tuple[DataFrame, list]:
-        usable = docs.where(F.col(label).isNotNull() & (F.length(text) > 0))
-        rows, counts = sample_per_class(usable.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")),
-                                        "label", F.col("key"), per_lang, seed)
-        return rows.select("label", "text"), sorted(counts)
+    def usable(docs: DataFrame) -> DataFrame:
+        return docs.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("label"), F.col(text).alias("text"))
 
-    rows, langs = sample(learn)
+    langs = sorted(r["label"] for r in usable(learn).select("label").distinct().collect())
     if not langs:
         return None
     ship(learn.sparkSession)
+    code, width = {y: i for i, y in enumerate(langs)}, len(langs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, unit = np.zeros((1 << _EVIDENCE_BITS, len(langs))), np.zeros(256)
+        grams, unit = np.zeros((1 << _EVIDENCE_BITS) * width, np.int64), np.zeros(256, np.int64)
         for batch in batches:
-            for y, t in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-                data = np.frombuffer(f"\n{t}\n".encode(), np.uint8)
-                grams[:, langs.index(y)] += np.bincount(_three(data)[2:], minlength=len(grams))
+            known = np.array([code[y] for y in batch.column("label").to_pylist()], np.int64)
+            for first, end, part, offsets in chunks(batch.column("text")):
+                data = np.frombuffer(b"\n" + part, np.uint8)
+                at = _three(data) * width
+                at[1:] += np.repeat(known[first:end], np.diff(offsets))
+                own = np.ones(len(data), bool)
+                own[:2] = False
+                own[offsets[:-1] + 1] = False  # 3-grams over the end of a text
+                grams += np.bincount(at[own], minlength=len(grams))
                 unit += np.bincount(_FOLD[data], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array([grams.astype(np.float32).tobytes()]), pa.array([unit.tobytes()])], ["grams", "unit"])
+                unit[_FOLD[10]] += end - first - 1  # a line end on either side of each text
+        if unit.any():
+            cut = np.split(grams, len(grams) // (_SLICE_SLOTS * width))
+            yield pa.RecordBatch.from_arrays([pa.array([*range(len(cut)), -1], pa.int32()), pa.array([c.tobytes() for c in (*cut, unit)], pa.binary())],
+                                             ["slice", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(batch.column("slice").to_pylist(), batch.column("n").to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([n.tobytes() for n in total.values()], pa.binary())], ["slice", "n"])
 
-    # four rows of fixed size
-    found = rows.coalesce(4).mapInArrow(count, "grams binary, unit binary").collect()
-    grams = sum(np.frombuffer(r["grams"], np.float32) for r in found).reshape(-1, len(langs))
-    unit = sum(np.frombuffer(r["unit"]) for r in found) + 1
-    model = Evidence(grams, np.log(unit / unit.sum()).astype(np.float32), np.maximum(grams.sum(0, dtype=np.float64), 1))
+    kind = "slice int, n binary"
+    # a fixed number of rows of fixed size
+    found = {r["slice"]: np.frombuffer(r["n"], np.int64) for r in usable(learn).mapInArrow(count, kind).repartition(4, "slice").mapInArrow(add, kind).collect()}
+    unit = found.pop(-1) + 1.0
+    grams = np.concatenate([found[k] for k in sorted(found)]).reshape(-1, width)
+    model = Evidence(grams.astype(np.float32), np.log(unit / unit.sum()).astype(np.float32), np.maximum(grams.sum(0, dtype=np.float64), 1))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [model.of(part, offsets) for _, _, part, offsets in chunks(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values) if values else np.zeros(0))], ["e"])
 
-    held, _ = sample(check)
-    low = held.select("text").mapInArrow(rate, "e double").agg(F.percentile_approx("e", reject, 10_000).alias("q")).first()["q"]
+    low = usable(check).select("text").mapInArrow(rate, "e double").agg(F.percentile_approx("e", reject, 10_000).alias("q")).first()["q"]
     model.least = min(0.0, low) if low is not None else 0.0
     return model
 

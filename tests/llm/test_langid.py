@@ -120,3 +120,17 @@ def test_stage_drops_strings_of_chance_in_any_script(spark):
     clean = [r for r in corpus(400, seed=13) if len(r[1].split()) >= 3]
     out = {r["doc_id"] for r in m.stage(spark, spark.createDataFrame(clean + junk, SCHEMA), "").select("doc_id").collect()}
     assert out == {r[0] for r in clean}
+
+
+def test_evidence_counts_every_labelled_text(spark):
+    """More texts of a language than any sample held, and 3-grams of one text only."""
+    texts = [(i, f"abc d{i % 7}\u00e9", "aa" if i % 3 else "bb", "s", 1) for i in range(1500)] + [(9001, "zzz", None, "s", 1), (9002, "", "aa", "s", 1), (9003, None, "bb", "s", 1)]
+    docs = spark.createDataFrame(texts, SCHEMA)
+    found = m.fit_evidence(docs, docs)
+    want, unit = np.zeros((1 << m._EVIDENCE_BITS, 2)), np.ones(256)
+    for _, t, y, *_ in texts:
+        if t and y:
+            data = np.frombuffer(f"\n{t}\n".encode(), np.uint8)
+            np.add.at(want[:, ["aa", "bb"].index(y)], m._three(data)[2:], 1)
+            unit += np.bincount(m._FOLD[data], minlength=256)
+    assert np.array_equal(found.count, want) and np.allclose(found.unit, np.log(unit / unit.sum()), atol=1e-6) and found.total.tolist() == want.sum(0).tolist()
