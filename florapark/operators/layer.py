@@ -30,6 +30,7 @@ class Layer:
     l2: float = 1.0
     rounds: int = 300
     tolerance: float = 1e-3  # gradient at the end, as a share of the square root of the number of presences
+    balance: float = 0.02  # most that the probabilities of a species may add up to beside its presences, however many they are
     history: int = 10
 
 
@@ -114,7 +115,7 @@ class LayerMethod(Method):
             s["moves"] = [*s["moves"], moved][-spec.history:]
             g, size, base = np.where(took, g, last["g"]), np.where(took, size, last["size"]), np.where(took, beta, last["beta"])
             beta = base
-        worst = np.abs(g).max(0) / np.sqrt(np.maximum(s["seen"], 1))
+        worst = np.maximum(np.abs(g).max(0) / np.sqrt(np.maximum(s["seen"], 1)), np.abs(g[0]) * (spec.tolerance / spec.balance))
         s["worst"], s["beta"] = worst, beta
         if (worst <= spec.tolerance).all() or rounds > spec.rounds:
             return s, True

@@ -398,3 +398,22 @@ def test_models_leave_a_task_in_small_frames():
         most = max(most, len(frame))
     assert seen == 200 and most * (1 << 19) <= 2 * fitting.HELD_BYTES
     assert list(fitting._frames(iter([]), ["a"])) == []
+
+
+@pytest.mark.parametrize("n", [2_000, 400_000])
+def test_layer_balances_large_species_as_well_as_small_ones(n):
+    """Probabilities add up to the presences to within a twentieth, whatever their number."""
+    rng = np.random.default_rng(1)
+    x = rng.random((n, 3))
+    labels = [np.flatnonzero(rng.random(2) < (0.7 * v[0], 0.2 + 0.3 * v[1] * v[2])) for v in x]
+    spec = layer.Layer(codes="lq")
+    method = layer.LayerMethod(spec, 2)
+    s, done, rounds = method.begin({"part": 0}), False, 0
+    block = fitting.Block(np.arange(n), x, np.zeros(n), np.ones(n), np.zeros(n), labels)
+    while not done:
+        rounds += 1
+        s, done = method.solve(s, method.step(s, block), rounds)
+    w = method.weights(s)
+    p = 1 / (1 + np.exp(-(w[0] + layer.expand(x, "lq") @ w[1:])))
+    seen = np.bincount(np.concatenate(labels), minlength=2)
+    assert rounds < spec.rounds and np.abs(p.sum(0) - seen).max() < 0.05
