@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from florapark.operators import fitting, layer, maxent, models as L, trees
+from florapark.operators import weights as W
 from florapark.operators.metrics import compute_metrics
 from pyspark.sql import functions as F
 
@@ -417,3 +418,27 @@ def test_layer_balances_large_species_as_well_as_small_ones(n):
     p = 1 / (1 + np.exp(-(w[0] + layer.expand(x, "lq") @ w[1:])))
     seen = np.bincount(np.concatenate(labels), minlength=2)
     assert rounds < spec.rounds and np.abs(p.sum(0) - seen).max() < 0.05
+
+
+def test_small_species_are_neither_described_nor_packed_before_their_task(spark, data, monkeypatch):
+    def never(*_):
+        raise AssertionError("rows of small species go to their task as they are")
+
+    monkeypatch.setattr(fitting, "pack", never)
+    monkeypatch.setattr(fitting, "describe", never)
+    table = L.fit_linear(data, L.Linear(l2=1.0))
+    held = {r["species_id"]: r for r in L.linear_residuals(data, table, L.Linear(l2=1.0)).collect()}
+    assert held and all(r["worst"] < 1e-3 and abs(r["balance"]) < 1e-3 for r in held.values())
+
+
+def test_quantiles_in_a_task_are_exact():
+    x = np.random.default_rng(1).random((30_000, 2))
+    found = fitting._described(x, 32)
+    want = np.quantile(x, np.arange(1, 32) / 32, axis=0, method="inverted_cdf").T
+    assert np.array_equal(found["edges"].reshape(2, -1), want)
+    assert np.array_equal(found["lo"], x.min(0)) and np.array_equal(found["hi"], x.max(0))
+
+
+def test_weights_do_not_shuffle_the_rows(spark, data):
+    plan = W.presence_background_weights(data, "glm")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
