@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from florapark.functions import features as X
@@ -195,23 +196,26 @@ def linear_residuals(train: DataFrame, table: DataFrame, spec: Linear, features:
         yield pd.DataFrame({"species_id": m["group_id"], "j": np.arange(z.shape[1], dtype=np.int32), "k": float(len(z)), "r": r.sum(), "f": z.sum(0),
                             "f2": (z * z).sum(0), "rf": r @ z, "beta": slope, "intercept": m["intercept"]})
 
-    def worst(rows: pd.DataFrame) -> pd.DataFrame:
+    def worst(rows: pa.Table) -> pa.Table:
         # one row per feature of a species
-        d = rows.sort_values("j")
-        mean = (d["f"] / d["k"]).to_numpy()
-        sd = np.sqrt(np.maximum((d["f2"] / d["k"]).to_numpy() - mean**2, 0))
+        d = {c: rows.column(c).to_numpy() for c in rows.column_names}
+        d = {c: v[np.argsort(d["j"])] for c, v in d.items()}
+        mean = d["f"] / d["k"]
+        sd = np.sqrt(np.maximum(d["f2"] / d["k"] - mean**2, 0))
         sd = np.where(sd > 1e-12, sd, 1.0)
-        beta, g = d["beta"].to_numpy() * sd, (d["rf"].to_numpy() - mean * d["r"].to_numpy()) / sd
+        beta, g = d["beta"] * sd, (d["rf"] - mean * d["r"]) / sd
         g = g + spec.l2 * beta
         if spec.smooth:
             g = g + spec.smooth * difference_penalty(len(beta), spec.n_splines) @ beta
         miss = np.where(beta != 0, np.abs(g + spec.l1 * np.sign(beta)), np.maximum(np.abs(g) - spec.l1, 0))
-        return pd.DataFrame({"species_id": [d["species_id"].iloc[0]], "balance": [float(d["r"].iloc[0])], "worst": [float(miss.max())]})
+        return pa.table({"species_id": d["species_id"][:1], "balance": d["r"][:1], "worst": [float(miss.max())]})
 
     met = fitting.over_rows(train, table.where(FITTED).select("species_id", "intercept", "coefficients", "lo", "hi"), each, schema, features)
     sums = ("k", "r", "f", "f2", "rf")
     summed = met.groupBy("species_id", "j", "beta", "intercept").agg(*[F.sum(c).alias(c) for c in sums])
-    return summed.groupBy("species_id").applyInPandas(worst, "species_id bigint, balance double, worst double")
+    # few bytes but work for every species: a stated number of parts, which adaptive execution does not merge into one task
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return summed.repartition(parts, "species_id").groupBy("species_id").applyInArrow(worst, "species_id bigint, balance double, worst double")
 
 
 # ---- choosing, scoring, evaluating ----

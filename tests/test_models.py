@@ -442,3 +442,10 @@ def test_quantiles_in_a_task_are_exact():
 def test_weights_do_not_shuffle_the_rows(spark, data):
     plan = W.presence_background_weights(data, "glm")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_residuals_of_many_species_are_not_worked_out_in_one_task(spark, data):
+    table = L.fit_linear(data, L.Linear(l2=1.0))
+    held = L.linear_residuals(data, table, L.Linear(l2=1.0))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert held.rdd.getNumPartitions() == parts > 1
