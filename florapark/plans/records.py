@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from florapark.functions import names as N
 from florapark.operators import cleaning as C, spatial as SP, taxonomy as T
+from florapark.operators.ranking import spread
 from florapark.plans.inputs import Inputs
 from florapark.plans.places import CROSS
 from florapark.plans.registry import query
@@ -19,6 +20,13 @@ def occ(t: Inputs) -> DataFrame:
     return t.fx_occurrence.join(t.fx_location.select("location_id", "lon", "lat"), "location_id")
 
 
+def placed_records(t: Inputs) -> DataFrame:
+    """Occurrence rows with coordinates; those of one species and place lie in one partition."""
+    n = t.fx_occurrence.count()
+    rows = spread(t.fx_occurrence.select("species_id", "location_id"), n, "location_id").join(t.fx_location.select("location_id", "lon", "lat"), "location_id")
+    return spread(rows, n, "species_id", "lon", "lat")
+
+
 @query("f1_filter_plots", "SELECT location_id, plot_quality, sampled_area_m2 FROM fx_location WHERE plot_quality IN ('1-URGENT', '2-HIGH') AND sampled_area_m2 <= 250", "fx_location")
 def _(t):
     p = C.filter_plots(t.fx_location, "plot_quality", "sampled_area_m2", ("1-URGENT", "2-HIGH"), 250)
@@ -66,7 +74,7 @@ def _(t):
 
 @query("f7_flag_duplicates", f"WITH {OCC} SELECT species_id, location_id, lon, lat, count(*) AS n, location_id = min(location_id) OVER (PARTITION BY species_id, lon, lat) AS ok_duplicates FROM occ GROUP BY species_id, location_id, lon, lat", OCC_VIEWS)
 def _(t):
-    rows = occ(t).groupBy("species_id", "location_id", "lon", "lat").agg(F.count("*").alias("n"))
+    rows = placed_records(t).groupBy("species_id", "location_id", "lon", "lat").agg(F.count("*").alias("n"))
     return C.flag_duplicates(rows, ["species_id", "lon", "lat"], "location_id")
 
 
@@ -95,7 +103,7 @@ FLAGGED = f"""flagged AS (SELECT species_id, location_id, lon BETWEEN 8.0E0 AND
 
 
 def flagged(t: Inputs) -> DataFrame:
-    rows = occ(t).select("species_id", "location_id", "lon", "lat").distinct().withColumns({
+    rows = placed_records(t).distinct().withColumns({
         "ok_validity": F.col("lon").between(8.0, 8.5), "ok_zeros": F.col("lat") != 46.2})
     return C.flag_duplicates(rows, ["species_id", "lon", "lat"], "location_id")
 
