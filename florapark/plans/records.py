@@ -22,7 +22,7 @@ def occ(t: Inputs) -> DataFrame:
 
 def placed_records(t: Inputs) -> DataFrame:
     """Occurrence rows with coordinates; those of one species and place lie in one partition."""
-    n = t.fx_occurrence.count()
+    n = t.n_rows("lineitem")
     rows = spread(t.fx_occurrence.select("species_id", "location_id"), n, "location_id").join(t.fx_location.select("location_id", "lon", "lat"), "location_id")
     return spread(rows, n, "species_id", "lon", "lat")
 
