@@ -79,6 +79,10 @@ class Method:
         """(next state, whether the unit is done)."""
         raise NotImplementedError
 
+    def needed(self, state) -> object:
+        """What of a state ``step`` reads; it goes to every block in every round, the rest stays with the unit."""
+        return state
+
     def carry(self, block: Block) -> np.ndarray:
         """Numbers per row to be written with the block of a large group."""
         return np.zeros(0)
@@ -299,13 +303,20 @@ def _by_rounds(packed: DataFrame, state: DataFrame, method: Method) -> DataFrame
                             columns=["group_id", "part", "param", "state", "done", "rounds", "seconds", "message"])
 
     keys = ["group_id", "part"] if method.carries else ["group_id"]
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(state=[_keep(method.needed(_open(s))) for s in b["state"]])
+
     rows = packed
     if method.carries:  # a row per (block, part), so that each part carries its own numbers
         rows = packed.join(state.select("group_id", "part"), "group_id").withColumn("carried", F.lit(None).cast("array<double>"))
     old = None
     for _ in range(MOST_ROUNDS):
         open_units = state.where("not done")
-        met = rows.join(open_units.select("group_id", "part", "state"), keys)
+        asked = open_units.select("group_id", "part", "state")
+        if type(method).needed is not Method.needed:
+            asked = asked.mapInPandas(ask, "group_id bigint, part int, state binary")
+        met = rows.join(asked, keys)
         if method.carries:
             written = pin(met.mapInPandas(with_carried, moved))
             parts, rows = written.select("group_id", "part", "sums", "took").mapInPandas(add, sums), written.drop("sums", "took")

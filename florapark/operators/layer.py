@@ -61,8 +61,14 @@ class LayerMethod(Method):
             z = expand(block.x[low:low + _ROWS], self.spec.codes)
             yield slice(low, low + len(z)), np.hstack([np.ones((len(z), 1)), z])
 
+    def needed(self, s):
+        """The weights alone: former moves and gradients are 25 times their size."""
+        first = s["squares"] is None
+        return {"first": s["first"], "n": s["n"], "weights": None if first else self.weights(s)}
+
     def step(self, s, block):
-        if s["squares"] is None:
+        s = s if "weights" in s else self.needed(s)
+        if s["weights"] is None:
             seen = np.concatenate([*block.labels, np.zeros(0, int)])
             seen = seen[(seen >= s["first"]) & (seen < s["first"] + s["n"])] - s["first"]
             total = sum(np.stack([z.sum(0), (z * z).sum(0)]) for _, z in self._features(block))
@@ -75,7 +81,7 @@ class LayerMethod(Method):
         row, seen = block.memo["label"]
         loss, gradient = np.zeros(s["n"]), 0.0
         for at, z in self._features(block):
-            eta = z @ self.weights(s)
+            eta = z @ s["weights"]
             y = np.zeros_like(eta)
             here = (row >= at.start) & (row < at.stop)
             y[row[here] - at.start, seen[here]] = 1
