@@ -1,6 +1,8 @@
 """Partitions that follow the rows, so that a task's memory does not follow the table."""
 
-from florapark.operators import cleaning as C
+import pytest
+from compare import connect, problem
+from florapark.operators import cleaning as C, ranking
 from florapark.operators.ranking import ROWS_PER_TASK, spread
 from pyspark.sql import functions as F
 
@@ -23,3 +25,9 @@ def test_duplicates_need_one_shuffle(spark):
         out.collect()[0].__class__(species_id=s, lon=x, lat=y, record=r, ok_duplicates=ok) for (s, x, y, r), ok in zip(
             rows, [False, True, True, True, True, None, None, True])]))
     assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
+@pytest.mark.parametrize("name", ["f7_flag_duplicates", "f10_flag_summary", "f10_passing_records", "s14_merge_job_predictions", "g16_mask_rank", "g30_shared_rescale"])
+def test_spread_tables_give_the_same_rows(spark, sf_dir, name, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_PER_TASK", 300)
+    assert problem(spark, connect(sf_dir), sf_dir, name) is None
