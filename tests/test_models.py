@@ -449,3 +449,40 @@ def test_residuals_of_many_species_are_not_worked_out_in_one_task(spark, data):
     held = L.linear_residuals(data, table, L.Linear(l2=1.0))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert held.rdd.getNumPartitions() == parts > 1
+
+
+def test_forest_parts_rate_rows_like_their_trees(spark):
+    rng = np.random.default_rng(11)
+    x = rng.random((300, 3))
+    rows = [(1, i, int(b), 1.0, [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, rng.random(300) < x[:, 0]))]
+    data = spark.createDataFrame(rows, "species_id bigint, location_id bigint, label int, weight double, features array<double>")
+    spec = trees.Forest(trees=5, part_trees=2)
+    of = lambda scored: {r["location_id"]: r["probability"] for r in scored.collect()}
+    one = of(trees.score_forest(trees.fit_forest(data, spec, "features")[1], data, "features"))
+    two = of(trees.score_parts(trees.fit_parts(data, spec, "features")[1], data, "features"))
+    assert len(two) == 300 and max(abs(one[k] - two[k]) for k in one) < 1e-12
+
+
+def test_rows_go_on_from_the_node_where_they_stood():
+    rng = np.random.default_rng(4)
+    bins, memo = rng.integers(0, 8, (500, 3)).astype(np.int32), {}
+    nodes = [[-1, 0, -1, -1, 0.0, 0]]
+    for k, f, c in ((0, 1, 3), (2, 0, 5), (1, 2, 2), (4, 1, 6)):
+        nodes[k][:4] = f, c, len(nodes), len(nodes) + 1
+        nodes += [[-1, 0, -1, -1, 0.0, nodes[k][5] + 1] for _ in range(2)]
+        at = trees.BoostedMethod._reached(memo, 7, nodes, bins)
+        assert (at == trees.BoostedMethod._reached({}, 7, nodes, bins)).all()
+        for row in range(500):
+            place = 0
+            while nodes[place][0] >= 0:
+                f_, c_, left, right = nodes[place][:4]
+                place = left if bins[row, f_] <= c_ else right
+            assert place == at[row]
+
+
+def test_fits_of_many_small_groups_get_tasks_of_their_own(spark):
+    rows = [(s, i, int(i % 3 == 0), 1.0, [float(i * s % 7), float(i % 5)]) for s in range(1, 41) for i in range(20)]
+    data = spark.createDataFrame(rows, "species_id bigint, location_id bigint, label int, weight double, features array<double>")
+    final, _ = fitting.fit(data, trees.BoostedMethod(trees.Boosted(trees=1)), 8, "features")
+    cores = spark.sparkContext.defaultParallelism
+    assert final.select(F.spark_partition_id()).distinct().count() > min(20, cores) and final.where("state is not null").count() == 40
