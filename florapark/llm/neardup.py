@@ -42,6 +42,7 @@ _rng = np.random.Generator(np.random.PCG64(99))
 _XOR = _rng.integers(1 << 32, size=_N_HASH, dtype=np.uint32)
 _MULTIPLY = _rng.integers(1 << 31, size=_N_HASH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BLOCK = 4096
+_TEXT_BYTES = 1 << 18  # bytes of text that are hashed together, so that workers stay small
 
 
 def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -68,7 +69,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
-    for first, end, part, offsets in chunks(texts):
+    for first, end, part, offsets in chunks(texts, _TEXT_BYTES):
         data = np.frombuffer(part, np.uint8)
         starts, ends = word_spans(data)
         hashes = word_hashes(data, starts, ends)

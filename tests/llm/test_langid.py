@@ -134,3 +134,12 @@ def test_evidence_counts_every_labelled_text(spark):
             np.add.at(want[:, ["aa", "bb"].index(y)], m._three(data)[2:], 1)
             unit += np.bincount(m._FOLD[data], minlength=256)
     assert np.array_equal(found.count, want) and np.allclose(found.unit, np.log(unit / unit.sum()), atol=1e-6) and found.total.tolist() == want.sum(0).tolist()
+
+
+def test_only_texts_go_to_the_workers_and_are_judged_once(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox", "x"), (2, None, "y")], "doc_id long, text string, other string")
+    judged = m.predict(docs, m.Crf.empty([]))
+    rows = {r["doc_id"]: r for r in judged.collect()}
+    assert judged.columns == ["doc_id", "text", "other", "lang_pred", "score", "n_words"] and rows[2]["lang_pred"] == "und" and rows[1]["other"] == "x"
+    plan = judged.where("lang_pred = 'und'").select("doc_id", "score")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
