@@ -1,5 +1,7 @@
 """Training rows that stay together from the draw to the fit."""
 
+import numpy as np
+import pytest
 from florapark.operators import fitting, models as L, sampling as S, trees
 from florapark.plans import modelling
 from florapark.plans.inputs import Inputs
@@ -59,3 +61,27 @@ def test_first_split_writes_no_row_per_species_and_location(spark, sf_dir, monke
     n = modelling.coarse_rows(Inputs(spark, sf_dir), "randomforest").agg(F.sum("n")).first()[0]
     assert sum(w.count() for w in written if "label" in w.columns) == 0 and n > 5_000
     assert all(w.count() < n for w in written)
+
+
+def test_splines_are_those_of_the_full_basis_and_worked_out_once_per_group(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=500), rng.integers(0, 9, 500)])
+    x[4, 0] = np.nan
+    lo, hi = np.array([-1.5, 0.0]), np.array([2.0, 8.0])  # rows beyond the range, on its ends and on knots
+    spec = L.Linear(smooth=0.6, l2=1e-3, n_splines=12, expand="splines")
+    at = (np.clip(x, lo, hi) - lo) / ((hi - lo) / 9)
+    u = np.abs(at[:, :, None] - np.arange(-1, 11))
+    want = np.where(u < 1, (4 - 6 * u**2 + 3 * u**3) / 6, np.where(u < 2, (2 - u) ** 3 / 6, 0.0)).reshape(500, -1)
+    assert np.allclose(L.expansion(spec, lo, hi, x), want, atol=1e-15) and (want[4, :12] == 0).all()
+    calls, expansion = [], L.expansion
+    monkeypatch.setattr(L, "expansion", lambda *a: calls.append(1) or expansion(*a))
+    x[4, 0] = 0.0
+    block = fitting.Block(np.arange(500), x, (rng.random(500) < 0.4).astype(float), np.ones(500), np.zeros(500))
+    for param in (0.1, 1.0):
+        block.memo = {}
+        method, done, rounds = L.LinearMethod(spec, lambda s, v: L.replace(s, smooth=v)), False, 0
+        s = method.begin({"param": param, "lo": lo, "hi": hi})
+        while not done:
+            rounds += 1
+            s, done = method.solve(s, method.step(s, block), rounds)
+    assert rounds > 3 and len(calls) == 1
