@@ -34,6 +34,7 @@ SLICE_ROWS = 1 << 15  # rows of a group that are looked at together once it is f
 MOST_ROUNDS = 100_000  # a method ends by itself; this only stops one that does not
 _GROUPS_PER_CORE = 4  # groups, or slices of them, that keep a core busy to the end
 _GROUPS_PER_TASK = 16
+_BLOCKS_PER_TASK = 16
 HELD_UNITS = 64  # partial sums a task holds before they are passed on
 HELD_BYTES = 1 << 22  # model rows a task holds before they are passed on
 
@@ -108,8 +109,11 @@ def unpacked(train: DataFrame, predictors: str = "predictors") -> DataFrame:
         *rest, "location_id", F.slice("xs", F.col("_i") * F.col("p") + 1, F.col("p")).alias(predictors))
 
 
-def pack(train: DataFrame, predictors: str = "predictors", group: str = "species_id") -> DataFrame:
-    """Rows (group, location_id, predictors, [label, weight, holdout, labels]) as blocks; a row goes to a block by hash."""
+def pack(train: DataFrame, predictors: str = "predictors", group: str = "species_id", tasks: int | None = None) -> DataFrame:
+    """Rows (group, location_id, predictors, [label, weight, holdout, labels]) as blocks; a row goes to a block by hash.
+
+    Blocks are few bytes for the work they call for; ``tasks`` spreads them by their number.
+    """
     have = train.columns
     sizes = train.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks"))
     row = F.struct(
@@ -118,7 +122,9 @@ def pack(train: DataFrame, predictors: str = "predictors", group: str = "species
         (F.col("labels") if "labels" in have else F.lit(None).cast("array<int>")).alias("l"))
     block = F.pmod(F.xxhash64("location_id", F.lit(11)), F.col("_blocks")).cast("int")
     # sorted, so that a block written twice is the same block
-    packed = train.join(sizes, group).groupBy(group, block.alias("block")).agg(F.sort_array(F.collect_list(row)).alias("r"))
+    placed = train.join(sizes, group).withColumn("block", block)
+    placed = placed.repartition(tasks, group, "block") if tasks else placed
+    packed = placed.groupBy(group, "block").agg(F.sort_array(F.collect_list(row)).alias("r"))
     take = lambda name: F.transform("r", lambda r: r[name])
     return packed.select(
         F.col(group).cast("bigint").alias("group_id"), "block", F.size("r").alias("n"), F.size(F.get(take("x"), 0)).alias("p"),
@@ -235,7 +241,8 @@ def fit(train: DataFrame, method: Method, bins: int = 0, predictors: str = "pred
         far = pin(unpacked(train, predictors).withColumn("_group", F.col(group).cast("bigint")).join(large.withColumnRenamed("group_id", "_group"), "_group", "left_semi").drop("_group"))
         open_units = todo.where(F.col("_fit") & (F.col("n") > LOCAL_ROWS)).select("group_id", "part", "param")
         state = pin(begin(open_units, describe(far, bins, predictors, group), method))
-        out = out.unionByName(_by_rounds(pin(pack(far, predictors, group)), state, method))
+        blocks = sizes.where(F.col("n") > LOCAL_ROWS).agg(F.sum(F.ceil(F.col("n") / BLOCK_ROWS))).first()[0]
+        out = out.unionByName(_by_rounds(pin(pack(far, predictors, group, max(2 * cores, -(-blocks // _BLOCKS_PER_TASK)))), state, method))
     left_out = todo.where(~F.col("_fit")).selectExpr(
         "group_id", "part", "param", "cast(null as binary) state", "true done", "0 rounds", "0.0D seconds", "cast(null as string) message")
     return out.unionByName(left_out), sizes
@@ -358,7 +365,8 @@ def _by_rounds(packed: DataFrame, state: DataFrame, method: Method) -> DataFrame
         open_units = state.where("not done")
         asked = open_units.select("group_id", "part", "state")
         if type(method).needed is not Method.needed:
-            asked = asked.mapInPandas(ask, "group_id bigint, part int, state binary")
+            # pinned, so that its size is known and blocks are not shuffled to meet it
+            asked = pin(asked.mapInPandas(ask, "group_id bigint, part int, state binary"))
         met = rows.join(asked, keys)
         if method.carries:
             written = pin(met.mapInPandas(with_carried, moved))
@@ -367,7 +375,7 @@ def _by_rounds(packed: DataFrame, state: DataFrame, method: Method) -> DataFrame
             parts = met.mapInPandas(partial, sums)
         stepped = parts.groupBy("group_id", "part").cogroup(open_units.groupBy("group_id", "part")).applyInPandas(combine, STATE)
         before, state = state, pin(stepped.unionByName(state.where("done")))
-        drop(before)
+        drop(before, asked)
         if method.carries:
             if old is not None:
                 drop(old)

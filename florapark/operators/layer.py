@@ -2,8 +2,9 @@
 
 Every location is stored once, with the species seen there; features are worked out from
 the predictors inside the tasks. Species are fitted in slices: a block gives the gradient
-of a whole slice by one matrix product. All species of a slice move together by L-BFGS
-with a step length of their own; a ridge keeps the overlapping steps and hinges apart.
+of a whole slice at once. All species of a slice move together by L-BFGS with a step length
+of their own; a ridge keeps the overlapping steps and hinges apart. Columns of one predictor
+are alike, so moves are first turned by the curvature among them, which is the same for all species but for a factor.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ class Layer:
     tolerance: float = 1e-3  # gradient at the end, as a share of the square root of the number of presences
     balance: float = 0.02  # most that the probabilities of a species may add up to beside its presences, however many they are
     history: int = 10
+    plain: int = 15  # rounds before moves are turned; small fits end without
 
 
 def expand(x: np.ndarray, codes: str, n_levels: int = LEVELS) -> np.ndarray:
@@ -46,8 +48,78 @@ def expand(x: np.ndarray, codes: str, n_levels: int = LEVELS) -> np.ndarray:
     return np.hstack(chosen) if chosen else x
 
 
+class Levels:
+    """Products with a column of ones and ``expand``'s columns, without the columns.
+
+    A step or hinge follows from how many levels lie under a value: its weights are running sums of the levels' weights,
+    and sums over its rows are running sums of sums per level. So a value costs a look-up instead of two columns per level.
+    """
+
+    def __init__(self, x: np.ndarray, codes: str, n_levels: int = LEVELS):
+        self.x, self.codes, self.levels = x, codes, np.linspace(*SPAN, n_levels)
+        self.under = np.searchsorted(self.levels, x, side="left")  # levels under each value
+
+    def _parts(self, rows: int) -> dict[str, slice]:
+        """Rows of a weight matrix that belong to each class; the first is the intercept's."""
+        p, found, at = self.x.shape[1], {}, 1
+        sizes = {"l": p, "q": p, "p": 1, "t": p * len(self.levels), "h": p * len(self.levels)}
+        for c in [c for c in "lqpth" if c in self.codes] or ["l"]:
+            found[c] = slice(at, at + sizes[c])
+            at += sizes[c]
+        if at != rows:
+            raise ValueError(f"{rows} weights for {at} columns")
+        return found
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """(rows, species): the columns by ``weights`` (columns, species)."""
+        parts, (n, p), k = self._parts(len(weights)), self.x.shape, weights.shape[1]
+        out = np.repeat(weights[:1], n, axis=0)
+        if "l" in parts:
+            out += self.x @ weights[parts["l"]]
+        if "q" in parts:
+            out += (self.x * self.x) @ weights[parts["q"]]
+        if "p" in parts:
+            out += self.x.prod(1, keepdims=True) @ weights[parts["p"]]
+        upto = lambda w: np.concatenate([np.zeros((p, 1, k)), np.cumsum(w, axis=1)], axis=1)
+        flat, slope = np.zeros((p, len(self.levels) + 1, k)), None
+        if "t" in parts:
+            flat += upto(weights[parts["t"]].reshape(p, -1, k))
+        if "h" in parts:
+            w = weights[parts["h"]].reshape(p, -1, k)
+            flat -= upto(w * self.levels[:, None])
+            slope = upto(w)
+        if "t" in parts or "h" in parts:
+            for j in range(p):
+                out += flat[j][self.under[:, j]]
+                if slope is not None:
+                    out += slope[j][self.under[:, j]] * self.x[:, j, None]
+        return out
+
+    def sums(self, r: np.ndarray) -> np.ndarray:
+        """(columns, species): sums of ``r`` (rows, species) by the columns."""
+        (n, p), k, cells = self.x.shape, r.shape[1], len(self.levels) + 1
+        out = [r.sum(0)[None]]
+        if "l" in self.codes or not any(c in self.codes for c in "lqpth"):
+            out.append(self.x.T @ r)
+        if "q" in self.codes:
+            out.append((self.x * self.x).T @ r)
+        if "p" in self.codes:
+            out.append(self.x.prod(1)[None] @ r)
+        if "t" in self.codes or "h" in self.codes:
+            place = (self.under + np.arange(p) * cells).ravel()
+            # sums over the values above each level
+            above = lambda v: np.cumsum(np.bincount(place, v.ravel(), p * cells).reshape(p, cells)[:, ::-1], axis=1)[:, -2::-1]
+            t = np.stack([above(np.broadcast_to(r[:, i, None], (n, p))) for i in range(k)], axis=2)
+            if "t" in self.codes:
+                out.append(t.reshape(-1, k))
+            if "h" in self.codes:
+                h = np.stack([above(self.x * r[:, i, None]) for i in range(k)], axis=2)
+                out.append((h - self.levels[:, None] * t).reshape(-1, k))
+        return np.concatenate(out)
+
+
 class LayerMethod(Method):
-    """Sums of a round: loss per species, then the gradient (features + 1, species); in the first round squares of the features."""
+    """Sums of a round: loss per species, then the gradient (features + 1, species); in the first round squares and products of the features."""
 
     def __init__(self, spec: Layer, n_species: int):
         self.spec, self.n_species = spec, n_species
@@ -61,6 +133,26 @@ class LayerMethod(Method):
             z = expand(block.x[low:low + _ROWS], self.spec.codes)
             yield slice(low, low + len(z)), np.hstack([np.ones((len(z), 1)), z])
 
+    def _own(self, p: int) -> np.ndarray:
+        """(predictors, columns): places, after the intercept, of the columns that come from one predictor alone."""
+        found, at = [], 1
+        for c in [c for c in "lqpth" if c in self.spec.codes] or ["l"]:
+            each = {"p": 0, "t": LEVELS, "h": LEVELS}.get(c, 1)
+            found.append(at + np.arange(p * each).reshape(p, each))
+            at += p * each or 1
+        return np.concatenate(found, axis=1)
+
+    def _products(self, block):
+        """Sums of products of the columns of each predictor."""
+        codes = self.spec.codes.replace("p", "")
+        if self.spec.codes and not codes:
+            return np.zeros(0)
+        total = 0.0
+        for low in range(0, len(block.y), _ROWS):
+            each = (expand(column[:, None], codes) for column in block.x[low:low + _ROWS].T)
+            total = total + np.stack([z.T @ z for z in each])
+        return total
+
     def needed(self, s):
         """The weights alone: former moves and gradients are 25 times their size."""
         first = s["squares"] is None
@@ -72,7 +164,7 @@ class LayerMethod(Method):
             seen = np.concatenate([*block.labels, np.zeros(0, int)])
             seen = seen[(seen >= s["first"]) & (seen < s["first"] + s["n"])] - s["first"]
             total = sum(np.stack([z.sum(0), (z * z).sum(0)]) for _, z in self._features(block))
-            return np.concatenate([[len(block.y)], np.bincount(seen, minlength=s["n"]), total.ravel()])
+            return np.concatenate([[len(block.y), block.x.size], np.bincount(seen, minlength=s["n"]), total.ravel(), self._products(block).ravel()])
         if "label" not in block.memo:
             row = np.repeat(np.arange(len(block.labels)), [len(v) for v in block.labels])
             seen = np.concatenate([*block.labels, np.zeros(0, int)])
@@ -80,13 +172,14 @@ class LayerMethod(Method):
             block.memo["label"] = row[here], seen[here] - s["first"]
         row, seen = block.memo["label"]
         loss, gradient = np.zeros(s["n"]), 0.0
-        for at, z in self._features(block):
-            eta = z @ s["weights"]
+        for low in range(0, len(block.y), _ROWS):
+            z = Levels(block.x[low:low + _ROWS], self.spec.codes)
+            eta = z.times(s["weights"])
             y = np.zeros_like(eta)
-            here = (row >= at.start) & (row < at.stop)
-            y[row[here] - at.start, seen[here]] = 1
+            here = (row >= low) & (row < low + _ROWS)
+            y[row[here] - low, seen[here]] = 1
             loss += (np.logaddexp(0, eta) - y * eta).sum(0)
-            gradient = gradient + z.T @ (1 / (1 + np.exp(-np.clip(eta, -700, 700))) - y)
+            gradient = gradient + z.sums(1 / (1 + np.exp(-np.clip(eta, -700, 700))) - y)
         return np.concatenate([loss, gradient.ravel()])
 
     @staticmethod
@@ -97,15 +190,22 @@ class LayerMethod(Method):
     def solve(self, s, sums, rounds):
         s, spec, n = dict(s), self.spec, s["n"]
         if s["squares"] is None:
-            rows, seen, (total, squares) = sums[0], sums[1:1 + n], np.split(sums[1 + n:], 2)
+            rows, seen, own = sums[0], sums[2:2 + n], self._own(int(round(sums[1] / sums[0])))
+            products = own.size * own.shape[1]
+            total, squares = np.split(sums[2 + n:len(sums) - products], 2)
             start = np.zeros((len(squares), n))
             start[0] = np.log((seen + 0.5) / (rows - seen + 0.5))
             penalty = np.full((len(squares), 1), spec.l2)
             penalty[0] = 0.0  # the intercept is free
             mean = total[1:] / rows
             bend = np.r_[rows, np.maximum(squares[1:] - rows * mean**2, 0)]
+            share = (seen + 0.5) / (rows + 1)
+            m = mean[own - 1]
+            alike = sums[len(sums) - products:].reshape(len(own), own.shape[1], -1) - rows * m[:, :, None] * m[:, None]
+            values, vectors = np.linalg.eigh(alike)
             return s | {"squares": squares, "seen": seen, "penalty": penalty, "beta": start, "mean": mean, "last": None, "moves": [],
-                        "scale": 1 / (0.25 * bend[:, None] + spec.l2)}, False
+                        "scale": 1 / (0.25 * bend[:, None] + spec.l2), "own": own, "vectors": vectors,
+                        "turned": 1 / (share * (1 - share) * np.maximum(values, 0)[:, :, None] + spec.l2)}, False
         beta = s["beta"]
         size = sums[:n] + 0.5 * (s["penalty"] * beta**2).sum(0)
         g = sums[n:].reshape(beta.shape)
@@ -125,7 +225,7 @@ class LayerMethod(Method):
         s["worst"], s["beta"] = worst, beta
         if (worst <= spec.tolerance).all() or rounds > spec.rounds:
             return s, True
-        fresh = self._direction(s, g)
+        fresh = self._direction(s, g, self._bent if rounds > spec.plain else self._scaled)
         move = fresh if last is None else np.where(took, fresh, last["move"])
         share = np.ones(n) if last is None else np.where(took, 1.0, last["share"] / 2)
         share = np.where(worst <= spec.tolerance, 0.0, share)
@@ -134,7 +234,18 @@ class LayerMethod(Method):
         return s, False
 
     @staticmethod
-    def _direction(s, g):
+    def _scaled(s, g):
+        return s["scale"] * g
+
+    @staticmethod
+    def _bent(s, g):
+        """``g`` by the inverse of the curvature that the columns of each predictor have at the start."""
+        out = s["scale"] * g
+        out[s["own"]] = s["vectors"] @ (s["turned"] * (s["vectors"].transpose(0, 2, 1) @ g[s["own"]]))
+        return out
+
+    @staticmethod
+    def _direction(s, g, bend):
         """Two-loop recursion, one column per species; moves that bend the wrong way are passed over."""
         q, used = g.copy(), []
         for d, y in reversed(s["moves"]):
@@ -143,11 +254,11 @@ class LayerMethod(Method):
             a = rho * (d * q).sum(0)
             q -= a * y
             used.append((d, y, rho, a))
-        q *= s["scale"]
+        q = bend(s, q)
         for d, y, rho, a in reversed(used):
             q += d * (a - rho * (y * q).sum(0))
         uphill = (q * g).sum(0) <= 0
-        return -np.where(uphill, s["scale"] * g, q)
+        return -np.where(uphill, bend(s, g), q)
 
 
 def fit_layer(rows: DataFrame, seen: DataFrame, spec: Layer = Layer(), predictors: str = "predictors") -> tuple[DataFrame, DataFrame]:
@@ -189,9 +300,7 @@ def score_layer(model: DataFrame, rows: DataFrame, spec: Layer = Layer(), predic
     """Probability of every (species, row) pair of ``rows`` (species_id, ..., predictors)."""
 
     def predict(fields: dict, x: np.ndarray) -> np.ndarray:
-        w, out = fields["coefficients"].values.to_numpy(), np.empty(len(x))
-        for low in range(0, len(x), _ROWS):
-            out[low:low + _ROWS] = expand(x[low:low + _ROWS], spec.codes) @ w
-        return 1 / (1 + np.exp(-np.clip(out + fields["intercept"].as_py(), -700, 700)))
+        w = np.r_[fields["intercept"].as_py(), fields["coefficients"].values.to_numpy()][:, None]
+        return 1 / (1 + np.exp(-np.clip(Levels(x, spec.codes).times(w)[:, 0], -700, 700)))
 
     return fitting.score(model.select("species_id", "intercept", "coefficients"), rows, predict, predictors)

@@ -6,7 +6,6 @@ from florapark.operators import fitting, models as L, sampling as S, trees
 from florapark.plans import modelling
 from florapark.plans.inputs import Inputs
 from pyspark.sql import functions as F
-import pytest
 
 
 @pytest.fixture(scope="module")
