@@ -84,3 +84,23 @@ def test_splines_are_those_of_the_full_basis_and_worked_out_once_per_group(monke
             rounds += 1
             s, done = method.solve(s, method.step(s, block), rounds)
     assert rounds > 3 and len(calls) == 1
+
+
+def test_rows_are_held_out_in_the_task_of_their_species(spark, plots, monkeypatch):
+    *draw, x = plots
+    single = S.presence_background(*draw, "brt", None, seed=2, pool=1_500).join(x, "location_id")
+    want = {(r[0], r[1]): float(r[2]) for r in S.stratified_holdout(single, 0.2, 3).select("species_id", "location_id", "holdout").collect()}
+    for species in (1, 5):
+        rows = single.where(F.col("species_id") == species).orderBy("location_id").select("location_id", "label").collect()
+        n = len(rows)
+        block = fitting.Block(np.array([r[0] for r in rows]), np.zeros((n, 1)), np.array([float(r[1]) for r in rows]), np.ones(n), np.zeros(n))
+        assert fitting.held_out(block, species, 0.2, 3).tolist() == [want[species, r[0]] for r in rows]
+    one = fitting.Block(np.arange(5), np.zeros((5, 1)), np.array([1.0, 0, 0, 0, 0]), np.ones(5), np.zeros(5))
+    assert fitting.held_out(one, 1, 0.2, 3).sum() == 0  # a class of one row is not split
+
+    def never(*_):
+        raise AssertionError("rows of small species are ranked by a shuffle")
+
+    monkeypatch.setattr(fitting, "stratified_holdout", never)
+    log, model = trees.fit_boosted(S.training_table(*draw, x, "brt", None, seed=2, pool=200), trees.Boosted(trees=3, patience=2))
+    assert log.where("n_trees >= 0").count() == model.count() > 4
